@@ -30,10 +30,19 @@ def readings(
     ``wide`` makes every user a city; ``late`` delivers every 50th reading one
     batch late.
     """
+    return _as_readings(_events(spark, sf_dir), wide, late)
+
+
+def events_of_type(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
+    """Located readings made from one type of event."""
+    return _as_readings(_events(spark, sf_dir).where(F.col("event_type") == event_type))
+
+
+def _as_readings(events: DataFrame, wide: bool = False, late: bool = False) -> DataFrame:
     ms, user = F.col("ms"), F.col("user_id")
     ts_ms = F.when(ms >= T0, ms).otherwise(ms + F.lit(SHIFT))
     delay = F.when(F.col("event_id") % 50 == 7, 1).otherwise(0) if late else F.lit(0)
-    return _events(spark, sf_dir).select(
+    return events.select(
         (bucket_of(ts_ms - F.lit(T0).cast("bigint"), BATCH_MS) + delay).alias("seq"),
         F.col("event_id").alias("pos"),
         (user if wide else user % 20).cast("string").alias("city"),
