@@ -109,16 +109,17 @@ def watermark_guard(headers: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return headers.where(F.col("wm") <= params.max_watermark_ms)
 
 
-def advancing(headers: DataFrame) -> DataFrame:
+def advancing(headers: DataFrame, rows: int | None = None) -> DataFrame:
     """Headers whose watermark does not fall behind an earlier batch's.
 
     A batch with an older watermark cannot change any answer: its probes are late.
+    ``rows``, here and elsewhere, is an upper bound of the input's rows if known.
     """
-    blocks = headers.where("wm is not null").withColumn("block", bucket_of(F.col("seq"), SEQ_BLOCK))
     scanned = with_block_carry(
-        blocks, [], "block",
+        headers.where("wm is not null"), [], bucket_of(F.col("seq"), SEQ_BLOCK),
         {"block_max": F.max("wm")},
         {"carry": lambda w: F.max("block_max").over(before(w))},
+        rows,
     )
     inside = before(Window.partitionBy("block").orderBy("seq"))
     earlier = F.greatest("carry", F.max("wm").over(inside))

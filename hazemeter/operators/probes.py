@@ -22,7 +22,9 @@ def arrivals(readings: DataFrame) -> DataFrame:
     )
 
 
-def _latest_batch_at(times: DataFrame, headers: DataFrame, width: int) -> DataFrame:
+def _latest_batch_at(
+    times: DataFrame, headers: DataFrame, width: int, rows: int | None = None
+) -> DataFrame:
     """For each distinct ``t``, the last batch with ``wm <= t`` (as-of lookup).
 
     Both sides share one time axis, cut into blocks of ``width``; a block holds at
@@ -31,12 +33,12 @@ def _latest_batch_at(times: DataFrame, headers: DataFrame, width: int) -> DataFr
     axis = (
         times.select("t").distinct().withColumn("at_seq", F.lit(None).cast("bigint"))
         .unionByName(headers.select(F.col("wm").alias("t"), F.col("seq").alias("at_seq")))
-        .withColumn("block", bucket_of(F.col("t"), width))
     )
     scanned = with_block_carry(
-        axis, [], "block",
+        axis, [], bucket_of(F.col("t"), width),
         {"block_last": F.max("at_seq")},
         {"carry": lambda w: F.max("block_last").over(before(w))},
+        rows,
     )
     # batches sort before lookups at the same time
     inside = so_far(Window.partitionBy("block").orderBy("t", F.col("at_seq").isNull()))
@@ -44,32 +46,34 @@ def _latest_batch_at(times: DataFrame, headers: DataFrame, width: int) -> DataFr
     return scanned.select("t", "at_seq", found).where("at_seq is null").drop("at_seq")
 
 
-def active_probes(arrived: DataFrame, headers: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def active_probes(
+    arrived: DataFrame, headers: DataFrame, params: Params = DEFAULTS, rows: int | None = None
+) -> DataFrame:
     """One row per batch and city with a reading no older than ``wm - active_ms``.
 
     Between two of its batches a city's latest reading time stays the same and
     watermarks only advance, so it is active from a batch up to the last one whose
     watermark is still within reach. That end comes from an as-of lookup; the
     batches in between are then generated (batch numbers are consecutive), and
-    every generated row is a result.
+    every generated row is a result. ``rows`` bounds arrivals and headers together.
     """
-    ahead = advancing(headers)
-    rows = with_block_carry(
-        arrived.select(*KEY, "seq", "max_ts").withColumn("block", bucket_of(F.col("seq"), SEQ_BLOCK)),
-        KEY, "block",
+    ahead = advancing(headers, rows)
+    carried = with_block_carry(
+        arrived.select(*KEY, "seq", "max_ts"), KEY, bucket_of(F.col("seq"), SEQ_BLOCK),
         {"block_max": F.max("max_ts"), "block_first": F.min("seq")},
         {
             "carry": lambda w: F.max("block_max").over(before(w)),
             "next_first": lambda w: F.lead("block_first").over(w),
         },
+        rows,
     )
     inside = Window.partitionBy(*KEY, "block").orderBy("seq")
-    spans = rows.select(
+    spans = carried.select(
         *KEY, "seq",
         F.coalesce(F.lead("seq").over(inside), F.col("next_first")).alias("next_seq"),
         (F.greatest("carry", F.max("max_ts").over(so_far(inside))) + params.active_ms).alias("t"),
     )
-    ends = _latest_batch_at(spans, ahead, params.step_ms)
+    ends = _latest_batch_at(spans, ahead, params.step_ms, rows)
     return (
         spans.join(ends, "t")
         .where("last_seq is not null")
@@ -81,7 +85,9 @@ def active_probes(arrived: DataFrame, headers: DataFrame, params: Params = DEFAU
     )
 
 
-def late_bounds(arrived: DataFrame, probes: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def late_bounds(
+    arrived: DataFrame, probes: DataFrame, params: Params = DEFAULTS, rows: int | None = None
+) -> DataFrame:
     """``(city, period, seq, bound)`` for the batches that hold late readings.
 
     A reading is late if it is older than the latest watermark its city was asked
@@ -94,12 +100,12 @@ def late_bounds(arrived: DataFrame, probes: DataFrame, params: Params = DEFAULTS
     both = (
         arrived.select(*KEY, "seq", "min_ts", none.alias("wm"))
         .unionByName(probes.select(*KEY, "seq", none.alias("min_ts"), "wm"))
-        .withColumn("block", bucket_of(F.col("seq"), SEQ_BLOCK))
     )
     scanned = with_block_carry(
-        both, KEY, "block",
+        both, KEY, bucket_of(F.col("seq"), SEQ_BLOCK),
         {"block_wm": F.max("wm")},
         {"carry": lambda w: F.max("block_wm").over(before(w))},
+        rows,
     )
     # a batch's readings come before its own probe
     inside = before(Window.partitionBy(*KEY, "block").orderBy("seq", F.col("wm").isNotNull()))

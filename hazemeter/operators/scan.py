@@ -5,29 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import functions as F
+
+
+# A scan over at most this many rows in total may run in one task.
+ONE_TASK_ROWS = 1_000_000
 
 
 def with_block_carry(
     df: DataFrame,
     keys: Sequence[str],
-    block: str,
+    block: Column,
     totals: Mapping[str, Column],
     carries: Mapping[str, Callable[[WindowSpec], Column]],
+    rows: int | None = None,
 ) -> DataFrame:
-    """Adds to every row what the other blocks of its key contribute.
+    """Adds ``block`` and, to every row, what the other blocks of its key contribute.
 
     A running aggregate over ``keys`` splits into one within ``(keys, block)``,
     which the caller takes with an ordinary window, and one over the blocks,
     taken here on a single row per block: ``totals`` aggregates each block and
     ``carries`` turns those into columns, given the window of a key's blocks in
     order. A hot key is thus spread over as many tasks as it has blocks.
+
+    If ``df`` is known to have at most ``ONE_TASK_ROWS`` rows, everything is one
+    block and nothing is carried.
     """
-    over_blocks = Window.partitionBy(*keys).orderBy(block)
-    per_block = df.groupBy(*keys, block).agg(*[agg.alias(name) for name, agg in totals.items()])
+    if rows is not None and rows <= ONE_TASK_ROWS:
+        return df.withColumns({"block": F.lit(0), **{name: F.lit(None) for name in carries}})
+    df = df.withColumn("block", block)
+    over_blocks = Window.partitionBy(*keys).orderBy("block")
+    per_block = df.groupBy(*keys, "block").agg(*[agg.alias(name) for name, agg in totals.items()])
     carried = per_block.select(
-        *keys, block, *[make(over_blocks).alias(name) for name, make in carries.items()]
+        *keys, "block", *[make(over_blocks).alias(name) for name, make in carries.items()]
     )
-    return df.join(carried, [*keys, block])
+    return df.join(carried, [*keys, "block"])
 
 
 def before(window: WindowSpec) -> WindowSpec:

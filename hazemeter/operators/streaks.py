@@ -14,31 +14,29 @@ from hazemeter.params import DAY, DEFAULTS, Params
 KEY = ["city", "period"]
 
 
-def good_streak(values: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def good_streak(values: DataFrame, params: Params = DEFAULTS, rows: int | None = None) -> DataFrame:
     """Adds ``good_since``: start of the run of good values, NULL at a bad one.
 
     A run starts at a good value whose predecessor is bad or missing; silence does
     not end it. Both the predecessor and the latest start are running aggregates,
-    taken per city and day with a carry between days.
+    taken per city and day with a carry between days. ``rows`` bounds the values.
     """
     seen = F.struct("ts_ms", "good")
-    days = values.withColumns({
-        "good": is_good(F.col("aqi"), params.good_max),
-        "block": bucket_of(F.col("ts_ms"), DAY),
-    })
-    days = with_block_carry(
-        days, KEY, "block",
+    day = bucket_of(F.col("ts_ms"), DAY)
+    inside = Window.partitionBy(*KEY, "block").orderBy("ts_ms")
+    known = with_block_carry(
+        values.withColumn("good", is_good(F.col("aqi"), params.good_max)), KEY, day,
         {"block_last": F.max(seen)},
         {"carry_last": lambda w: F.max("block_last").over(before(w))},
-    )
-    inside = Window.partitionBy(*KEY, "block").orderBy("ts_ms")
-    previous = F.greatest(F.max(seen).over(before(inside)), F.col("carry_last"))
+        rows,
+    ).withColumn("previous", F.greatest(F.max(seen).over(before(inside)), F.col("carry_last")))
     starts = F.col("good") & ~F.coalesce(F.col("previous.good"), F.lit(False))
-    marked = days.withColumn("previous", previous).withColumn("start", F.when(starts, F.col("ts_ms")))
     marked = with_block_carry(
-        marked.drop("carry_last", "previous"), KEY, "block",
+        known.withColumn("start", F.when(starts, F.col("ts_ms"))).drop("block", "carry_last", "previous"),
+        KEY, day,
         {"block_start": F.max("start")},
         {"carry_start": lambda w: F.max("block_start").over(before(w))},
+        rows,
     )
     since = F.greatest(F.max("start").over(so_far(inside)), F.col("carry_start"))
     return marked.withColumn("good_since", F.when(F.col("good"), since)).drop(
@@ -46,9 +44,11 @@ def good_streak(values: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def streak_at_watermark(values: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def streak_at_watermark(
+    values: DataFrame, params: Params = DEFAULTS, rows: int | None = None
+) -> DataFrame:
     """``(seq, city, ts_last, good_since)`` at every watermark value of one period."""
-    return good_streak(values, params).where("is_probe").select(
+    return good_streak(values, params, rows).where("is_probe").select(
         "seq", "city", F.col("ts_ms").alias("ts_last"), "good_since"
     )
 

@@ -22,7 +22,7 @@ from hazemeter.params import DAY, DEFAULTS, HOUR, MINUTE
 from hazemeter.plans import fixtures as fx
 from hazemeter.plans import standing as st
 from hazemeter.schema import CURRENT, LAST_YEAR
-from hazemeter.session import configure, written
+from hazemeter.session import configure, counted, written
 
 WIDE = replace(DEFAULTS, active_ms=12 * HOUR, k=20, histogram_origin_ms=fx.T0)
 SHIFT = replace(DEFAULTS, shift_ms=fx.SHIFT)
@@ -46,8 +46,9 @@ def _timely(spark, sf_dir, wide=False, late=False) -> st.Timely:
 
 def _probes(spark, sf_dir, wide=False) -> DataFrame:
     readings = fx.readings(spark, sf_dir, wide=wide)
-    headers = written(b.flat_headers(readings), "headers")
-    return active_probes(written(arrivals(readings), "arrivals"), headers, WIDE if wide else DEFAULTS)
+    headers, n_headers = counted(b.flat_headers(readings), "headers")
+    arrived, n_arrived = counted(arrivals(readings), "arrivals")
+    return active_probes(arrived, headers, WIDE if wide else DEFAULTS, n_headers + n_arrived)
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -327,7 +328,8 @@ def q1_results_nested(spark, sf_dir):
 def good_streak_(spark, sf_dir):
     base = _timely(spark, sf_dir)
     values = aqi24_all(aqi24_snapshots(base.slices), base.at_watermark()).where(F.col("period") == CURRENT)
-    return good_streak(written(values, "values")).select("city", "ts_ms", "is_probe", "good_since")
+    values, rows = counted(values, "values")
+    return good_streak(values, rows=rows).select("city", "ts_ms", "is_probe", "good_since")
 
 
 @query

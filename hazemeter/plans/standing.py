@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazemeter.operators.batches import watermark_guard
+from hazemeter.operators.batches import flatten_batches, nested_headers, watermark_guard
+from hazemeter.operators.geo import locate
 from hazemeter.operators.improve import aqi_improvement, top_improvements
 from hazemeter.operators.probes import active_probes, arrivals, drop_late, late_bounds
 from hazemeter.operators.slices import slice_sums
@@ -15,7 +16,7 @@ from hazemeter.operators.streaks import streak_at_watermark, streak_histogram
 from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aqi24_snapshots
 from hazemeter.params import DEFAULTS, Params
 from hazemeter.schema import CURRENT
-from hazemeter.session import written
+from hazemeter.session import counted, written
 
 
 @dataclass(frozen=True)
@@ -40,15 +41,23 @@ def timely(readings: DataFrame, headers: DataFrame, params: Params = DEFAULTS) -
     The tables written on the way hold a row per batch, per city and batch, or per
     city and slice; the readings themselves are only ever scanned.
     """
-    headers = written(watermark_guard(headers, params), "headers")
-    arrived = written(arrivals(readings), "arrivals")
-    probes = written(active_probes(arrived, headers, params), "probes")
-    late = written(late_bounds(arrived, probes, params), "late")
-    kept = drop_late(readings, late)
+    headers, n_headers = counted(watermark_guard(headers, params), "headers")
+    arrived, n_arrived = counted(arrivals(readings), "arrivals")
+    probes, n_probes = counted(
+        active_probes(arrived, headers, params, rows=n_headers + n_arrived), "probes"
+    )
+    late, n_late = counted(late_bounds(arrived, probes, params, rows=n_arrived + n_probes), "late")
+    kept = drop_late(readings, late) if n_late else readings
     slices = written(slice_sums(kept, params), "slices")
     return Timely(headers, kept, probes, slices, params)
 
 
+def timely_batches(batches: DataFrame, locations: DataFrame, params: Params = DEFAULTS) -> Timely:
+    """``timely`` for nested batches, with cities from geometry."""
+    readings = locate(flatten_batches(batches, params), locations)
+    return timely(readings, nested_headers(batches, params), params)
+
+
 def improvements(base: Timely) -> DataFrame:
     at_watermark = written(base.at_watermark(), "at-watermark")
     means = aqi5d(aqi24_snapshots(base.slices, base.params), at_watermark, base.params)
@@ -66,7 +75,8 @@ def current_streaks(base: Timely) -> DataFrame:
         base.headers, base.readings.where(now), base.probes.where(now), base.slices.where(now), base.params
     )
     values = aqi24_all(aqi24_snapshots(only_now.slices, base.params), only_now.at_watermark())
-    return streak_at_watermark(written(values, "values"), base.params)
+    values, rows = counted(values, "values")
+    return streak_at_watermark(values, base.params, rows)
 
 
 def q2(base: Timely) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,7 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     real size, so that it broadcasts the table only below
     ``spark.sql.autoBroadcastJoinThreshold``.
     """
+    return counted(df, name)[0]
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written``, with the number of rows seen while writing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
