@@ -26,7 +26,8 @@ def streak_bucket(wm: Column, good_since: Column, width: Column, params: Params
     bucket = F.floor(streak / F.nullif(width, F.lit(0)))
     if not params.legacy_overflow:
         bucket = F.least(bucket, F.lit(params.buckets - 1).cast("bigint"))
-    return F.coalesce(bucket, F.lit(0).cast("bigint")).cast("int")
+    has_both = good_since.isNotNull() & (width > 0)
+    return F.when(has_both, bucket).otherwise(F.lit(0).cast("bigint")).cast("int")
 
 
 def per_mille(part: Column, total: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hazemeter.functions.aqi import is_good
 from hazemeter.functions.histogram import bucket_width, per_mille, streak_bucket
 from hazemeter.functions.timegrid import bucket_of
-from hazemeter.operators.scan import before, so_far, with_block_carry
+from hazemeter.operators.scan import before, so_far_with_ties, with_block_carry
 from hazemeter.params import DAY, DEFAULTS, Params
 
 KEY = ["city", "period"]
@@ -38,7 +38,8 @@ def good_streak(values: DataFrame, params: Params = DEFAULTS, rows: int | None =
         {"carry_start": lambda w: F.max("block_start").over(before(w))},
         rows,
     )
-    since = F.greatest(F.max("start").over(so_far(inside)), F.col("carry_start"))
+    # of values at one time only one is marked as the start; all of them see it
+    since = F.greatest(F.max("start").over(so_far_with_ties(inside)), F.col("carry_start"))
     return marked.withColumn("good_since", F.when(F.col("good"), since)).drop(
         "good", "block", "start", "carry_start"
     )

@@ -156,9 +156,8 @@ def _width(wm: str, origin: int) -> str:
 
 
 def _bucket(streak: str, width: str) -> str:
-    return (
-        f"cast(coalesce(case when {width} > 0 then least(least({streak}, {7 * DAY}) // {width}, 13) end, 0) as integer)"
-    )
+    inside = f"least(least({streak}, {7 * DAY}) // {width}, 13)"
+    return f"cast(case when {width} > 0 and {streak} is not null then {inside} else 0 end as integer)"
 
 
 def _milli(x: str) -> str:

@@ -31,15 +31,21 @@ from hazemeter.session import configure, counted, written
 from hazemeter.sources.tables import write_epoch
 
 KEY = ["city", "period"]
-CITIES = (
-    "city STRING, period STRING, max_ts BIGINT, last_wm BIGINT, origin BIGINT, good_since BIGINT, epoch BIGINT"
-)
-SLICES = "city STRING, period STRING, slice_end BIGINT, s1 BIGINT, s2 BIGINT, n BIGINT, day BIGINT, epoch BIGINT"
-READINGS = (
-    "seq BIGINT, pos BIGINT, city STRING, period STRING, ts_ms BIGINT, p1 DOUBLE, p2 DOUBLE, "
-    "day BIGINT, epoch BIGINT"
-)
-RUN = "max_wm BIGINT, last_seq BIGINT, epoch BIGINT"
+TABLES = {
+    "cities": (
+        "city STRING, period STRING, max_ts BIGINT, last_wm BIGINT, origin BIGINT, "
+        "good_since BIGINT, epoch BIGINT"
+    ),
+    "slices": (
+        "city STRING, period STRING, slice_end BIGINT, s1 BIGINT, s2 BIGINT, n BIGINT, "
+        "day BIGINT, epoch BIGINT"
+    ),
+    "readings": (
+        "seq BIGINT, pos BIGINT, city STRING, period STRING, ts_ms BIGINT, p1 DOUBLE, p2 DOUBLE, "
+        "day BIGINT, epoch BIGINT"
+    ),
+    "run": "max_wm BIGINT, last_seq BIGINT, epoch BIGINT",
+}
 
 
 @dataclass(frozen=True)
@@ -51,13 +57,13 @@ class Stores:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(self.path(name))
-        except Exception as missing:
-            if getattr(missing, "getCondition", lambda: "")() != "PATH_NOT_FOUND":
-                raise
-            return spark.createDataFrame([], schema)
+    def create(self, spark: SparkSession) -> None:
+        """Empty state tables, where there are none yet."""
+        for name, schema in TABLES.items():
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.schema(TABLES[name]).parquet(self.path(name))
 
 
 def _day(column: str):
@@ -76,7 +82,7 @@ def answer_epoch(
     """Answers both questions for the batches of one micro-batch."""
     spark = configure(batches.sparkSession)
     before = (
-        stores.read(spark, "run", RUN).where(F.col("epoch") < epoch)
+        stores.read(spark, "run").where(F.col("epoch") < epoch)
         .agg(F.max("max_wm"), F.max("last_seq"), F.max("epoch")).first()
     )
     low_wm, last_seq, last_epoch = before
@@ -91,7 +97,7 @@ def answer_epoch(
     carried_seq = F.lit(first_seq - 1 if last_seq is None else last_seq).cast("bigint")
 
     known = written(
-        stores.read(spark, "cities", CITIES).where(F.col("epoch") == F.lit(last_epoch)).drop("epoch"),
+        stores.read(spark, "cities").where(F.col("epoch") == F.lit(last_epoch)).drop("epoch"),
         "cities",
     )
     fresh = locate(flatten_batches(batches, params), locations)
@@ -111,7 +117,7 @@ def answer_epoch(
     kept = (drop_late(fresh, late) if n_late else fresh).select("seq", "pos", *KEY, "ts_ms", "p1", "p2")
 
     write_epoch(kept.withColumn("day", _day("ts_ms")), stores.path("readings"), epoch, "day")
-    mine = stores.read(spark, "readings", READINGS).where(F.col("epoch") == epoch).drop("day", "epoch")
+    mine = stores.read(spark, "readings").where(F.col("epoch") == epoch).drop("day", "epoch")
     write_epoch(
         slice_sums(mine, params).withColumn("day", _day("slice_end")), stores.path("slices"), epoch, "day"
     )
@@ -122,11 +128,11 @@ def answer_epoch(
     newest = probes.groupBy(*KEY).agg(F.max("wm").alias("until"))
     owed = known.join(newest, KEY, "left_semi").agg(F.min(F.coalesce("last_wm", "origin"))).first()[0]
     log_low = low - max(params.window_ms, params.active_ms) - params.step_ms
-    log = _from_day(stores.read(spark, "readings", READINGS), log_low, "ts_ms", epoch)
+    log = _from_day(stores.read(spark, "readings"), log_low, "ts_ms", epoch)
     snapshots_low = low - params.mean_ms if owed is None else min(low - params.mean_ms, owed)
     slices_low = min(log_low, snapshots_low - params.window_ms - params.step_ms)
     slices = written(
-        _from_day(stores.read(spark, "slices", SLICES), slices_low, "slice_end", epoch)
+        _from_day(stores.read(spark, "slices"), slices_low, "slice_end", epoch)
         .groupBy(*KEY, "slice_end")
         .agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "n")]),
         "slices",
@@ -194,6 +200,7 @@ def run_questions(
     the same ``root`` goes on from there.
     """
     stores = Stores(root)
+    stores.create(batches.sparkSession)
     return (
         batches.writeStream
         .foreachBatch(lambda df, epoch: answer_epoch(df, epoch, locations, stores, params))

@@ -1,0 +1,163 @@
+"""The windows of one city as a keyed state function.
+
+For streams in which readings and probes of a city arrive interleaved. A group's
+state is one row: readings summed per millisecond over one window, snapshot values
+over one mean window, the last watermark and the running streak. It suits keys
+whose window fits a worker's memory; ``hazemeter.streaming.job`` has no such limit.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from hazemeter.functions.aqi import PM10_BREAKPOINTS, PM25_BREAKPOINTS
+from hazemeter.params import DEFAULTS, Params
+
+INPUT = (
+    "seq BIGINT, is_probe BOOLEAN, pos BIGINT, city STRING, period STRING, ts_ms BIGINT, "
+    "p1 DOUBLE, p2 DOUBLE"
+)
+OUTPUT = (
+    "city STRING, period STRING, seq BIGINT, ts_ms BIGINT, is_probe BOOLEAN, aqi INT, aqi_p1 INT, "
+    "aqi_p2 INT, mean DOUBLE, good_since BIGINT"
+)
+STATE = (
+    "last_wm BIGINT, t ARRAY<BIGINT>, s1 ARRAY<BIGINT>, s2 ARRAY<BIGINT>, n ARRAY<BIGINT>, "
+    "snap_t ARRAY<BIGINT>, snap_aqi ARRAY<BIGINT>, good_since BIGINT"
+)
+
+
+def _index(value: np.ndarray, breakpoints) -> np.ndarray:
+    x = np.array([b[0] for b in breakpoints], np.float32)
+    y = np.array([b[1] for b in breakpoints], np.float32)
+    high = np.clip(np.searchsorted(x, value, side="left"), 1, len(x) - 1)
+    low = high - 1
+    line = (y[high] - y[low]) / (x[high] - x[low]) * (value - x[low]) + y[low]
+    line = np.where(value <= x[0], y[0], np.where(value > x[-1], y[-1], line))
+    return np.floor(line.astype(np.float64) + 0.5).astype(np.int32)
+
+
+def _indexes(s1, s2, n, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """P1 and P2 index of unit sums."""
+    mean1 = (s1 / float(scale) / n).astype(np.float32)
+    mean2 = (s2 / float(scale) / n).astype(np.float32)
+    tenths = np.floor(mean2 * np.float32(10)).astype(np.float32) / np.float32(10)
+    return _index(np.floor(mean1), PM10_BREAKPOINTS), _index(tenths, PM25_BREAKPOINTS)
+
+
+class _City:
+    """One key's state while its rows are processed."""
+
+    def __init__(self, stored: tuple | None, params: Params) -> None:
+        self.p = params
+        empty = [np.array([], np.int64)] * 4
+        if stored is None:
+            self.last_wm, self.good_since = None, None
+            self.ticks, self.snaps = empty, {}
+        else:
+            self.last_wm, *ticks, snap_t, snap_aqi, self.good_since = stored
+            self.ticks = [np.array(c, np.int64) for c in ticks]
+            self.snaps = dict(zip(snap_t, snap_aqi))
+
+    def stored(self) -> tuple:
+        lists = [c.tolist() for c in self.ticks]
+        return self.last_wm, *lists, list(self.snaps), list(self.snaps.values()), self.good_since
+
+    def read(self, rows: pd.DataFrame) -> None:
+        """Adds readings in arrival order; late ones are dropped."""
+        if self.last_wm is None:
+            first = int(rows["ts_ms"].iloc[0])
+            self.last_wm = first - (first - self.p.origin_ms) % self.p.step_ms
+        rows = rows[rows["ts_ms"] >= self.last_wm]
+        units = lambda c: np.floor(rows[c].to_numpy() * self.p.value_scale + 0.5).astype(np.int64)
+        new = [rows["ts_ms"].to_numpy(np.int64), units("p1"), units("p2"), np.ones(len(rows), np.int64)]
+        t, s1, s2, n = (np.concatenate(pair) for pair in zip(self.ticks, new))
+        at, where = np.unique(t, return_inverse=True)
+        sums = [np.zeros(len(at), np.int64) for _ in range(3)]
+        for total, values in zip(sums, (s1, s2, n)):
+            np.add.at(total, where, values)
+        self.ticks = [at, *sums]
+
+    def _window(self, ends: np.ndarray) -> tuple:
+        """Sums over ``[end - window, end)`` and the count in the active stretch."""
+        t = self.ticks[0]
+        hi, lo = np.searchsorted(t, ends), np.searchsorted(t, ends - self.p.window_ms)
+        recent = np.searchsorted(t, ends - self.p.active_ms)
+        run = [np.concatenate(([0], np.cumsum(c))) for c in self.ticks[1:]]
+        return *(r[hi] - r[lo] for r in run), run[2][hi] - run[2][recent]
+
+    def probe(self, wm: int) -> list[tuple]:
+        """Values due at a watermark: pending snapshots, then the watermark's own."""
+        if self.last_wm is None:
+            return [(wm, True, -1, 0, 0, -1.0, None)]
+        if wm < self.last_wm:
+            return []
+        out, step = [], self.p.step_ms
+        t = self.ticks[0]
+        ends = np.unique(t - (t - self.p.origin_ms) % step + step)
+        ends = np.unique(np.concatenate((ends, ends + step)))
+        ends = ends[(ends > self.last_wm) & (ends <= wm)]
+        if len(ends):
+            s1, s2, n, _ = self._window(ends)
+            ends, s1, s2, n = ends[n > 0], s1[n > 0], s2[n > 0], n[n > 0]
+            for end, a1, a2 in zip(ends.tolist(), *_indexes(s1, s2, n, self.p.value_scale)):
+                aqi = int(max(a1, a2))
+                self._streak(end, aqi)
+                self.snaps[end] = aqi
+                out.append((end, False, aqi, int(a1), int(a2), None, self.good_since))
+        s1, s2, n, recent = self._window(np.array([wm]))
+        if n[0] > 0 and recent[0] > 0:
+            a1, a2 = (int(v[0]) for v in _indexes(s1, s2, n, self.p.value_scale))
+            aqi = max(a1, a2)
+            self._streak(wm, aqi)
+            within = [v for at, v in self.snaps.items() if wm - self.p.mean_ms < at <= wm]
+            mean = sum(within) / len(within) if within else float(aqi)
+            out.append((wm, True, aqi, a1, a2, mean, self.good_since))
+        self._expire(wm)
+        return out
+
+    def _streak(self, at: int, aqi: int) -> None:
+        if not 0 <= aqi <= self.p.good_max:
+            self.good_since = None
+        elif self.good_since is None:
+            self.good_since = at
+
+    def _expire(self, wm: int) -> None:
+        """Drops what no later window can reach; the watermark itself stays."""
+        self.last_wm = wm
+        reach = self.ticks[0] >= wm - max(self.p.window_ms, self.p.active_ms)
+        self.ticks = [c[reach] for c in self.ticks]
+        self.snaps = {at: v for at, v in self.snaps.items() if at > wm - self.p.mean_ms}
+
+
+def keyed_windows(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """All values of each city's stream of readings and probes (``INPUT`` columns).
+
+    Snapshots (``is_probe`` false) come with the probe they were due at; watermark
+    values also carry the mean over snapshots. Rows of one micro-batch are taken in
+    the order of their batch, readings before probes.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["seq", "is_probe", "pos"], kind="stable")
+        city = _City(state.get if state.exists else None, params)
+        out = []
+        for (seq, is_probe), part in rows.groupby(["seq", "is_probe"], sort=True):
+            if not is_probe:
+                city.read(part)
+                continue
+            for wm in part["ts_ms"].tolist():
+                out += [(*key, seq, *value) for value in city.probe(wm)]
+        state.update(city.stored())
+        columns = ["city", "period", "seq", "ts_ms", "is_probe", "aqi", "aqi_p1", "aqi_p2", "mean", "good_since"]
+        frame = pd.DataFrame(out, columns=columns)
+        yield frame.astype({"good_since": "Int64", "mean": "float64"})
+
+    return rows.groupBy("city", "period").applyInPandasWithState(
+        step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    )
