@@ -93,13 +93,16 @@ def nested_headers(batches: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def flat_headers(readings: DataFrame) -> DataFrame:
-    """``(seq, wm)`` from flat readings, whose last-year times are already shifted."""
+def flat_headers(readings: DataFrame, ts: str = "ts_ms", pos: str = "pos") -> DataFrame:
+    """``(seq, wm)`` from flat readings, whose last-year times are already shifted.
+
+    Arrivals serve as well, with the columns of their last-positioned reading.
+    """
     is_current = F.col("period") == CURRENT
     return readings.groupBy("seq").agg(
         F.coalesce(
-            F.max_by(F.when(is_current, F.col("ts_ms")), F.when(is_current, F.col("pos"))),
-            F.max_by("ts_ms", "pos"),
+            F.max_by(F.when(is_current, F.col(ts)), F.when(is_current, F.col(pos))),
+            F.max_by(ts, pos),
         ).alias("wm")
     )
 

@@ -22,6 +22,17 @@ def arrivals(readings: DataFrame) -> DataFrame:
     )
 
 
+def arrivals_of_cells(cells: DataFrame) -> DataFrame:
+    """``arrivals``, plus the last-positioned reading, from cells."""
+    return cells.groupBy(*KEY, "seq").agg(
+        F.max("max_ts").alias("max_ts"),
+        F.min("min_ts").alias("min_ts"),
+        F.min_by("first_ts", "first_pos").alias("first_ts"),
+        F.max("last_pos").alias("last_pos"),
+        F.max_by("last_ts", "last_pos").alias("last_ts"),
+    )
+
+
 def _latest_batch_at(
     times: DataFrame, headers: DataFrame, width: int, rows: int | None = None
 ) -> DataFrame:

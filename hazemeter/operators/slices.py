@@ -26,6 +26,47 @@ def slice_sums(readings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
+def slice_cells(readings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Slice sums kept apart by batch, with the times and positions the rest needs.
+
+    One pass over the readings from which arrivals, batch watermarks and slices
+    are rolled up.
+    """
+    start = slice_start(F.col("ts_ms"), params.step_ms, params.origin_ms)
+    return readings.groupBy(*KEY, "seq", (start + params.step_ms).alias("slice_end")).agg(
+        F.sum(units("p1", params.value_scale)).alias("s1"),
+        F.sum(units("p2", params.value_scale)).alias("s2"),
+        F.count(F.lit(1)).alias("n"),
+        F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"),
+        F.min("pos").alias("first_pos"), F.min_by("ts_ms", "pos").alias("first_ts"),
+        F.max("pos").alias("last_pos"), F.max_by("ts_ms", "pos").alias("last_ts"),
+    )
+
+
+def slices_of_cells(
+    cells: DataFrame, readings: DataFrame, late: DataFrame | None, params: Params = DEFAULTS
+) -> DataFrame:
+    """``slice_sums`` of the readings that are not late, from cells.
+
+    ``late`` has the bounds of the batches with late readings, or is None. Cells
+    before their bound vanish, cells behind it count as they are; only a cell the
+    bound cuts through is summed again from its readings.
+    """
+    sums = [F.sum(c).alias(c) for c in ("s1", "s2", "n")]
+    if late is None:
+        return cells.groupBy(*KEY, "slice_end").agg(*sums)
+    bounded = cells.join(late, [*KEY, "seq"], "left")
+    whole = bounded.where("bound is null or min_ts >= bound").select(*KEY, "slice_end", "s1", "s2", "n")
+    cut = bounded.where("min_ts < bound and max_ts >= bound").select(*KEY, "seq", "slice_end", "bound")
+    end = slice_start(F.col("ts_ms"), params.step_ms, params.origin_ms) + params.step_ms
+    again = (
+        readings.withColumn("slice_end", end)
+        .join(cut, [*KEY, "seq", "slice_end"])
+        .where("ts_ms >= bound")
+    )
+    return whole.unionByName(slice_sums(again, params)).groupBy(*KEY, "slice_end").agg(*sums)
+
+
 def slice_densify(slices: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Every slice from a key's first to its last, empty ones with zeros."""
     step = F.lit(params.step_ms).cast("bigint")

@@ -14,8 +14,8 @@ from hazemeter.functions.timegrid import bucket_of, epoch_ms, ntz_to_epoch_ms, s
 from hazemeter.operators import batches as b
 from hazemeter.operators.geo import locate, point_in_polygon
 from hazemeter.operators.improve import interval_join, nested_top
-from hazemeter.operators.probes import active_probes, arrivals
-from hazemeter.operators.slices import slice_densify, slice_sums
+from hazemeter.operators.probes import active_probes, arrivals_of_cells
+from hazemeter.operators.slices import slice_cells, slice_densify, slice_sums
 from hazemeter.operators.streaks import bucketed_streaks, good_streak
 from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aqi24_snapshots, sliding_aqi
 from hazemeter.params import DAY, DEFAULTS, HOUR, MINUTE
@@ -26,6 +26,7 @@ from hazemeter.session import configure, counted, written
 
 WIDE = replace(DEFAULTS, active_ms=12 * HOUR, k=20, histogram_origin_ms=fx.T0)
 SHIFT = replace(DEFAULTS, shift_ms=fx.SHIFT)
+LOCATED = replace(WIDE, shift_ms=fx.SHIFT, active_ms=2 * HOUR)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,13 +42,13 @@ def query(fn: Query) -> Query:
 
 def _timely(spark, sf_dir, wide=False, late=False) -> st.Timely:
     readings = fx.readings(spark, sf_dir, wide=wide, late=late)
-    return st.timely(readings, b.flat_headers(readings), WIDE if wide else DEFAULTS)
+    return st.timely(readings, params=WIDE if wide else DEFAULTS)
 
 
 def _probes(spark, sf_dir, wide=False) -> DataFrame:
     readings = fx.readings(spark, sf_dir, wide=wide)
-    headers, n_headers = counted(b.flat_headers(readings), "headers")
-    arrived, n_arrived = counted(arrivals(readings), "arrivals")
+    arrived, n_arrived = counted(arrivals_of_cells(slice_cells(readings)), "arrivals")
+    headers, n_headers = counted(b.flat_headers(arrived, "last_ts", "last_pos"), "headers")
     return active_probes(arrived, headers, WIDE if wide else DEFAULTS, n_headers + n_arrived)
 
 
@@ -188,6 +189,12 @@ def late_drop(spark, sf_dir):
     return _timely(spark, sf_dir, late=True).readings.select("city", "period", "seq", "pos", "ts_ms")
 
 
+@query
+def late_slice_sums(spark, sf_dir):
+    """Slices behind the late bounds, where some are cut by one."""
+    return _slice_values(_timely(spark, sf_dir, late=True).slices)
+
+
 # --- joins --------------------------------------------------------------------
 
 
@@ -229,13 +236,17 @@ def _values(column: str):
     return (F.col(column).cast("double") / F.lit(float(DEFAULTS.value_scale)))
 
 
-@query
-def slice_sums_(spark, sf_dir):
-    return slice_sums(fx.readings(spark, sf_dir)).select(
+def _slice_values(slices: DataFrame) -> DataFrame:
+    return slices.select(
         "city", "period", "slice_end", _values("s1").alias("sum_p1"), _values("s2").alias("sum_p2"), "n"
     )
 
 
+@query
+def slice_sums_(spark, sf_dir):
+    return _slice_values(slice_sums(fx.readings(spark, sf_dir)))
+
+
 @query
 def slice_densify_(spark, sf_dir):
     slices = written(slice_sums(fx.readings(spark, sf_dir)), "slices")
@@ -321,6 +332,17 @@ def q1_results_nested(spark, sf_dir):
     return nested_top(base.headers, written(st.q1(base), "q1"))
 
 
+def _located(spark, sf_dir) -> st.Timely:
+    """From nested batches, with cities from geometry."""
+    places = written(fx.locations(spark, sf_dir), "locations")
+    return st.timely_batches(fx.batches(spark, sf_dir), places, LOCATED)
+
+
+@query
+def q1_located(spark, sf_dir):
+    return st.q1(_located(spark, sf_dir))
+
+
 # --- streaks ------------------------------------------------------------------
 
 
@@ -359,6 +381,11 @@ def q2_histogram_wide(spark, sf_dir):
     return st.q2(_timely(spark, sf_dir, wide=True))
 
 
+@query
+def q2_located(spark, sf_dir):
+    return st.q2(_located(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     """Query name → ``(spark, sf_dir) -> DataFrame``."""
     return {name.rstrip("_"): run for name, run in QUERIES.items()}

@@ -59,10 +59,39 @@ def _slice(t: str, step: int = STEP, origin: int = 0) -> str:
     return f"({t} - ((({t} - {origin}) % {step}) + {step}) % {step})"
 
 
+# Polygons of the nations and the containment test, edge by edge.
+_LAT = "cast(47.013 + (event_id % 80) / 10.0 as float)"
+_LON = "cast(6.017 + (user_id % 95) / 10.0 as float)"
+_GEO = {
+    "pts": f"select distinct {_LAT} as lat, {_LON} as lon from events",
+    "box": """
+        select n_nationkey as i, printf('%05d', n_nationkey) as zipcode,
+               case when n_nationkey = 1 then 'NATION_0' else n_name end as city,
+               cast(47.0 as double) + cast(1.6 as double) * (n_nationkey // 5) as s,
+               cast(6.0 as double) + cast(1.8 as double) * (n_nationkey % 5) as w from nation""",
+    "seg": """
+        select i, w as x0, s as y0, w + 1.8::double as x1, s as y1 from box
+        union all select i, w + 1.8::double, s, w + 1.8::double, s + 1.6::double from box where i % 2 = 0
+        union all select i, w + 1.8::double, s + 1.6::double, w, s + 1.6::double from box where i % 2 = 0
+        union all select i, w + 1.8::double, s, w, s + 1.6::double from box where i % 2 = 1
+        union all select i, w, s + 1.6::double, w, s from box""",
+    "hits": """
+        select p.lat, p.lon, g.i from pts p join seg g
+          on (g.y0 > p.lat::double) <> (g.y1 > p.lat::double)
+         and p.lon::double < (g.x1 - g.x0) * (p.lat::double - g.y0) / (g.y1 - g.y0) + g.x0
+        group by all having count(*) % 2 = 1""",
+    "placed": """
+        select lat, lon, min(zipcode) as zipcode, arg_min(city, zipcode) as city
+        from hits join box using (i) group by all""",
+}
+
+
 class Base:
     """Common table expressions for one way of reading the events."""
 
-    def __init__(self, wide=False, late=False, active=DEFAULTS.active_ms, step=STEP, size=DAY, origin=0):
+    def __init__(
+        self, wide=False, late=False, located=False, active=DEFAULTS.active_ms, step=STEP, size=DAY, origin=0
+    ):
         city = "user_id" if wide else "user_id % 20"
         delay = " + (case when event_id % 50 = 7 then 1 else 0 end)" if late else ""
         shifted = f"(case when ms >= {T0} then ms else ms + {SHIFT} end)"
@@ -73,9 +102,20 @@ class Base:
                    case when ms >= {T0} then 'current' else 'lastyear' end as period, {shifted} as ts_ms,
                    cast(floor(({shifted} - {T0}) / {BATCH_MS}.0) as bigint){delay} as seq
             from ev"""
-        self.ctes["hd"] = """
+        watermarks_of = "rd"
+        if located:  # single-precision readings, cities from geometry, watermarks from all readings
+            watermarks_of = "everywhere"
+            self.ctes["everywhere"] = self.ctes.pop("rd")
+            for part in _GEO:
+                self.ctes[part] = _GEO[part]
+            self.ctes["rd"] = f"""
+                select p.city, e.pos, cast(cast(e.p1 as float) as double) as p1,
+                       cast(cast(e.p2 as float) as double) as p2, e.period, e.ts_ms, e.seq
+                from everywhere e join events v on v.event_id = e.pos join placed p
+                  on p.lat = {_LAT} and p.lon = {_LON}"""
+        self.ctes["hd"] = f"""
             select seq, coalesce(max_by(ts_ms, pos) filter (where period = 'current'), max_by(ts_ms, pos)) as wm
-            from rd group by seq"""
+            from {watermarks_of} group by seq"""
         self.ctes["adv"] = """
             select seq, wm from hd h where not exists (select 1 from hd e where e.seq < h.seq and e.wm > h.wm)"""
         self.ctes["arr"] = "select city, period, seq, max(ts_ms) as max_ts from rd group by all"
@@ -191,28 +231,6 @@ def _histogram(origin: int) -> str:
         left join (select seq, count(*) as total from strk group by all) t on t.seq = h.seq"""
 
 
-# Polygons of the nations and the containment test, edge by edge.
-_GEO = """
-    pts as (select distinct cast(47.013 + (event_id % 80) / 10.0 as float) as lat,
-                            cast(6.017 + (user_id % 95) / 10.0 as float) as lon from events),
-    box as (select n_nationkey as i, printf('%05d', n_nationkey) as zipcode,
-                   case when n_nationkey = 1 then 'NATION_0' else n_name end as city,
-                   cast(47.0 as double) + cast(1.6 as double) * (n_nationkey // 5) as s,
-                   cast(6.0 as double) + cast(1.8 as double) * (n_nationkey % 5) as w from nation),
-    seg as (select i, w as x0, s as y0, w + 1.8::double as x1, s as y1 from box
-            union all select i, w + 1.8::double, s, w + 1.8::double, s + 1.6::double from box where i % 2 = 0
-            union all select i, w + 1.8::double, s + 1.6::double, w, s + 1.6::double from box where i % 2 = 0
-            union all select i, w + 1.8::double, s, w, s + 1.6::double from box where i % 2 = 1
-            union all select i, w, s + 1.6::double, w, s from box),
-    hits as (select p.lat, p.lon, g.i
-             from pts p join seg g
-               on (g.y0 > p.lat::double) <> (g.y1 > p.lat::double)
-              and p.lon::double < (g.x1 - g.x0) * (p.lat::double - g.y0) / (g.y1 - g.y0) + g.x0
-             group by all having count(*) % 2 = 1),
-    placed as (select lat, lon, min(zipcode) as zipcode, arg_min(city, zipcode) as city
-               from hits join box using (i) group by all)"""
-
-
 def statements() -> dict[str, str]:
     plain, wide = Base(), Base(wide=True, active=12 * HOUR)
     late = Base(late=True)
@@ -227,6 +245,8 @@ def statements() -> dict[str, str]:
                cast(count(*) filter (where cur) as integer) as n_current,
                cast(count(*) filter (where not cur) as integer) as n_lastyear
         from b group by seq_id"""
+    located = Base(located=True, active=2 * HOUR)
+    places = "with " + ", ".join(f"{name} as ({sql})" for name, sql in _GEO.items())
     out = {
         "aqi_pm25": f"select event_id, {pm25('value * 2')} as aqi from events",
         "aqi_pm10": f"select event_id, {pm10('value * 2')} as aqi from events",
@@ -259,11 +279,14 @@ def statements() -> dict[str, str]:
         "active_probes": plain.sql("probes", "select seq, wm, city, period from probes"),
         "active_probes_wide": wide.sql("probes", "select seq, wm, city, period from probes"),
         "late_drop": late.sql("kept", "select city, period, seq, pos, ts_ms from kept"),
-        "point_in_polygon": f"with {_GEO} select lat, lon, zipcode, city from placed",
+        "late_slice_sums": late.sql("slices", """
+            select city, period, slice_end, cast(s1 as double) as sum_p1, cast(s2 as double) as sum_p2, n from slices"""),
+        "q1_located": located.sql("imp", _top(20)),
+        "q2_located": located.sql("strk", _histogram(origin_wide)),
+        "point_in_polygon": f"{places} select lat, lon, zipcode, city from placed",
         "city_lookup_distinct": f"""
-            with {_GEO} select e.event_id as pos, p.city from events e join placed p
-              on p.lat = cast(47.013 + (e.event_id % 80) / 10.0 as float)
-             and p.lon = cast(6.017 + (e.user_id % 95) / 10.0 as float)""",
+            {places} select event_id as pos, p.city from events join placed p
+              on p.lat = {_LAT} and p.lon = {_LON}""",
         "interval_join_exact": plain.sql("slices", """
             select c.city, c.slice_end as ts_ms, c.n as n, l.n as r_n from slices c join slices l
               on c.city = l.city and c.slice_end = l.slice_end

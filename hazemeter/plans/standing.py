@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazemeter.operators.batches import flatten_batches, nested_headers, watermark_guard
+from hazemeter.operators.batches import flat_headers, flatten_batches, nested_headers, watermark_guard
 from hazemeter.operators.geo import locate
 from hazemeter.operators.improve import aqi_improvement, top_improvements
-from hazemeter.operators.probes import active_probes, arrivals, drop_late, late_bounds
-from hazemeter.operators.slices import slice_sums
+from hazemeter.operators.probes import active_probes, arrivals_of_cells, drop_late, late_bounds
+from hazemeter.operators.slices import slice_cells, slices_of_cells
 from hazemeter.operators.streaks import streak_at_watermark, streak_histogram
 from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aqi24_snapshots
 from hazemeter.params import DEFAULTS, Params
@@ -35,21 +35,27 @@ class Timely:
         )
 
 
-def timely(readings: DataFrame, headers: DataFrame, params: Params = DEFAULTS) -> Timely:
+def timely(
+    readings: DataFrame, headers: DataFrame | None = None, params: Params = DEFAULTS
+) -> Timely:
     """Derives probes, drops late readings and sums the slices.
 
-    The tables written on the way hold a row per batch, per city and batch, or per
-    city and slice; the readings themselves are only ever scanned.
+    The readings are scanned once for the cells; everything else here works on
+    tables with a row per batch, per city and batch, or per city and slice. Without
+    ``headers`` the batch watermarks are those of the readings given.
     """
+    cells = written(slice_cells(readings, params), "cells")
+    arrived, n_arrived = counted(arrivals_of_cells(cells), "arrivals")
+    if headers is None:
+        headers = flat_headers(arrived, "last_ts", "last_pos")
     headers, n_headers = counted(watermark_guard(headers, params), "headers")
-    arrived, n_arrived = counted(arrivals(readings), "arrivals")
     probes, n_probes = counted(
         active_probes(arrived, headers, params, rows=n_headers + n_arrived), "probes"
     )
     late, n_late = counted(late_bounds(arrived, probes, params, rows=n_arrived + n_probes), "late")
     kept = drop_late(readings, late) if n_late else readings
-    slices = written(slice_sums(kept, params), "slices")
-    return Timely(headers, kept, probes, slices, params)
+    slices = slices_of_cells(cells, readings, late if n_late else None, params)
+    return Timely(headers, kept, probes, written(slices, "slices"), params)
 
 
 def timely_batches(batches: DataFrame, locations: DataFrame, params: Params = DEFAULTS) -> Timely:
