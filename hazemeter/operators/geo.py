@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 CELL_DEGREES = 0.5
 LOOKUP_SALT = 16
+SMALL_LOOKUP = 100_000
 
 
 def _cell(degrees: Column, cell: float) -> Column:
@@ -89,17 +90,27 @@ def point_in_polygon(points: DataFrame, locations: DataFrame, cell: float = CELL
     )
 
 
-def locate(readings: DataFrame, locations: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """Readings with the ``city`` they lie in; those outside every location are dropped.
+def with_city(readings: DataFrame, lookup: DataFrame, rows: int | None = None) -> DataFrame:
+    """Readings with the city ``lookup`` gives for their coordinate; others are dropped.
 
-    Each distinct coordinate is looked up once. The answers then join back on the
-    coordinate: as a broadcast if the table of answers is below Spark's threshold,
-    else as a shuffle in which every coordinate is split into ``LOOKUP_SALT``
-    parts, so that a sensor with a large share of all rows does not end in one task.
+    A lookup known to have at most ``SMALL_LOOKUP`` rows joins as it is, and Spark
+    broadcasts it below its threshold. Otherwise every coordinate is split into
+    ``LOOKUP_SALT`` parts, so that a sensor with a large share of all rows does not
+    end in one task of the shuffle.
     """
+    answers = lookup.select("lat", "lon", "city")
+    readings = readings.drop("city")
+    if rows is not None and rows <= SMALL_LOOKUP:
+        return readings.join(answers, ["lat", "lon"])
     salts = F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALT - 1)))
-    answers = point_in_polygon(readings, locations, cell).select("lat", "lon", "city", salts.alias("salt"))
     salt = F.pmod(F.xxhash64("ts_ms", "pos"), F.lit(LOOKUP_SALT)).cast("int")
-    return readings.drop("city").withColumn("salt", salt).join(answers, ["lat", "lon", "salt"]).drop("salt")
+    return (
+        readings.withColumn("salt", salt)
+        .join(answers.withColumn("salt", salts), ["lat", "lon", "salt"])
+        .drop("salt")
+    )
 
 
+def locate(readings: DataFrame, locations: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
+    """Readings with the ``city`` they lie in; each distinct coordinate is looked up once."""
+    return with_city(readings, point_in_polygon(readings, locations, cell))

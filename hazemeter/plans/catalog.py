@@ -26,7 +26,7 @@ from hazemeter.session import configure, counted, written
 
 WIDE = replace(DEFAULTS, active_ms=12 * HOUR, k=20, histogram_origin_ms=fx.T0)
 SHIFT = replace(DEFAULTS, shift_ms=fx.SHIFT)
-LOCATED = replace(WIDE, shift_ms=fx.SHIFT, active_ms=2 * HOUR)
+LOCATED = replace(WIDE, shift_ms=fx.SHIFT, active_ms=6 * HOUR)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,8 +164,10 @@ def period_split(spark, sf_dir):
 
 @query
 def batch_watermark(spark, sf_dir):
-    flat = b.flat_headers(fx.readings(spark, sf_dir)).withColumnRenamed("wm", "flat_wm")
-    return b.nested_headers(fx.batches(spark, sf_dir), SHIFT).join(flat, "seq")
+    """From the arrays, and from the flat readings made of them."""
+    batches = fx.batches(spark, sf_dir)
+    flat = b.flat_headers(b.flatten_batches(batches, SHIFT)).withColumnRenamed("wm", "flat_wm")
+    return b.nested_headers(batches, SHIFT).join(flat, "seq")
 
 
 @query
@@ -335,7 +337,7 @@ def q1_results_nested(spark, sf_dir):
 def _located(spark, sf_dir) -> st.Timely:
     """From nested batches, with cities from geometry."""
     places = written(fx.locations(spark, sf_dir), "locations")
-    return st.timely_batches(fx.batches(spark, sf_dir), places, LOCATED)
+    return st.timely_batches(written(fx.batches(spark, sf_dir), "batches"), places, LOCATED)
 
 
 @query

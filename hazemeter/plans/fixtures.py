@@ -12,6 +12,7 @@ from hazemeter.schema import BATCH, CURRENT, LAST_YEAR, LOCATION
 T0 = 1_705_276_800_000  # 2024-01-15 UTC: earlier events play last year
 SHIFT = 14 * DAY
 BATCH_MS = 6 * HOUR
+BATCH_READINGS = 100  # per year in a nested batch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +63,13 @@ def longitude() -> Column:
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested batches in the wire shape; the last one carries the flag."""
+    """Nested batches in the wire shape; the last one carries the flag.
+
+    Batch number i holds the i-th ``BATCH_READINGS`` events of either year, so the
+    number of batches grows with the data and their size does not.
+    """
     ms = F.col("ms")
-    moved = F.when(ms >= T0, ms).otherwise(ms + F.lit(SHIFT))
+    now = ms >= T0
     reading = F.struct(
         F.struct(
             F.floor(ms / 1000).alias("seconds"), ((ms % 1000) * 1_000_000).cast("int").alias("nanos")
@@ -75,16 +80,14 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.struct(F.col("event_id").alias("pos"), reading.alias("m"))
 
     def side(condition: Column) -> Column:
-        # a batch is one message of six hours, the unit the source delivers
         return F.transform(F.sort_array(F.collect_list(F.when(condition, ordered))), lambda x: x["m"])
 
-    flat = _events(spark, sf_dir).withColumn(
-        "seq_id", bucket_of(moved - F.lit(T0).cast("bigint"), BATCH_MS)
-    )
+    events = _events(spark, sf_dir)
+    first_now = events.where(now).agg(F.min("event_id")).scalar()
+    number = F.when(now, F.col("event_id") - first_now).otherwise(F.col("event_id"))
+    flat = events.withColumn("seq_id", bucket_of(number, BATCH_READINGS))
     last = flat.agg(F.max("seq_id")).scalar()
-    nested = flat.groupBy("seq_id").agg(
-        side(ms >= T0).alias("current"), side(ms < T0).alias("lastyear")
-    )
+    nested = flat.groupBy("seq_id").agg(side(now).alias("current"), side(~now).alias("lastyear"))
     return nested.select("seq_id", (F.col("seq_id") == last).alias("last"), "current", "lastyear").to(
         spark.createDataFrame([], BATCH).schema
     )

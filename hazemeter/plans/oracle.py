@@ -8,7 +8,7 @@ subqueries, probes pair every batch with every earlier arrival.
 from __future__ import annotations
 
 from hazemeter.params import DAY, DEFAULTS, HOUR, MINUTE
-from hazemeter.plans.fixtures import BATCH_MS, SHIFT, T0
+from hazemeter.plans.fixtures import BATCH_MS, BATCH_READINGS, SHIFT, T0
 
 STEP = DEFAULTS.step_ms
 TEN_MIN = 10 * MINUTE
@@ -86,6 +86,13 @@ _GEO = {
 }
 
 
+# Number of the nested batch an event is delivered in.
+_CHUNK = (
+    f"(case when ms >= {T0} then event_id - (select min(event_id) from ev where ms >= {T0}) "
+    f"else event_id end) // {BATCH_READINGS}"
+)
+
+
 class Base:
     """Common table expressions for one way of reading the events."""
 
@@ -94,13 +101,18 @@ class Base:
     ):
         city = "user_id" if wide else "user_id % 20"
         delay = " + (case when event_id % 50 = 7 then 1 else 0 end)" if late else ""
+        seq = "cast(floor(({0} - {1}) / {2}.0) as bigint)".format(
+            f"(case when ms >= {T0} then ms else ms + {SHIFT} end)", T0, BATCH_MS
+        ) + delay
+        if located:
+            seq = _CHUNK
         shifted = f"(case when ms >= {T0} then ms else ms + {SHIFT} end)"
         self.ctes: dict[str, str] = {}
         self.ctes["ev"] = "select *, epoch_us(ts) // 1000 as ms from events"
         self.ctes["rd"] = f"""
             select cast({city} as varchar) as city, event_id as pos, event_type, value as p1, value * 0.25 as p2,
                    case when ms >= {T0} then 'current' else 'lastyear' end as period, {shifted} as ts_ms,
-                   cast(floor(({shifted} - {T0}) / {BATCH_MS}.0) as bigint){delay} as seq
+                   {seq} as seq
             from ev"""
         watermarks_of = "rd"
         if located:  # single-precision readings, cities from geometry, watermarks from all readings
@@ -238,14 +250,12 @@ def statements() -> dict[str, str]:
     origin, origin_wide = DEFAULTS.histogram_origin_ms, T0
     ev = plain.ctes["ev"]
     per_batch = f"""
-        with ev as ({ev}), b as (
-            select cast(floor(((case when ms >= {T0} then ms else ms + {SHIFT} end) - {T0}) / {BATCH_MS}.0) as bigint) as seq_id,
-                   ms >= {T0} as cur from ev)
+        with ev as ({ev}), b as (select {_CHUNK} as seq_id, ms >= {T0} as cur from ev)
         select seq_id, seq_id = (select max(seq_id) from b) as last,
                cast(count(*) filter (where cur) as integer) as n_current,
                cast(count(*) filter (where not cur) as integer) as n_lastyear
         from b group by seq_id"""
-    located = Base(located=True, active=2 * HOUR)
+    located = Base(located=True, active=6 * HOUR)
     places = "with " + ", ".join(f"{name} as ({sql})" for name, sql in _GEO.items())
     out = {
         "aqi_pm25": f"select event_id, {pm25('value * 2')} as aqi from events",
@@ -270,11 +280,11 @@ def statements() -> dict[str, str]:
                  b as (select event_type as feed, (ms - {T0 - 14 * DAY}) // {HOUR} as seq_id, count(*) as n from ev group by all),
                  k as (select *, row_number() over (partition by feed order by seq_id) as rn from b)
             select feed, seq_id, n from k where rn - 1 = seq_id and seq_id < 500""",
-        "flatten_batches": plain.sql("rd", """
+        "flatten_batches": located.sql("everywhere", """
             select r.seq, row_number() over (partition by r.seq, r.period order by r.pos) - 1 as pos, r.period, r.ts_ms,
                    cast(cast(r.p1 as float) as double) as p1, cast(cast(r.p2 as float) as double) as p2
-            from rd r"""),
-        "batch_watermark": plain.sql("hd", "select seq, wm, wm as flat_wm from hd"),
+            from everywhere r"""),
+        "batch_watermark": located.sql("hd", "select seq, wm, wm as flat_wm from hd"),
         "watermark_guard": plain.sql("hd", f"select seq, wm from hd where wm <= {T0 + 7 * DAY}"),
         "active_probes": plain.sql("probes", "select seq, wm, city, period from probes"),
         "active_probes_wide": wide.sql("probes", "select seq, wm, city, period from probes"),

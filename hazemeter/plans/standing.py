@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazemeter.operators.batches import flat_headers, flatten_batches, nested_headers, watermark_guard
-from hazemeter.operators.geo import locate
+from hazemeter.operators.geo import point_in_polygon, with_city
 from hazemeter.operators.improve import aqi_improvement, top_improvements
 from hazemeter.operators.probes import active_probes, arrivals_of_cells, drop_late, late_bounds
 from hazemeter.operators.slices import slice_cells, slices_of_cells
@@ -59,9 +59,14 @@ def timely(
 
 
 def timely_batches(batches: DataFrame, locations: DataFrame, params: Params = DEFAULTS) -> Timely:
-    """``timely`` for nested batches, with cities from geometry."""
-    readings = locate(flatten_batches(batches, params), locations)
-    return timely(readings, nested_headers(batches, params), params)
+    """``timely`` for nested batches, with cities from geometry.
+
+    The city of each distinct coordinate is found once and written, so that the
+    passes over the readings only join it.
+    """
+    readings = flatten_batches(batches, params)
+    lookup, rows = counted(point_in_polygon(readings, locations), "lookup")
+    return timely(with_city(readings, lookup, rows), nested_headers(batches, params), params)
 
 
 def improvements(base: Timely) -> DataFrame:

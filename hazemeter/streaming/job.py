@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hazemeter.functions.timegrid import bucket_of, slice_start
 from hazemeter.operators.batches import flatten_batches, nested_headers, watermark_guard
-from hazemeter.operators.geo import locate
+from hazemeter.operators.geo import point_in_polygon, with_city
 from hazemeter.operators.improve import aqi_improvement, top_improvements
 from hazemeter.operators.probes import active_probes, arrivals, drop_late, late_bounds
 from hazemeter.operators.slices import slice_sums
@@ -100,7 +100,8 @@ def answer_epoch(
         stores.read(spark, "cities").where(F.col("epoch") == F.lit(last_epoch)).drop("epoch"),
         "cities",
     )
-    fresh = locate(flatten_batches(batches, params), locations)
+    flat = flatten_batches(batches, params)
+    fresh = with_city(flat, *counted(point_in_polygon(flat, locations), "lookup"))
     none = F.lit(None).cast("bigint")
     carried = known.select(
         *KEY, carried_seq.alias("seq"), "max_ts", none.alias("min_ts"), F.col("origin").alias("first_ts")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from hazemeter.operators.geo import locate, point_in_polygon
+from hazemeter.operators.geo import locate, point_in_polygon, with_city
 from hazemeter.operators.improve import interval_join, nested_top, top_improvements
 from hazemeter.schema import LOCATION
 from tests.helpers import rows_of
@@ -40,6 +40,9 @@ def test_locate_drops_outside_and_keeps_repeats(spark):
     try:
         got = locate(readings, places)
         assert got.where("city = 'A'").count() == got.count() == 100
+        lookup = point_in_polygon(readings, places)
+        for rows in (None, 1):
+            assert with_city(readings, lookup, rows).where("city = 'A'").count() == 100
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
