@@ -27,27 +27,28 @@ def limit_batches(batches: DataFrame, n: int) -> DataFrame:
     return batches.join(wanted, "seq_id", "left_semi")
 
 
-def ordered_prefix(batches: DataFrame, n: int | None = None, feed: str | None = None) -> DataFrame:
-    """Batches that can be released in order: 0…s have all arrived, at most ``n`` of them.
+def ordered_prefix(
+    batches: DataFrame, n: int | None = None, feed: str | None = None, start: int = 0
+) -> DataFrame:
+    """Batches that can be released in order: start…s have all arrived, up to number ``n``.
 
     The first gap of a feed is the smallest number whose predecessor is missing,
     found by joining the headers to themselves shifted by one.
     """
     keys = [feed] if feed else []
-    headers = batches.select(*keys, "seq_id").distinct()
+    headers = batches.where(F.col("seq_id") >= start).select(*keys, "seq_id").distinct()
     successors = headers.withColumn("seq_id", F.col("seq_id") + 1)
-    starts = headers.where("seq_id > 0").join(successors, [*keys, "seq_id"], "left_anti")
+    after_gap = headers.where(F.col("seq_id") > start).join(successors, [*keys, "seq_id"], "left_anti")
     first_gap = F.min("seq_id").alias("first_gap")
-    present = headers.where("seq_id = 0")
+    started = headers.where(F.col("seq_id") == start)
     if feed:
-        present = present.join(starts.groupBy(feed).agg(first_gap), feed, "left").drop("seq_id")
-        out = batches.join(present, feed)
-        bound = F.col("first_gap")
+        started = started.join(after_gap.groupBy(feed).agg(first_gap), feed, "left").drop("seq_id")
+        out = batches.join(started, feed)
     else:
-        has_zero = present.agg(F.count(F.lit(1))).scalar() > 0
-        out = batches.where(has_zero).withColumn("first_gap", starts.agg(first_gap).scalar())
-        bound = F.col("first_gap")
-    out = out.where(bound.isNull() | (F.col("seq_id") < bound)).drop("first_gap")
+        has_start = started.agg(F.count(F.lit(1))).scalar() > 0
+        out = batches.where(has_start).withColumn("first_gap", after_gap.agg(first_gap).scalar())
+    released = F.col("first_gap").isNull() | (F.col("seq_id") < F.col("first_gap"))
+    out = out.where(released & (F.col("seq_id") >= start)).drop("first_gap")
     return out if n is None else out.where(F.col("seq_id") < n)
 
 

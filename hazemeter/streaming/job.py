@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hazemeter.functions.timegrid import bucket_of, slice_start
-from hazemeter.operators.batches import flatten_batches, nested_headers, watermark_guard
+from hazemeter.operators.batches import flatten_batches, nested_headers, ordered_prefix, watermark_guard
 from hazemeter.operators.geo import point_in_polygon, with_city
 from hazemeter.operators.improve import aqi_improvement, top_improvements
 from hazemeter.operators.probes import active_probes, arrivals, drop_late, late_bounds
@@ -26,7 +26,7 @@ from hazemeter.operators.slices import slice_sums
 from hazemeter.operators.streaks import good_streak, streak_histogram
 from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aqi24_snapshots
 from hazemeter.params import DAY, DEFAULTS, Params
-from hazemeter.schema import CURRENT
+from hazemeter.schema import BATCH, CURRENT
 from hazemeter.session import configure, counted, written
 from hazemeter.sources.tables import write_epoch
 
@@ -44,7 +44,8 @@ TABLES = {
         "seq BIGINT, pos BIGINT, city STRING, period STRING, ts_ms BIGINT, p1 DOUBLE, p2 DOUBLE, "
         "day BIGINT, epoch BIGINT"
     ),
-    "run": "max_wm BIGINT, last_seq BIGINT, epoch BIGINT",
+    "held": f"{BATCH}, epoch BIGINT",
+    "run": "max_wm BIGINT, last_seq BIGINT, cities_epoch BIGINT, epoch BIGINT",
 }
 
 
@@ -77,28 +78,54 @@ def _from_day(table: DataFrame, low_ms: int, column: str, epoch: int) -> DataFra
 
 
 def answer_epoch(
-    batches: DataFrame, epoch: int, locations: DataFrame, stores: Stores, params: Params = DEFAULTS
+    arrived_batches: DataFrame, epoch: int, locations: DataFrame, stores: Stores, params: Params = DEFAULTS
 ) -> None:
-    """Answers both questions for the batches of one micro-batch."""
-    spark = configure(batches.sparkSession)
+    """Answers both questions for the batches a micro-batch makes releasable.
+
+    Batches are taken in the order of their numbers; those ahead of a missing one
+    are held for a later micro-batch, repeated ones are ignored.
+    """
+    spark = configure(arrived_batches.sparkSession)
     before = (
         stores.read(spark, "run").where(F.col("epoch") < epoch)
-        .agg(F.max("max_wm"), F.max("last_seq"), F.max("epoch")).first()
+        .agg(*[F.max_by(c, "epoch") for c in ("max_wm", "last_seq", "cities_epoch", "epoch")]).first()
     )
-    low_wm, last_seq, last_epoch = before
+    low_wm, last_seq, cities_epoch, last_epoch = before
+    due_seq = 0 if last_seq is None else last_seq + 1
 
+    held = stores.read(spark, "held").where(F.col("epoch") == F.lit(last_epoch)).drop("epoch")
+    waiting = arrived_batches.unionByName(held).where(F.col("seq_id") >= due_seq)
+    inbox = written(waiting.dropDuplicates(["seq_id"]), "inbox")
+    batches = written(ordered_prefix(inbox, start=due_seq), "released")
     every, n_headers = counted(nested_headers(batches, params), "headers")
+    early = inbox.join(every.withColumnRenamed("seq", "seq_id"), "seq_id", "left_anti")
+    write_epoch(early.select("seq_id", "last", "current", "lastyear"), stores.path("held"), epoch)
+
     headers = watermark_guard(every, params)
     ahead = headers if low_wm is None else headers.where(F.col("wm") >= low_wm)
-    first_seq, max_seq = every.agg(F.min("seq"), F.max("seq")).first()
-    if first_seq is None:
-        return
     min_wm, max_wm = ahead.agg(F.min("wm"), F.max("wm")).first()
-    carried_seq = F.lit(first_seq - 1 if last_seq is None else last_seq).cast("bigint")
+    if n_headers:
+        _answer(
+            batches, every, n_headers, ahead, min_wm, due_seq - 1, cities_epoch, epoch, locations, stores, params
+        )
+    progress = (
+        low_wm if max_wm is None else max_wm,
+        due_seq + n_headers - 1 if n_headers else last_seq,
+        epoch if n_headers else cities_epoch,
+    )
+    schema = "max_wm BIGINT, last_seq BIGINT, cities_epoch BIGINT"
+    write_epoch(spark.createDataFrame([progress], schema), stores.path("run"), epoch)
+
 
+def _answer(
+    batches: DataFrame, every: DataFrame, n_headers: int, ahead: DataFrame, min_wm: int | None,
+    last_seq: int, cities_epoch: int | None, epoch: int, locations: DataFrame, stores: Stores, params: Params,
+) -> None:
+    """Answers for released batches, all of them after ``last_seq``."""
+    spark = batches.sparkSession
+    carried_seq = F.lit(last_seq).cast("bigint")
     known = written(
-        stores.read(spark, "cities").where(F.col("epoch") == F.lit(last_epoch)).drop("epoch"),
-        "cities",
+        stores.read(spark, "cities").where(F.col("epoch") == F.lit(cities_epoch)).drop("epoch"), "cities"
     )
     flat = flatten_batches(batches, params)
     fresh = with_city(flat, *counted(point_in_polygon(flat, locations), "lookup"))
@@ -125,7 +152,7 @@ def answer_epoch(
 
     # what can be asked about reaches back from the earliest watermark; a city that
     # was silent still owes its streak the snapshots after its last probe
-    low = min_wm or low_wm or 0
+    low = min_wm or 0
     newest = probes.groupBy(*KEY).agg(F.max("wm").alias("until"))
     owed = known.join(newest, KEY, "left_semi").agg(F.min(F.coalesce("last_wm", "origin"))).first()[0]
     log_low = low - max(params.window_ms, params.active_ms) - params.step_ms
@@ -161,14 +188,9 @@ def answer_epoch(
     values, n_values = counted(values, "values")
     streaks = written(good_streak(values, params, n_values), "streaks")
     probed = streaks.where("is_probe").select("seq", "city", F.col("ts_ms").alias("ts_last"), "good_since")
-    write_epoch(streak_histogram(headers, probed, params), stores.path("q2"), epoch)
+    write_epoch(streak_histogram(watermark_guard(every, params), probed, params), stores.path("q2"), epoch)
 
     write_epoch(_cities(known, arrived, newest, streaks, params), stores.path("cities"), epoch)
-    progress = every.agg(
-        F.lit(max_wm if max_wm is not None else low_wm).cast("bigint").alias("max_wm"),
-        F.lit(max_seq).cast("bigint").alias("last_seq"),
-    )
-    write_epoch(progress, stores.path("run"), epoch)
 
 
 def _cities(

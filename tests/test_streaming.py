@@ -42,13 +42,32 @@ def test_stream_equals_batch_across_a_restart(spark, sf_dir, tmp_path):
     run_questions(S.stream_batches(spark, folder), places, out, WIDE).awaitTermination()
 
     base = st.timely_batches(S.read_batches(spark, folder), places, WIDE)
+    assert spark.read.parquet(f"{out}/run").select("epoch").distinct().count() == 3
     for name, want in (("q1", st.q1(base)), ("q2", st.q2(base))):
         got = spark.read.parquet(f"{out}/{name}")
-        assert got.select("epoch").distinct().count() == 3
         assert rows_of(got.drop("epoch")) == rows_of(want)
         assert want.count() > 0
 
 
+def test_stream_holds_early_batches_and_ignores_repeats(spark, sf_dir, tmp_path):
+    batches = fx.batches(spark, sf_dir).cache()
+    places = S.load_locations(spark, f"{tmp_path}/places", lambda: fx.locations(spark, sf_dir))
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    last = batches.agg(F.max("seq_id")).first()[0]
+    stream = lambda: run_questions(S.stream_batches(spark, folder), places, out, WIDE)
+    seen = lambda: {r.batch_seq_id for r in spark.read.parquet(f"{out}/q2").collect()}
+    feed(batches, folder, 0, 0, 1)
+    feed(batches, folder, 2, last, 2)
+    stream().awaitTermination()
+    assert seen() == {0}
+    feed(batches, folder, 0, 1, 3)
+    stream().awaitTermination()
+    assert seen() == set(range(last + 1))
+    base = st.timely_batches(batches, places, WIDE)
+    for name, want in (("q1", st.q1(base)), ("q2", st.q2(base))):
+        assert rows_of(spark.read.parquet(f"{out}/{name}").drop("epoch")) == rows_of(want)
+
+
 def keyed(spark, rows, folder, out, params, files):
     """Runs the keyed function over ``rows``, one file per group of batches."""
     df = spark.createDataFrame(rows, INPUT)
