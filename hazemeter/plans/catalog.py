@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -22,7 +23,9 @@ from hazemeter.params import DAY, DEFAULTS, HOUR, MINUTE
 from hazemeter.plans import fixtures as fx
 from hazemeter.plans import standing as st
 from hazemeter.schema import CURRENT, LAST_YEAR
-from hazemeter.session import configure, counted, written
+from hazemeter.session import configure, counted, shared_dir, written
+from hazemeter.sources.tables import stream_batches
+from hazemeter.streaming.job import run_questions
 
 WIDE = replace(DEFAULTS, active_ms=12 * HOUR, k=20, histogram_origin_ms=fx.T0)
 SHIFT = replace(DEFAULTS, shift_ms=fx.SHIFT)
@@ -388,6 +391,28 @@ def q2_located(spark, sf_dir):
     return st.q2(_located(spark, sf_dir))
 
 
+@query
+def streamed_answers(spark, sf_dir):
+    """Both questions from a stream that is stopped and restarted half way."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    places = written(fx.locations(spark, sf_dir), "locations")
+    batches = written(fx.batches(spark, sf_dir), "batches")
+    half = batches.agg(F.max("seq_id")).first()[0] // 2
+    for part in (F.col("seq_id") <= half, F.col("seq_id") > half):
+        batches.where(part).write.mode("append").parquet(f"{root}/in")
+        arriving = stream_batches(spark, f"{root}/in", files_per_trigger=10_000)
+        run_questions(arriving, places, f"{root}/out", LOCATED).awaitTermination()
+    ranking, histogram = (spark.read.parquet(f"{root}/out/{name}") for name in ("q1", "q2"))
+    return ranking.select(
+        F.lit("q1").alias("question"), "batch_seq_id", "city", F.col("position").alias("a"),
+        F.col("avg_improvement").alias("b"), F.col("current_p1").alias("c"), F.col("current_p2").alias("d"),
+    ).unionByName(histogram.select(
+        F.lit("q2").alias("question"), "batch_seq_id", F.lit(None).cast("string").alias("city"),
+        F.col("bucket_from").alias("a"), F.col("bucket_to").alias("b"), F.col("bucket_percent").alias("c"),
+        F.lit(None).cast("int").alias("d"),
+    ))
+
+
 def queries() -> dict[str, Query]:
     """Query name → ``(spark, sf_dir) -> DataFrame``."""
     return {name.rstrip("_"): run for name, run in QUERIES.items()}

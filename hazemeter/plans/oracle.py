@@ -293,6 +293,12 @@ def statements() -> dict[str, str]:
             select city, period, slice_end, cast(s1 as double) as sum_p1, cast(s2 as double) as sum_p2, n from slices"""),
         "q1_located": located.sql("imp", _top(20)),
         "q2_located": located.sql("strk", _histogram(origin_wide)),
+        "streamed_answers": located.sql("strk", f"""
+            select 'q1' as question, batch_seq_id, city, position as a, avg_improvement as b,
+                   current_p1 as c, current_p2 as d from ({_top(20)})
+            union all
+            select 'q2', batch_seq_id, null, bucket_from, bucket_to, bucket_percent, null
+            from ({_histogram(origin_wide)})"""),
         "point_in_polygon": f"{places} select lat, lon, zipcode, city from placed",
         "city_lookup_distinct": f"""
             {places} select event_id as pos, p.city from events join placed p
