@@ -25,7 +25,7 @@ from hazemeter.plans import standing as st
 from hazemeter.schema import CURRENT, LAST_YEAR
 from hazemeter.session import configure, counted, shared_dir, written
 from hazemeter.sources.tables import stream_batches
-from hazemeter.streaming.job import run_questions
+from hazemeter.streaming.job import answers, run_questions
 
 WIDE = replace(DEFAULTS, active_ms=12 * HOUR, k=20, histogram_origin_ms=fx.T0)
 SHIFT = replace(DEFAULTS, shift_ms=fx.SHIFT)
@@ -402,7 +402,7 @@ def streamed_answers(spark, sf_dir):
         batches.where(part).write.mode("append").parquet(f"{root}/in")
         arriving = stream_batches(spark, f"{root}/in", files_per_trigger=10_000)
         run_questions(arriving, places, f"{root}/out", LOCATED).awaitTermination()
-    ranking, histogram = (spark.read.parquet(f"{root}/out/{name}") for name in ("q1", "q2"))
+    ranking, histogram = answers(spark, f"{root}/out")
     return ranking.select(
         F.lit("q1").alias("question"), "batch_seq_id", "city", F.col("position").alias("a"),
         F.col("avg_improvement").alias("b"), F.col("current_p1").alias("c"), F.col("current_p2").alias("d"),

@@ -31,5 +31,11 @@ AQI5D = (
 
 STREAK = "seq BIGINT, city STRING, ts_last BIGINT, good_since BIGINT"
 
+Q1 = (
+    "batch_seq_id BIGINT, position INT, city STRING, avg_improvement INT, current_p1 INT, current_p2 INT"
+)
+
+Q2 = "batch_seq_id BIGINT, bucket_from INT, bucket_to INT, bucket_percent INT"
+
 CURRENT = "current"
 LAST_YEAR = "lastyear"

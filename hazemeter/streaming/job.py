@@ -26,7 +26,7 @@ from hazemeter.operators.slices import slice_sums
 from hazemeter.operators.streaks import good_streak, streak_histogram
 from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aqi24_snapshots
 from hazemeter.params import DAY, DEFAULTS, Params
-from hazemeter.schema import BATCH, CURRENT
+from hazemeter.schema import BATCH, CURRENT, Q1, Q2
 from hazemeter.session import configure, counted, written
 from hazemeter.sources.tables import write_epoch
 
@@ -214,6 +214,12 @@ def _cities(
     )
 
 
+def answers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """What a stream has answered so far: ranking and histogram rows."""
+    stores = Stores(root)
+    return tuple(spark.read.schema(schema).parquet(stores.path(name)) for name, schema in (("q1", Q1), ("q2", Q2)))
+
+
 def run_questions(
     batches: DataFrame, locations: DataFrame, root: str, params: Params = DEFAULTS
 ) -> StreamingQuery:
