@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from hazemeter.functions.timegrid import bucket_of, slice_start
 from hazemeter.operators.batches import SEQ_BLOCK, advancing
-from hazemeter.operators.scan import before, so_far, with_block_carry
+from hazemeter.operators.scan import before, in_one_task, so_far, with_block_carry
 from hazemeter.params import DEFAULTS, Params
+from hazemeter.session import written
 
 KEY = ["city", "period"]
 
@@ -84,6 +85,8 @@ def active_probes(
         F.coalesce(F.lead("seq").over(inside), F.col("next_first")).alias("next_seq"),
         (F.greatest("carry", F.max("max_ts").over(so_far(inside))) + params.active_ms).alias("t"),
     )
+    if not in_one_task(rows):  # both feed several branches below
+        ahead, spans = written(ahead, "ahead"), written(spans, "spans")
     ends = _latest_batch_at(spans, ahead, params.step_ms, rows)
     return (
         spans.join(ends, "t")

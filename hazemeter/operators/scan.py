@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 ONE_TASK_ROWS = 1_000_000
 
 
+def in_one_task(rows: int | None) -> bool:
+    """Whether a table known to have at most ``rows`` rows need not be split."""
+    return rows is not None and rows <= ONE_TASK_ROWS
+
+
 def with_block_carry(
     df: DataFrame,
     keys: Sequence[str],
@@ -29,9 +34,10 @@ def with_block_carry(
     order. A hot key is thus spread over as many tasks as it has blocks.
 
     If ``df`` is known to have at most ``ONE_TASK_ROWS`` rows, everything is one
-    block and nothing is carried.
+    block and nothing is carried. Otherwise ``df`` is read twice: it should be a
+    table, or cheap to derive from one.
     """
-    if rows is not None and rows <= ONE_TASK_ROWS:
+    if in_one_task(rows):
         return df.withColumns({"block": F.lit(0), **{name: F.lit(None) for name in carries}})
     df = df.withColumn("block", block)
     over_blocks = Window.partitionBy(*keys).orderBy("block")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from hazemeter.functions.aqi import is_good
 from hazemeter.functions.histogram import bucket_width, per_mille, streak_bucket
 from hazemeter.functions.timegrid import bucket_of
-from hazemeter.operators.scan import before, so_far_with_ties, with_block_carry
+from hazemeter.operators.scan import before, in_one_task, so_far_with_ties, with_block_carry
 from hazemeter.params import DAY, DEFAULTS, Params
+from hazemeter.session import written
 
 KEY = ["city", "period"]
 
@@ -31,9 +32,11 @@ def good_streak(values: DataFrame, params: Params = DEFAULTS, rows: int | None =
         rows,
     ).withColumn("previous", F.greatest(F.max(seen).over(before(inside)), F.col("carry_last")))
     starts = F.col("good") & ~F.coalesce(F.col("previous.good"), F.lit(False))
+    started = known.withColumn("start", F.when(starts, F.col("ts_ms"))).drop(
+        "block", "carry_last", "previous"
+    )
     marked = with_block_carry(
-        known.withColumn("start", F.when(starts, F.col("ts_ms"))).drop("block", "carry_last", "previous"),
-        KEY, day,
+        started if in_one_task(rows) else written(started, "starts"), KEY, day,
         {"block_start": F.max("start")},
         {"carry_start": lambda w: F.max("block_start").over(before(w))},
         rows,
