@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,27 +69,39 @@ def timely_batches(batches: DataFrame, locations: DataFrame, params: Params = DE
     return timely(with_city(readings, lookup, rows), nested_headers(batches, params), params)
 
 
-def improvements(base: Timely) -> DataFrame:
-    at_watermark = written(base.at_watermark(), "at-watermark")
+def improvements(base: Timely, at_watermark: DataFrame | None = None) -> DataFrame:
+    """Improvement per batch and city; ``at_watermark`` if its table exists already."""
+    if at_watermark is None:
+        at_watermark = written(base.at_watermark(), "at-watermark")
     means = aqi5d(aqi24_snapshots(base.slices, base.params), at_watermark, base.params)
     return aqi_improvement(means)
 
 
-def q1(base: Timely) -> DataFrame:
+def q1(base: Timely, at_watermark: DataFrame | None = None) -> DataFrame:
     """Most improved cities after each batch."""
-    return top_improvements(improvements(base), base.params.k)
+    return top_improvements(improvements(base, at_watermark), base.params.k)
 
 
-def current_streaks(base: Timely) -> DataFrame:
+def current_streaks(base: Timely, at_watermark: DataFrame | None = None) -> DataFrame:
+    """Streaks of this year's values; last year's readings are not touched."""
     now = F.col("period") == CURRENT
-    only_now = Timely(
-        base.headers, base.readings.where(now), base.probes.where(now), base.slices.where(now), base.params
-    )
-    values = aqi24_all(aqi24_snapshots(only_now.slices, base.params), only_now.at_watermark())
+    slices = base.slices.where(now)
+    if at_watermark is None:
+        only_now = replace(
+            base, readings=base.readings.where(now), probes=base.probes.where(now), slices=slices
+        )
+        at_watermark = only_now.at_watermark()
+    values = aqi24_all(aqi24_snapshots(slices, base.params), at_watermark.where(now))
     values, rows = counted(values, "values")
     return streak_at_watermark(values, base.params, rows)
 
 
-def q2(base: Timely) -> DataFrame:
+def q2(base: Timely, at_watermark: DataFrame | None = None) -> DataFrame:
     """Histogram of good-air streaks after each batch."""
-    return streak_histogram(base.headers, current_streaks(base), base.params)
+    return streak_histogram(base.headers, current_streaks(base, at_watermark), base.params)
+
+
+def both(base: Timely) -> tuple[DataFrame, DataFrame]:
+    """Both questions from one table of watermark values."""
+    at_watermark = written(base.at_watermark(), "at-watermark")
+    return q1(base, at_watermark), q2(base, at_watermark)

@@ -63,8 +63,8 @@ def test_stream_holds_early_batches_and_ignores_repeats(spark, sf_dir, tmp_path)
     feed(batches, folder, 0, 1, 3)
     stream().awaitTermination()
     assert seen() == set(range(last + 1))
-    base = st.timely_batches(batches, places, WIDE)
-    for name, want in (("q1", st.q1(base)), ("q2", st.q2(base))):
+    together = st.both(st.timely_batches(batches, places, WIDE))
+    for name, want in zip(("q1", "q2"), together):
         assert rows_of(spark.read.parquet(f"{out}/{name}").drop("epoch")) == rows_of(want)
 
 
