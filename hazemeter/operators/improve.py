@@ -20,6 +20,7 @@ def interval_join(
     lo_ms: int,
     hi_ms: int,
     ts: str = "ts_ms",
+    event_time: str | None = None,
     select: Callable[[Callable[[str], Column], Callable[[str], Column]], Sequence[Column]] | None = None,
 ) -> DataFrame:
     """Pairs with equal ``on`` and ``right.ts`` in ``[left.ts + lo_ms, left.ts + hi_ms]``.
@@ -29,6 +30,9 @@ def interval_join(
     interval touches, a right row has exactly one, so no pair is found twice and a
     hot key is spread over time. ``select`` receives two column getters and
     returns the projection; by default right columns get the prefix ``r_``.
+
+    On two streams, ``event_time`` names a TIMESTAMP column of the same times that
+    carries a watermark on both sides; Spark then drops rows no partner can reach.
     """
     if hi_ms < lo_ms:
         raise ValueError("empty interval")
@@ -37,6 +41,10 @@ def interval_join(
     right = right.select([F.col(c).alias(f"r_{c}") for c in r_names])
     l_ts, r_ts = F.col(f"l_{ts}"), F.col(f"r_{ts}")
     keys = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in on]
+    if event_time:
+        start = f"l_{event_time} + interval {lo_ms} milliseconds"
+        end = f"l_{event_time} + interval {hi_ms} milliseconds"
+        keys.append(F.expr(f"r_{event_time} >= {start} and r_{event_time} <= {end}"))
     if lo_ms == hi_ms:
         pairs = left.join(right, [*keys, l_ts + lo_ms == r_ts])
     else:

@@ -3,6 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from hazemeter.operators.batches import flat_headers
+from hazemeter.operators.improve import interval_join
 from hazemeter.operators.probes import active_probes, arrivals, drop_late, late_bounds
 from hazemeter.operators.slices import slice_sums
 from hazemeter.operators.streaks import streak_at_watermark
@@ -68,6 +69,39 @@ def test_stream_holds_early_batches_and_ignores_repeats(spark, sf_dir, tmp_path)
         assert rows_of(spark.read.parquet(f"{out}/{name}").drop("epoch")) == rows_of(want)
 
 
+def test_interval_join_of_two_streams(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    schema = "seq_id bigint, city string, ts_ms bigint, at timestamp"
+    sides = {}
+    for side in ("left", "right"):
+        rows = [(t // 500, rng.choice("ab"), t) for t in sorted(rng.sample(range(1500), 90))]
+        df = spark.createDataFrame(rows, "seq_id bigint, city string, ts_ms bigint")
+        sides[side] = df.withColumn("at", F.timestamp_millis("ts_ms"))
+        for i in range(3):
+            feed(sides[side], f"{tmp_path}/{side}", i, i, i + 1)
+
+    def arriving(side):
+        return (
+            spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{side}")
+            .withWatermark("at", "1 second")
+        )
+
+    query = (
+        interval_join(arriving("left"), arriving("right"), ["city"], -20, 30, event_time="at")
+        .writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint")
+        .trigger(availableNow=True).start(f"{tmp_path}/out")
+    )
+    query.awaitTermination()
+    want = interval_join(sides["left"], sides["right"], ["city"], -20, 30)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert want.count() > 20
+    assert rows_of(got.select(want.columns)) == rows_of(want)
+    states = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(states) >= 3
+
+
 def keyed(spark, rows, folder, out, params, files):
     """Runs the keyed function over ``rows``, one file per group of batches."""
     df = spark.createDataFrame(rows, INPUT)
