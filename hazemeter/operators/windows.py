@@ -9,12 +9,15 @@ The rows per key are bounded by elapsed time over the step, not by readings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazemeter.functions.aqi import units, with_index
 from hazemeter.functions.timegrid import slice_start
 from hazemeter.operators.scan import so_far, so_far_with_ties
+from hazemeter.operators.slices import slice_sums
 from hazemeter.params import DEFAULTS, Params
 
 KEY = ["city", "period"]
@@ -57,10 +60,6 @@ def sliding_aqi(
     readings: DataFrame, window_ms: int, step_ms: int, origin_ms: int = 0, params: Params = DEFAULTS
 ) -> DataFrame:
     """Snapshots with a window, slide and grid origin of one's own."""
-    from dataclasses import replace
-
-    from hazemeter.operators.slices import slice_sums
-
     own = replace(
         params, window_ms=window_ms, step_ms=step_ms, origin_ms=origin_ms,
         mean_ms=params.mean_ms // step_ms * step_ms,
@@ -140,7 +139,7 @@ def aqi24_at_watermark(
     )
     at_cut = _sums_before(cuts, readings, slices, params)
 
-    def between_cuts(column: str, kind: str) -> F.Column:
+    def between_cuts(column: str, kind: str) -> Column:
         signed = F.when(F.col("kind") == "end", F.col(column)).when(F.col("kind") == kind, -F.col(column))
         return F.sum(signed)
 

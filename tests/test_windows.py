@@ -4,7 +4,7 @@ from hazemeter.operators.slices import slice_densify, slice_sums
 from hazemeter.operators.streaks import good_streak, streak_at_watermark, streak_histogram
 from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aqi24_snapshots, sliding_aqi
 from hazemeter.params import DAY, MINUTE, Params
-from tests.helpers import PROBE, READING, as_df, index_of_means, random_readings, rows_of
+from tests.helpers import PROBE, READING, as_df, index_of_means, random_readings
 
 PARAMS = Params(step_ms=60_000, window_ms=600_000, mean_ms=1_200_000, active_ms=120_000)
 
