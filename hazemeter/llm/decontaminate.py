@@ -126,7 +126,6 @@ def contamination(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows of ``docs`` no word of which is hit, with all their columns."""
-    own = docs.select(id_col, text_col)
-    bad = contamination(own.select(F.struct(id_col, F.md5(text_col).alias("m")).alias("id"), text_col), benchmark, "id", text_col, **how)
-    bad = bad.where("n_hit > 0").select("id.*").distinct()
-    return docs.join(bad.withColumnRenamed(id_col, "hit id"), docs[id_col].eqNullSafe(F.col("hit id")) & (F.md5(docs[text_col]) == F.col("m")), "left_anti")
+    named = docs.select(F.struct(F.col(id_col).alias("id"), F.md5(text_col).alias("digest")).alias("id"), F.col(text_col).alias("text"))
+    bad = contamination(named, benchmark, "id", "text", **how).where("n_hit > 0").select("id.*").distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["id"]) & (F.md5(docs[text_col]) == bad["digest"]), "left_anti")

@@ -33,7 +33,7 @@ def patterns(url: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
     with_path = F.when(section(url) == "", F.array().cast("array<string>")).otherwise(F.transform(domains, lambda d: F.concat(d, F.lit("/"), section(url))))
-    return F.coalesce(F.array_distinct(F.concat(domains, with_path)), F.array().cast("array<string>"))
+    return F.when(host(url).isNotNull(), F.array_distinct(F.concat(domains, with_path))).otherwise(F.array().cast("array<string>"))
 
 
 def validity(entries: DataFrame) -> DataFrame:
