@@ -19,8 +19,8 @@ from hazemeter.llm.common import written
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 ID_BYTES = 4
-#: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, about 150 MB, and as many older ones.
+REMEMBERED = 700_000
 #: Pieces of one length are numbered within so many bits.
 RANK_BITS = 48
 #: The tokenizer does not count these as white space, Python does.
@@ -40,6 +40,7 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.bar = self._each(["|"])[0]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
@@ -57,14 +58,22 @@ class WordIds:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        stems = {w: w.rstrip(".,") for w in words}
-        plain = sorted({s for s in stems.values() if s.isalpha() and s not in self.known})
+        """Adds words, and the parts they are made of, to those that are known."""
+        split = [(w, s, w[len(s) :]) for w in words if (s := w.rstrip(".,")).isalpha()]
+        plain = [s for s in {s for _, s, _ in split} if s not in self.known]
         self.known.update(zip(plain, self._letters(plain), strict=True))
-        rest = {w for w, s in stems.items() if not s.isalpha()}
-        tails = {w[len(s) :] for w, s in stems.items() if s.isalpha() and len(s) < len(w)}
-        rest = sorted((rest | tails) - self.known.keys())
+        rest = [w for w in words.difference(w for w, _, _ in split) | {t for _, _, t in split if t} if w not in self.known]
         self.known.update(zip(rest, self._each(rest), strict=True))
-        self.known.update((w, self.known[s] + self.known[w[len(s) :]]) for w, s in stems.items() if s.isalpha() and len(s) < len(w))
+        self.known.update((w, self.known[s] + self.known[t]) for w, s, t in split if t)
+
+    def _lacking(self, words: set[str]) -> set[str]:
+        """Words that are not known. When the store is full, it becomes the older one, from which words in use come back."""
+        new = words.difference(self.known)
+        if len(self.known) + 2 * len(new) > REMEMBERED:
+            self.known, self.older, new = {}, self.known, words
+        back = [w for w in new if w in self.older]
+        self.known.update(zip(back, map(self.older.__getitem__, back), strict=True))
+        return new.difference(back)
 
     @staticmethod
     def _words(text: str) -> list[str]:
@@ -73,15 +82,10 @@ class WordIds:
         return text.split()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Texts are taken in small groups, so words new to a group are encoded together."""
-        for i in range(0, len(texts), 50):
-            split = [self._words(t) for t in texts[i : i + 50]]
-            # Only what a group lacks is looked for, and the group's own words are kept even if the store starts anew.
-            new = {w for words in split for w in words if w not in self.known}
-            if new:
-                if len(self.known) + 3 * len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = {w for words in split for w in words}
+        """Texts are taken in groups, so that words new to a group are encoded together."""
+        for i in range(0, len(texts), 100):
+            split = [self._words(t) for t in texts[i : i + 100]]
+            if new := self._lacking(set().union(*split)):
                 self._learn(new)
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
