@@ -9,24 +9,53 @@ from hazemeter.functions.timegrid import bucket_of, epoch_ms
 from hazemeter.operators.scan import before, with_block_carry
 from hazemeter.params import DEFAULTS, Params
 from hazemeter.schema import CURRENT, LAST_YEAR
+from hazemeter.session import written
 
 # Batch numbers per block of a scan over all batches: with n batches, no task
 # sees more than this many headers, or n divided by it block totals.
 SEQ_BLOCK = 1 << 15
 
 
-def limit_batches(batches: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` batches by ``seq_id``, none after the first one flagged ``last``."""
+def limit_batches(batches: DataFrame, n: int | None = None) -> DataFrame:
+    """The first ``n`` batches by ``seq_id`` (all if None), none after the first one flagged ``last``."""
     headers = batches.select("seq_id", "last")
     end = headers.where("last").agg(F.min("seq_id")).scalar()
-    wanted = (
-        headers.where(end.isNull() | (F.col("seq_id") <= end))
-        .select("seq_id").distinct()
-        .orderBy("seq_id").limit(n)
-    )
+    until = end.isNull() | (F.col("seq_id") <= end)
+    if n is None:
+        return batches.where(until)
+    wanted = headers.where(until).select("seq_id").distinct().orderBy("seq_id").limit(n)
     return batches.join(wanted, "seq_id", "left_semi")
 
 
+def without_repeats(batches: DataFrame) -> DataFrame:
+    """One copy of every batch number; of differing copies the one with the least hash of its content.
+
+    The choice depends on nothing but the copies, so repeating a job repeats it.
+    """
+    content = F.xxhash64("last", "current", "lastyear")
+    order = Window.partitionBy("seq_id").orderBy("hash")
+    return (
+        batches.where("seq_id is not null").withColumn("hash", content)
+        .withColumn("copy", F.row_number().over(order)).where("copy = 1").drop("hash", "copy")
+    )
+
+
+def ingest(batches: DataFrame, start: int = 0, n: int | None = None) -> DataFrame:
+    """What both questions take from arrived batches, in a batch job as in a stream.
+
+    The batches that follow on ``start`` without a gap are taken, up to the first one flagged ``last`` and ``n`` of them at
+    most, one copy of each. Which ones follows from numbers and flags alone; the readings are passed over once, into a
+    written table.
+    """
+    return written(without_repeats(limit_batches(ordered_prefix(batches, start=start), n)), "released")
+
+
+def valid_readings(readings: DataFrame) -> DataFrame:
+    """Readings with a time and both values; one that lacks any of them (null or NaN) is no reading."""
+    value = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    return readings.where(F.col("ts_ms").isNotNull() & value("p1") & value("p2"))
+
+
 def ordered_prefix(
     batches: DataFrame, n: int | None = None, feed: str | None = None, start: int = 0
 ) -> DataFrame:
@@ -53,7 +82,7 @@ def ordered_prefix(
 
 
 def flatten_batches(batches: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """One row per reading; last year's are moved to this year's time."""
+    """One row per valid reading; last year's are moved to this year's time."""
 
     def side(array: str, period: str) -> DataFrame:
         # "last" positions differ per array; the period keeps them apart
@@ -64,12 +93,12 @@ def flatten_batches(batches: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
     flat = side("current", CURRENT).unionByName(side("lastyear", LAST_YEAR))
     taken = epoch_ms(F.col("m.timestamp.seconds"), F.col("m.timestamp.nanos"), params.nanos_divisor)
-    return flat.select(
+    return valid_readings(flat.select(
         "seq", F.col("pos").cast("bigint").alias("pos"), "period",
         shifted(taken, F.col("period") == LAST_YEAR, params.shift_ms).alias("ts_ms"),
         F.col("m.p1").cast("double").alias("p1"), F.col("m.p2").cast("double").alias("p2"),
         F.col("m.latitude").alias("lat"), F.col("m.longitude").alias("lon"),
-    )
+    ))
 
 
 def shifted(ts_ms: Column, is_last_year: Column, shift_ms: int = DEFAULTS.shift_ms) -> Column:
@@ -113,17 +142,15 @@ def watermark_guard(headers: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return headers.where(F.col("wm") <= params.max_watermark_ms)
 
 
-def advancing(headers: DataFrame, rows: int | None = None) -> DataFrame:
+def advancing(headers: DataFrame) -> DataFrame:
     """Headers whose watermark does not fall behind an earlier batch's.
 
     A batch with an older watermark cannot change any answer: its probes are late.
-    ``rows``, here and elsewhere, is an upper bound of the input's rows if known.
     """
     scanned = with_block_carry(
         headers.where("wm is not null"), [], bucket_of(F.col("seq"), SEQ_BLOCK),
         {"block_max": F.max("wm")},
         {"carry": lambda w: F.max("block_max").over(before(w))},
-        rows,
     )
     inside = before(Window.partitionBy("block").orderBy("seq"))
     earlier = F.greatest("carry", F.max("wm").over(inside))

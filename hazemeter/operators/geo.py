@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELL_DEGREES = 0.5
-LOOKUP_SALT = 16
-SMALL_LOOKUP = 100_000
+from hazemeter.session import written
 
+#: Rings smaller than this, in degrees, share cells of this size.
+SMALLEST = 2.0**-12
 
-def _cell(degrees: Column, cell: float) -> Column:
-    return F.floor(degrees / F.lit(cell))
+def _cell(degrees: Column, level: Column) -> Column:
+    """Number of the grid cell at a level, whose cells measure ``2 ** level`` degrees."""
+    return F.floor(degrees / F.pow(F.lit(2.0), level)).cast("long")
 
 
-def polygon_cells(locations: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
-    """One row per polygon ring and grid cell its bounding box touches."""
-    ring = F.col("ring")
-    xs, ys = F.transform(ring, lambda p: p["longitude"]), F.transform(ring, lambda p: p["latitude"])
-    span = lambda low, high: F.explode(F.sequence(_cell(low, cell), _cell(high, cell)))
+def polygon_rings(locations: DataFrame) -> DataFrame:
+    """One row per polygon ring with its bounding box and the level of cells at least as wide and as high as the box."""
+    xs, ys = F.transform("ring", lambda p: p["longitude"]), F.transform("ring", lambda p: p["latitude"])
+    boxed = locations.select("zipcode", "city", F.explode("polygons.points").alias("ring")).withColumns({
+        "min_lon": F.array_min(xs), "max_lon": F.array_max(xs), "min_lat": F.array_min(ys), "max_lat": F.array_max(ys),
+    })
+    extent = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"), F.lit(SMALLEST))
+    return boxed.where(F.size("ring") > 0).withColumns({
+        "number": F.monotonically_increasing_id(), "level": F.ceil(F.log2(extent)).cast("int"),
+    })
+
+
+def polygon_cells(rings: DataFrame) -> DataFrame:
+    """Bounding boxes by the cells of their level they touch: four at most, however large a ring is."""
+    level = F.col("level")
+    span = lambda low, high: F.explode(F.sequence(_cell(F.col(low), level), _cell(F.col(high), level)))
     return (
-        locations.select("zipcode", "city", F.explode("polygons.points").alias("ring"))
-        .withColumns({
-            "min_lon": F.array_min(xs), "max_lon": F.array_max(xs),
-            "min_lat": F.array_min(ys), "max_lat": F.array_max(ys),
-        })
-        .withColumn("cell_lon", span(F.col("min_lon"), F.col("max_lon")))
-        .withColumn("cell_lat", span(F.col("min_lat"), F.col("max_lat")))
+        rings.select("number", "level", "min_lon", "max_lon", "min_lat", "max_lat")
+        .withColumn("cell_lon", span("min_lon", "max_lon"))
+        .withColumn("cell_lat", span("min_lat", "max_lat"))
     )
 
 
@@ -67,50 +75,42 @@ def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return odd & ~F.exists(edges, touches)
 
 
-def point_in_polygon(points: DataFrame, locations: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
+def point_in_polygon(points: DataFrame, locations: DataFrame) -> DataFrame:
     """``points`` (with ``lat``, ``lon``) inside a location, plus ``zipcode`` and ``city``.
 
-    Points and bounding boxes meet on grid cells, so only neighbours are compared;
-    of several locations that hold a point the smallest zipcode wins. The result
-    has one row per distinct point.
+    Every ring lies in cells of about its own size, so a point meets, at each of the few levels in use, only rings that
+    are as near as they are large. That join and the box test work on narrow rows; the rings themselves come by
+    number to the pairs that are left. Of several locations that hold a point the smallest zipcode wins. The result has one row
+    per distinct point.
     """
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
-    placed = points.select("lat", "lon").distinct().withColumns(
-        {"cell_lon": _cell(lon, cell), "cell_lat": _cell(lat, cell)}
-    )
+    rings = written(polygon_rings(locations), "rings")
+    levels = sorted(r[0] for r in rings.select("level").distinct().collect())  # powers of two between SMALLEST and 360 degrees
+    placed = points.select("lat", "lon").distinct().withColumn(
+        "level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))
+    ).withColumns({"cell_lon": _cell(lon, F.col("level")), "cell_lat": _cell(lat, F.col("level"))})
     in_box = (lon >= F.col("min_lon")) & (lon <= F.col("max_lon")) & (
         (lat >= F.col("min_lat")) & (lat <= F.col("max_lat"))
     )
     return (
-        placed.join(polygon_cells(locations, cell), ["cell_lon", "cell_lat"])
-        .where(in_box).where(inside_ring(lon, lat, F.col("ring")))
+        placed.join(polygon_cells(rings), ["level", "cell_lon", "cell_lat"]).where(in_box).select("lat", "lon", "number")
+        .join(rings.select("number", "ring", "zipcode", "city"), "number")
+        .where(inside_ring(lon, lat, F.col("ring")))
         .groupBy("lat", "lon")
         .agg(F.min(F.struct("zipcode", "city")).alias("hit"))
         .select("lat", "lon", "hit.zipcode", "hit.city")
     )
 
 
-def with_city(readings: DataFrame, lookup: DataFrame, rows: int | None = None) -> DataFrame:
+def with_city(readings: DataFrame, lookup: DataFrame) -> DataFrame:
     """Readings with the city ``lookup`` gives for their coordinate; others are dropped.
 
-    A lookup known to have at most ``SMALL_LOOKUP`` rows joins as it is, and Spark
-    broadcasts it below its threshold. Otherwise every coordinate is split into
-    ``LOOKUP_SALT`` parts, so that a sensor with a large share of all rows does not
-    end in one task of the shuffle.
+    Spark broadcasts the lookup if its table is below the threshold. Otherwise both sides are shuffled by
+    coordinate, and partitions a much-used sensor makes too large are split at run time by what was measured of them.
     """
-    answers = lookup.select("lat", "lon", "city")
-    readings = readings.drop("city")
-    if rows is not None and rows <= SMALL_LOOKUP:
-        return readings.join(answers, ["lat", "lon"])
-    salts = F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALT - 1)))
-    salt = F.pmod(F.xxhash64("ts_ms", "pos"), F.lit(LOOKUP_SALT)).cast("int")
-    return (
-        readings.withColumn("salt", salt)
-        .join(answers.withColumn("salt", salts), ["lat", "lon", "salt"])
-        .drop("salt")
-    )
+    return readings.drop("city").join(lookup.select("lat", "lon", "city"), ["lat", "lon"])
 
 
-def locate(readings: DataFrame, locations: DataFrame, cell: float = CELL_DEGREES) -> DataFrame:
+def locate(readings: DataFrame, locations: DataFrame) -> DataFrame:
     """Readings with the ``city`` they lie in; each distinct coordinate is looked up once."""
-    return with_city(readings, point_in_polygon(readings, locations, cell))
+    return with_city(readings, point_in_polygon(readings, locations))

@@ -101,6 +101,11 @@ def top_improvements(improvements: DataFrame, k: int = DEFAULTS.k) -> DataFrame:
     )
 
 
+def for_every_batch(headers: DataFrame, rows: DataFrame) -> DataFrame:
+    """Result ``rows`` with one more for every batch of ``headers`` that has none: its number, and nulls."""
+    return headers.select(F.col("seq").alias("batch_seq_id")).distinct().join(rows, "batch_seq_id", "left")
+
+
 def nested_top(headers: DataFrame, top: DataFrame) -> DataFrame:
     """One row per batch, with an empty list where no city improved.
 

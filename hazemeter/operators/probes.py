@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazemeter.functions.timegrid import bucket_of, slice_start
 from hazemeter.operators.batches import SEQ_BLOCK, advancing
-from hazemeter.operators.scan import before, in_one_task, so_far, with_block_carry
+from hazemeter.operators.scan import before, so_far, with_block_carry
 from hazemeter.params import DEFAULTS, Params
 from hazemeter.session import written
 
@@ -34,9 +34,7 @@ def arrivals_of_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def _latest_batch_at(
-    times: DataFrame, headers: DataFrame, width: int, rows: int | None = None
-) -> DataFrame:
+def _latest_batch_at(times: DataFrame, headers: DataFrame, width: int) -> DataFrame:
     """For each distinct ``t``, the last batch with ``wm <= t`` (as-of lookup).
 
     Both sides share one time axis, cut into blocks of ``width``; a block holds at
@@ -50,7 +48,6 @@ def _latest_batch_at(
         axis, [], bucket_of(F.col("t"), width),
         {"block_last": F.max("at_seq")},
         {"carry": lambda w: F.max("block_last").over(before(w))},
-        rows,
     )
     # batches sort before lookups at the same time
     inside = so_far(Window.partitionBy("block").orderBy("t", F.col("at_seq").isNull()))
@@ -58,18 +55,16 @@ def _latest_batch_at(
     return scanned.select("t", "at_seq", found).where("at_seq is null").drop("at_seq")
 
 
-def active_probes(
-    arrived: DataFrame, headers: DataFrame, params: Params = DEFAULTS, rows: int | None = None
-) -> DataFrame:
+def active_probes(arrived: DataFrame, headers: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """One row per batch and city with a reading no older than ``wm - active_ms``.
 
     Between two of its batches a city's latest reading time stays the same and
     watermarks only advance, so it is active from a batch up to the last one whose
     watermark is still within reach. That end comes from an as-of lookup; the
     batches in between are then generated (batch numbers are consecutive), and
-    every generated row is a result. ``rows`` bounds arrivals and headers together.
+    every generated row is a result.
     """
-    ahead = advancing(headers, rows)
+    ahead = written(advancing(headers), "ahead")  # it and the spans feed several branches below
     carried = with_block_carry(
         arrived.select(*KEY, "seq", "max_ts"), KEY, bucket_of(F.col("seq"), SEQ_BLOCK),
         {"block_max": F.max("max_ts"), "block_first": F.min("seq")},
@@ -77,7 +72,6 @@ def active_probes(
             "carry": lambda w: F.max("block_max").over(before(w)),
             "next_first": lambda w: F.lead("block_first").over(w),
         },
-        rows,
     )
     inside = Window.partitionBy(*KEY, "block").orderBy("seq")
     spans = carried.select(
@@ -85,9 +79,8 @@ def active_probes(
         F.coalesce(F.lead("seq").over(inside), F.col("next_first")).alias("next_seq"),
         (F.greatest("carry", F.max("max_ts").over(so_far(inside))) + params.active_ms).alias("t"),
     )
-    if not in_one_task(rows):  # both feed several branches below
-        ahead, spans = written(ahead, "ahead"), written(spans, "spans")
-    ends = _latest_batch_at(spans, ahead, params.step_ms, rows)
+    spans = written(spans, "spans")
+    ends = _latest_batch_at(spans, ahead, params.step_ms)
     return (
         spans.join(ends, "t")
         .where("last_seq is not null")
@@ -99,9 +92,7 @@ def active_probes(
     )
 
 
-def late_bounds(
-    arrived: DataFrame, probes: DataFrame, params: Params = DEFAULTS, rows: int | None = None
-) -> DataFrame:
+def late_bounds(arrived: DataFrame, probes: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``(city, period, seq, bound)`` for the batches that hold late readings.
 
     A reading is late if it is older than the latest watermark its city was asked
@@ -119,7 +110,6 @@ def late_bounds(
         both, KEY, bucket_of(F.col("seq"), SEQ_BLOCK),
         {"block_wm": F.max("wm")},
         {"carry": lambda w: F.max("block_wm").over(before(w))},
-        rows,
     )
     # a batch's readings come before its own probe
     inside = before(Window.partitionBy(*KEY, "block").orderBy("seq", F.col("wm").isNotNull()))

@@ -8,22 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-# A scan over at most this many rows in total may run in one task.
-ONE_TASK_ROWS = 1_000_000
-
-
-def in_one_task(rows: int | None) -> bool:
-    """Whether a table known to have at most ``rows`` rows need not be split."""
-    return rows is not None and rows <= ONE_TASK_ROWS
-
-
 def with_block_carry(
     df: DataFrame,
     keys: Sequence[str],
     block: Column,
     totals: Mapping[str, Column],
     carries: Mapping[str, Callable[[WindowSpec], Column]],
-    rows: int | None = None,
 ) -> DataFrame:
     """Adds ``block`` and, to every row, what the other blocks of its key contribute.
 
@@ -33,12 +23,8 @@ def with_block_carry(
     ``carries`` turns those into columns, given the window of a key's blocks in
     order. A hot key is thus spread over as many tasks as it has blocks.
 
-    If ``df`` is known to have at most ``ONE_TASK_ROWS`` rows, everything is one
-    block and nothing is carried. Otherwise ``df`` is read twice: it should be a
-    table, or cheap to derive from one.
+    ``df`` is read twice: it should be a table, or cheap to derive from one.
     """
-    if in_one_task(rows):
-        return df.withColumns({"block": F.lit(0), **{name: F.lit(None) for name in carries}})
     df = df.withColumn("block", block)
     over_blocks = Window.partitionBy(*keys).orderBy("block")
     per_block = df.groupBy(*keys, "block").agg(*[agg.alias(name) for name, agg in totals.items()])

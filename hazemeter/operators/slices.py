@@ -10,6 +10,7 @@ from hazemeter.functions.timegrid import slice_start
 from hazemeter.params import DEFAULTS, Params
 
 KEY = ["city", "period"]
+PART = 288  # slices: a day of them
 
 
 def slice_sums(readings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -68,11 +69,15 @@ def slices_of_cells(
 
 
 def slice_densify(slices: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Every slice from a key's first to its last, empty ones with zeros."""
-    step = F.lit(params.step_ms).cast("bigint")
+    """Every slice from a key's first to its last, empty ones with zeros.
+
+    A key's time is cut into parts first, so no array holds more than one part's slices.
+    """
+    step, part = (F.lit(n * params.step_ms).cast("bigint") for n in (1, PART))
     grid = (
         slices.groupBy(*KEY)
         .agg(F.min("slice_end").alias("lo"), F.max("slice_end").alias("hi"))
-        .select(*KEY, F.explode(F.sequence("lo", "hi", step)).alias("slice_end"))
+        .select(*KEY, "hi", F.explode(F.sequence("lo", "hi", part)).alias("lo"))
+        .select(*KEY, F.explode(F.sequence("lo", F.least("hi", F.col("lo") + part - step), step)).alias("slice_end"))
     )
     return grid.join(slices, [*KEY, "slice_end"], "left").na.fill(0, ["s1", "s2", "n"])

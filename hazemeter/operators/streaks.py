@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from hazemeter.functions.aqi import is_good
 from hazemeter.functions.histogram import bucket_width, per_mille, streak_bucket
 from hazemeter.functions.timegrid import bucket_of
-from hazemeter.operators.scan import before, in_one_task, so_far_with_ties, with_block_carry
+from hazemeter.operators.scan import before, so_far_with_ties, with_block_carry
 from hazemeter.params import DAY, DEFAULTS, Params
 from hazemeter.session import written
 
 KEY = ["city", "period"]
 
 
-def good_streak(values: DataFrame, params: Params = DEFAULTS, rows: int | None = None) -> DataFrame:
+def good_streak(values: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Adds ``good_since``: start of the run of good values, NULL at a bad one.
 
     A run starts at a good value whose predecessor is bad or missing; silence does
     not end it. Both the predecessor and the latest start are running aggregates,
-    taken per city and day with a carry between days. ``rows`` bounds the values.
+    taken per city and day with a carry between days.
     """
     seen = F.struct("ts_ms", "good")
     day = bucket_of(F.col("ts_ms"), DAY)
@@ -29,17 +29,15 @@ def good_streak(values: DataFrame, params: Params = DEFAULTS, rows: int | None =
         values.withColumn("good", is_good(F.col("aqi"), params.good_max)), KEY, day,
         {"block_last": F.max(seen)},
         {"carry_last": lambda w: F.max("block_last").over(before(w))},
-        rows,
     ).withColumn("previous", F.greatest(F.max(seen).over(before(inside)), F.col("carry_last")))
     starts = F.col("good") & ~F.coalesce(F.col("previous.good"), F.lit(False))
     started = known.withColumn("start", F.when(starts, F.col("ts_ms"))).drop(
         "block", "carry_last", "previous"
     )
     marked = with_block_carry(
-        started if in_one_task(rows) else written(started, "starts"), KEY, day,
+        written(started, "starts"), KEY, day,
         {"block_start": F.max("start")},
         {"carry_start": lambda w: F.max("block_start").over(before(w))},
-        rows,
     )
     # of values at one time only one is marked as the start; all of them see it
     since = F.greatest(F.max("start").over(so_far_with_ties(inside)), F.col("carry_start"))
@@ -48,11 +46,9 @@ def good_streak(values: DataFrame, params: Params = DEFAULTS, rows: int | None =
     )
 
 
-def streak_at_watermark(
-    values: DataFrame, params: Params = DEFAULTS, rows: int | None = None
-) -> DataFrame:
+def streak_at_watermark(values: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``(seq, city, ts_last, good_since)`` at every watermark value of one period."""
-    return good_streak(values, params, rows).where("is_probe").select(
+    return good_streak(values, params).where("is_probe").select(
         "seq", "city", F.col("ts_ms").alias("ts_last"), "good_since"
     )
 
@@ -69,7 +65,7 @@ def streak_histogram(headers: DataFrame, streaks: DataFrame, params: Params = DE
     """``(batch_seq_id, bucket_from, bucket_to, bucket_percent)``: every bucket of every batch.
 
     One aggregate row per batch holds all bucket counts, so the counting combines
-    before the shuffle; batches without an active city get zeros.
+    before the shuffle; batches without an active city get zeros, those without a watermark have no buckets.
     """
     buckets = range(params.buckets)
     counts = bucketed_streaks(streaks, params).groupBy("seq").agg(

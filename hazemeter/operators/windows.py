@@ -71,9 +71,9 @@ def _sums_before(cuts: DataFrame, readings: DataFrame, slices: DataFrame, params
     """Adds ``s1, s2, n`` over all readings of the key before each cut time ``t``.
 
     Whole slices come from a running sum over the slice grid. The slice a cut
-    falls into is added up from its readings, in one group per city and slice
-    that holds at most one row per millisecond besides the cuts; slices without a
-    cut inside never leave the scan's semi join.
+    falls into is added up from its readings. Those are first summed by
+    millisecond, which combines before the shuffle and spreads a busy slice over tasks; only then do they
+    meet the cuts, in groups of a city and slice with at most a row per millisecond.
     """
     at = slice_start(F.col("t"), params.step_ms, params.origin_ms)
     cuts = cuts.withColumn("grid", at)
@@ -86,9 +86,9 @@ def _sums_before(cuts: DataFrame, readings: DataFrame, slices: DataFrame, params
             units("p1", params.value_scale).alias("s1"),
             units("p2", params.value_scale).alias("s2"),
         )
-        .join(cuts.where("t > grid").select(*KEY, "grid").distinct(), [*KEY, "grid"], "left_semi")
         .groupBy(*KEY, "grid", "t")
         .agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.count(F.lit(1)).alias("n"))
+        .join(cuts.where("t > grid").select(*KEY, "grid").distinct(), [*KEY, "grid"], "left_semi")
     )
     marked = ticks.withColumn("is_cut", F.lit(False)).unionByName(
         cuts.withColumns({**{c: zero for c in sums}, "is_cut": F.lit(True)}),
@@ -181,12 +181,14 @@ def aqi24_all(snapshots: DataFrame, at_watermark: DataFrame) -> DataFrame:
     ).unionByName(at_watermark.withColumn("is_probe", F.lit(True)))
 
 
-def aqi5d(snapshots: DataFrame, at_watermark: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def aqi5d(
+    snapshots: DataFrame, at_watermark: DataFrame, params: Params = DEFAULTS, origin: bool = False
+) -> DataFrame:
     """Mean snapshot index over ``(wm - mean, wm]`` for every watermark value.
 
     Snapshots lie on the grid, so the mean at ``wm`` is the mean at the grid point
     before it: one running sum per grid point serves all watermarks of its slice.
-    Without a snapshot in reach the watermark's own index stands in.
+    Without a snapshot in reach the watermark's own index stands in; ``origin`` adds ``is_mean`` to tell which it is.
     """
     grid = slice_start(F.col("ts_ms"), params.step_ms, params.origin_ms)
     asked = at_watermark.withColumn("grid", grid)
@@ -215,4 +217,5 @@ def aqi5d(snapshots: DataFrame, at_watermark: DataFrame, params: Params = DEFAUL
     return asked.join(means, [*KEY, "grid"]).select(
         "seq", *KEY, "ts_ms",
         F.coalesce("mean", F.col("aqi").cast("double")).alias("aqi"), "aqi_p1", "aqi_p2",
+        *[F.col("mean").isNotNull().alias("is_mean")] * origin,
     )

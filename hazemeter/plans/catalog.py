@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,9 @@ from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aq
 from hazemeter.params import DAY, DEFAULTS, HOUR, MINUTE
 from hazemeter.plans import fixtures as fx
 from hazemeter.plans import standing as st
-from hazemeter.schema import CURRENT, LAST_YEAR
-from hazemeter.session import configure, counted, shared_dir, written
-from hazemeter.sources.tables import stream_batches
+from hazemeter.schema import CURRENT, LAST_YEAR, Q1, Q2
+from hazemeter.session import configure, shared_dir, written
+from hazemeter.sources.tables import archive_batches, load_locations, read_archive, stream_batches, write_results
 from hazemeter.streaming.job import answers, run_questions
 
 WIDE = replace(DEFAULTS, active_ms=12 * HOUR, k=20, histogram_origin_ms=fx.T0)
@@ -50,9 +51,9 @@ def _timely(spark, sf_dir, wide=False, late=False) -> st.Timely:
 
 def _probes(spark, sf_dir, wide=False) -> DataFrame:
     readings = fx.readings(spark, sf_dir, wide=wide)
-    arrived, n_arrived = counted(arrivals_of_cells(slice_cells(readings)), "arrivals")
-    headers, n_headers = counted(b.flat_headers(arrived, "last_ts", "last_pos"), "headers")
-    return active_probes(arrived, headers, WIDE if wide else DEFAULTS, n_headers + n_arrived)
+    arrived = written(arrivals_of_cells(slice_cells(readings)), "arrivals")
+    headers = written(b.flat_headers(arrived, "last_ts", "last_pos"), "headers")
+    return active_probes(arrived, headers, WIDE if wide else DEFAULTS)
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -306,11 +307,10 @@ def aqi5d_(spark, sf_dir):
 
 @query
 def aqi5d_cold_start(spark, sf_dir):
-    """No snapshots at all: every watermark value stands in for its own mean."""
-    base = _timely(spark, sf_dir)
+    """Means of cities as they come and go, and whether there was one or the watermark value stood in."""
+    base = _timely(spark, sf_dir, wide=True)
     at_watermark = written(base.at_watermark(), "at-watermark")
-    nothing = aqi24_snapshots(base.slices.where("n < 0"))
-    return aqi5d(nothing, at_watermark)
+    return aqi5d(aqi24_snapshots(base.slices), at_watermark, base.params, origin=True)
 
 
 # --- improvement ranking ------------------------------------------------------
@@ -337,6 +337,12 @@ def q1_results_nested(spark, sf_dir):
     return nested_top(base.headers, written(st.q1(base), "q1"))
 
 
+@query
+def q1_results_flat(spark, sf_dir):
+    """A row of nulls for batches without any improved city."""
+    return st.q1_results(_timely(spark, sf_dir, wide=True))
+
+
 def _located(spark, sf_dir) -> st.Timely:
     """From nested batches, with cities from geometry."""
     places = written(fx.locations(spark, sf_dir), "locations")
@@ -355,8 +361,7 @@ def q1_located(spark, sf_dir):
 def good_streak_(spark, sf_dir):
     base = _timely(spark, sf_dir)
     values = aqi24_all(aqi24_snapshots(base.slices), base.at_watermark()).where(F.col("period") == CURRENT)
-    values, rows = counted(values, "values")
-    return good_streak(values, rows=rows).select("city", "ts_ms", "is_probe", "good_since")
+    return good_streak(written(values, "values")).select("city", "ts_ms", "is_probe", "good_since")
 
 
 @query
@@ -391,18 +396,7 @@ def q2_located(spark, sf_dir):
     return st.q2(_located(spark, sf_dir))
 
 
-@query
-def streamed_answers(spark, sf_dir):
-    """Both questions from a stream that is stopped and restarted half way."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    places = written(fx.locations(spark, sf_dir), "locations")
-    batches = written(fx.batches(spark, sf_dir), "batches")
-    half = batches.agg(F.max("seq_id")).first()[0] // 2
-    for part in (F.col("seq_id") <= half, F.col("seq_id") > half):
-        batches.where(part).write.mode("append").parquet(f"{root}/in")
-        arriving = stream_batches(spark, f"{root}/in", files_per_trigger=10_000)
-        run_questions(arriving, places, f"{root}/out", LOCATED).awaitTermination()
-    ranking, histogram = answers(spark, f"{root}/out")
+def _as_answers(ranking: DataFrame, histogram: DataFrame) -> DataFrame:
     return ranking.select(
         F.lit("q1").alias("question"), "batch_seq_id", "city", F.col("position").alias("a"),
         F.col("avg_improvement").alias("b"), F.col("current_p1").alias("c"), F.col("current_p2").alias("d"),
@@ -413,6 +407,77 @@ def streamed_answers(spark, sf_dir):
     ))
 
 
+@query
+def results_sink(spark, sf_dir):
+    """Both questions' results written in several calls, some batches twice, and read back."""
+    root = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    tables = [written(t, "results") for t in st.both(_timely(spark, sf_dir, wide=True))]
+    for part in (0, 1, 2, 1):
+        for name, rows in zip(("q1", "q2"), tables):
+            write_results(rows.where(F.pmod("batch_seq_id", F.lit(3)) == part), f"{root}/{name}")
+    return _as_answers(*(spark.read.schema(t).parquet(f"{root}/{name}") for name, t in (("q1", Q1), ("q2", Q2))))
+
+
+@query
+def archive_replay(spark, sf_dir):
+    """Batches archived in two calls, replayed from number 10 on."""
+    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    batches = written(fx.batches(spark, sf_dir), "batches")
+    for part in (0, 1):
+        archive_batches(batches.where(F.pmod("seq_id", F.lit(2)) == part), path)
+    return read_archive(spark, path, 10).select(
+        "seq_id", "last", F.size("current").alias("n_current"), F.size("lastyear").alias("n_lastyear")
+    )
+
+
+@query
+def locations_cached(spark, sf_dir):
+    """Locations built on first use, then loaded from where they were stored."""
+    path = f"{shared_dir(spark)}/places-{uuid.uuid4().hex}"
+    load_locations(spark, path, lambda: fx.locations(spark, sf_dir))
+    return load_locations(spark, path).select(
+        "zipcode", "city", F.size("polygons").alias("n_rings"), F.size(F.col("polygons")[0]["points"]).alias("n_points")
+    )
+
+
+@query
+def released_batches(spark, sf_dir):
+    """What is taken of batches that come twice, with readings without a value, one missing or one flagged last."""
+    top = F.col("top")
+    batches = fx.batches(spark, sf_dir)
+    batches = written(batches.withColumn("top", batches.agg(F.max("seq_id")).scalar()), "batches")
+    blank = F.transform("current", lambda m, i: F.when(i % 10 == 0, m.withField("p1", F.lit(None).cast("float"))).otherwise(m))
+    some = batches.withColumn("current", F.when(F.col("seq_id") % 5 == 0, blank).otherwise(F.col("current")))
+    twice = some.unionByName(some.where("seq_id % 3 = 0"))
+    number = F.col("seq_id")
+    cases = {
+        "gap": twice.where(number != F.floor(top * 3 / 4)).withColumn("last", F.lit(False)),
+        "last": twice.withColumn("last", number == F.floor(top / 2)),
+        "cap": twice,
+    }
+    taken = [
+        b.flatten_batches(b.ingest(case.drop("top"), n=7 if name == "cap" else None), SHIFT)
+        .groupBy(F.lit(name).alias("rule"), "seq", "period").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
+        for name, case in cases.items()
+    ]
+    return reduce(DataFrame.unionByName, taken)
+
+
+@query
+def streamed_answers(spark, sf_dir):
+    """Both questions from a stream that is stopped and restarted half way; one batch of the second half comes early."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    places = written(fx.locations(spark, sf_dir), "locations")
+    batches = written(fx.batches(spark, sf_dir), "batches")
+    half = batches.agg(F.max("seq_id")).first()[0] // 2
+    early = F.col("seq_id") == half + 2
+    for part in ((F.col("seq_id") <= half) | early, (F.col("seq_id") > half) & ~early):
+        batches.where(part).repartition(6).write.mode("append").parquet(f"{root}/in")
+        arriving = stream_batches(spark, f"{root}/in", files_per_trigger=4)
+        run_questions(arriving, places, f"{root}/out", LOCATED).awaitTermination()
+    return _as_answers(*answers(spark, f"{root}/out"))
+
+
 def queries() -> dict[str, Query]:
     """Query name → ``(spark, sf_dir) -> DataFrame``."""
     return {name.rstrip("_"): run for name, run in QUERIES.items()}

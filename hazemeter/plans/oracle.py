@@ -243,6 +243,17 @@ def _histogram(origin: int) -> str:
         left join (select seq, count(*) as total from strk group by all) t on t.seq = h.seq"""
 
 
+def _answers(origin: int) -> str:
+    """Both results, with a row for batches without a ranking."""
+    return f"""
+        select 'q1' as question, h.seq as batch_seq_id, city, position as a, avg_improvement as b,
+               current_p1 as c, current_p2 as d from (select distinct seq from hd) h
+        left join ({_top(20)}) t on t.batch_seq_id = h.seq
+        union all
+        select 'q2', batch_seq_id, null, bucket_from, bucket_to, bucket_percent, null
+        from ({_histogram(origin)})"""
+
+
 def statements() -> dict[str, str]:
     plain, wide = Base(), Base(wide=True, active=12 * HOUR)
     late = Base(late=True)
@@ -291,14 +302,12 @@ def statements() -> dict[str, str]:
         "late_drop": late.sql("kept", "select city, period, seq, pos, ts_ms from kept"),
         "late_slice_sums": late.sql("slices", """
             select city, period, slice_end, cast(s1 as double) as sum_p1, cast(s2 as double) as sum_p2, n from slices"""),
+        "q1_results_flat": wide.sql("imp", f"""
+            select h.seq as batch_seq_id, t.* exclude (batch_seq_id) from (select distinct seq from hd) h
+            left join ({_top(20)}) t on t.batch_seq_id = h.seq"""),
         "q1_located": located.sql("imp", _top(20)),
         "q2_located": located.sql("strk", _histogram(origin_wide)),
-        "streamed_answers": located.sql("strk", f"""
-            select 'q1' as question, batch_seq_id, city, position as a, avg_improvement as b,
-                   current_p1 as c, current_p2 as d from ({_top(20)})
-            union all
-            select 'q2', batch_seq_id, null, bucket_from, bucket_to, bucket_percent, null
-            from ({_histogram(origin_wide)})"""),
+        "streamed_answers": located.sql("strk", _answers(origin_wide)),
         "point_in_polygon": f"{places} select lat, lon, zipcode, city from placed",
         "city_lookup_distinct": f"""
             {places} select event_id as pos, p.city from events join placed p
@@ -340,7 +349,22 @@ def statements() -> dict[str, str]:
             where not exists (select 1 from buys b where b.city = p.city and b.period = p.period and b.seq <= p.seq)"""),
         "aqi24_all": plain.sql("vals", "select seq, city, period, ts_ms, aqi, aqi_p1, aqi_p2, is_probe from vals"),
         "aqi5d": wide.sql("m5", "select * from m5"),
-        "aqi5d_cold_start": plain.sql("w4", "select seq, city, period, ts_ms, cast(aqi as double) as aqi, aqi_p1, aqi_p2 from w4"),
+        "aqi5d_cold_start": wide.sql("m5", f"""
+            select m.*, exists (select 1 from snap s where s.city = m.city and s.period = m.period
+                                and s.ts_ms > m.ts_ms - {5 * DAY} and s.ts_ms <= m.ts_ms) as is_mean from m5 m"""),
+        "results_sink": wide.sql("strk", _answers(origin_wide)),
+        "archive_replay": f"select * from ({per_batch}) where seq_id >= 10",
+        "locations_cached": """
+            select lpad(cast(n_nationkey as varchar), 5, '0') as zipcode,
+                   case when n_nationkey = 1 then 'NATION_0' else n_name end as city, 1::integer as n_rings,
+                   cast(case when n_nationkey % 2 = 0 then 5 else 4 end as integer) as n_points from nation""",
+        "released_batches": located.sql("everywhere", """
+            , r as (select seq, period, row_number() over (partition by seq, period order by pos) - 1 as pos from everywhere),
+            top as (select max(seq) as top from r),
+            rule as (select 'gap' as rule, top * 3 // 4 as until from top union all select 'last', top // 2 + 1 from top union all select 'cap', 7)
+            select rule, seq, period, count(*) as n, cast(sum(pos) as bigint) as places from r, rule
+            where seq < until and not (period = 'current' and seq % 5 = 0 and pos % 10 = 0)
+            group by all"""),
         "aqi_improvement": wide.sql("imp", "select * from imp"),
         "q1_top50": plain.sql("imp", _top(50)),
         "q1_topk_wide": wide.sql("imp", _top(20)),

@@ -73,13 +73,15 @@ def read_archive(
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Result rows of many batches, in folders of consecutive batch numbers.
+    """Result rows of many batches, a folder per batch within folders of consecutive batch numbers.
 
-    Overwriting replaces only the folders that occur in ``results``.
+    Overwriting replaces the batches that occur in ``results`` and no others. A batch whose result is empty is replaced
+    if it occurs with a row of nulls, as ``for_every_batch`` makes them.
     """
-    results.withColumn("folder", _folder(F.col("batch_seq_id"))).write.mode(mode).option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("folder").format(fmt).save(path)
+    rows = results.withColumns({"folder": _folder(F.col("batch_seq_id")), "batch": F.col("batch_seq_id")})
+    rows.repartition("batch").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(
+        "folder", "batch"
+    ).format(fmt).save(path)
 
 
 def write_epoch(rows: DataFrame, path: str, epoch: int, *partitions: str) -> None:

@@ -1,40 +1,41 @@
 """Both standing questions in Structured Streaming, with tables as state.
 
-Every micro-batch runs the batch operators on what it brings plus a bounded look
-back: one row per city and period, slice sums of the last window + mean, and
+Every micro-batch runs the batch operators on what it brings plus a look back that
+does not grow: one row per city and period, slice sums of the last window + mean, and
 readings of the last window. All of that is partitioned tables, so a hot city is
 spread over tasks exactly as in a batch run, and no state lives in one worker.
 
 A micro-batch reads the state its predecessor left and writes only folders of its
-own epoch: repeating it after a failure gives the same state and results.
+own epoch: repeating it after a failure gives the same state and results. It removes
+state that neither it nor a later one can read, and its own intermediate tables.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hazemeter.functions.timegrid import bucket_of, slice_start
-from hazemeter.operators.batches import flatten_batches, nested_headers, ordered_prefix, watermark_guard
+from hazemeter.operators.batches import flatten_batches, ingest, nested_headers, watermark_guard
 from hazemeter.operators.geo import point_in_polygon, with_city
-from hazemeter.operators.improve import aqi_improvement, top_improvements
+from hazemeter.operators.improve import aqi_improvement, for_every_batch, top_improvements
 from hazemeter.operators.probes import active_probes, arrivals, drop_late, late_bounds
 from hazemeter.operators.slices import slice_sums
 from hazemeter.operators.streaks import good_streak, streak_histogram
 from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aqi24_snapshots
 from hazemeter.params import DAY, DEFAULTS, Params
 from hazemeter.schema import BATCH, CURRENT, Q1, Q2
-from hazemeter.session import configure, counted, written
+from hazemeter.session import configure, counted, folders, remove, temporary_tables, written
 from hazemeter.sources.tables import write_epoch
 
 KEY = ["city", "period"]
 TABLES = {
     "cities": (
         "city STRING, period STRING, max_ts BIGINT, last_wm BIGINT, origin BIGINT, "
-        "good_since BIGINT, epoch BIGINT"
+        "good_since BIGINT, done BIGINT, epoch BIGINT"
     ),
     "slices": (
         "city STRING, period STRING, slice_end BIGINT, s1 BIGINT, s2 BIGINT, n BIGINT, "
@@ -45,7 +46,7 @@ TABLES = {
         "day BIGINT, epoch BIGINT"
     ),
     "held": f"{BATCH}, epoch BIGINT",
-    "run": "max_wm BIGINT, last_seq BIGINT, cities_epoch BIGINT, epoch BIGINT",
+    "run": "max_wm BIGINT, last_seq BIGINT, cities_epoch BIGINT, ended BOOLEAN, epoch BIGINT",
 }
 
 
@@ -66,6 +67,13 @@ class Stores:
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.schema(TABLES[name]).parquet(self.path(name))
 
+    def expire(self, spark: SparkSession, name: str, key: str, low: int) -> None:
+        """Removes folders of a table whose ``key`` is below ``low``."""
+        for folder in folders(spark, self.path(name)):
+            at = folder.removeprefix(f"{key}=")
+            if at != folder and at.lstrip("-").isdigit() and int(at) < low:
+                remove(spark, f"{self.path(name)}/{folder}")
+
 
 def _day(column: str):
     return bucket_of(F.col(column), DAY)
@@ -83,20 +91,33 @@ def answer_epoch(
     """Answers both questions for the batches a micro-batch makes releasable.
 
     Batches are taken in the order of their numbers; those ahead of a missing one
-    are held for a later micro-batch, repeated ones are ignored.
+    are held for a later micro-batch, repeated ones are ignored, and so are those after one flagged ``last``.
     """
     spark = configure(arrived_batches.sparkSession)
+    with temporary_tables(spark):
+        _epoch(spark, arrived_batches, epoch, locations, stores, params)
+
+
+def _epoch(
+    spark: SparkSession, arrived_batches: DataFrame, epoch: int, locations: DataFrame, stores: Stores, params: Params
+) -> None:
     before = (
         stores.read(spark, "run").where(F.col("epoch") < epoch)
-        .agg(*[F.max_by(c, "epoch") for c in ("max_wm", "last_seq", "cities_epoch", "epoch")]).first()
+        .agg(*[F.max_by(c, "epoch") for c in ("max_wm", "last_seq", "cities_epoch", "ended", "epoch")]).first()
     )
-    low_wm, last_seq, cities_epoch, last_epoch = before
+    low_wm, last_seq, cities_epoch, ended, last_epoch = before
     due_seq = 0 if last_seq is None else last_seq + 1
+    if last_epoch is not None:
+        for name, oldest in (("run", last_epoch), ("held", last_epoch), ("cities", cities_epoch)):
+            stores.expire(spark, name, "epoch", last_epoch if oldest is None else oldest)
+    if low_wm is not None:
+        stores.expire(spark, "readings", "day", _log_low(low_wm, params) // DAY)
+        stores.expire(spark, "slices", "day", _slices_low(low_wm, params) // DAY)
 
     held = stores.read(spark, "held").where(F.col("epoch") == F.lit(last_epoch)).drop("epoch")
-    waiting = arrived_batches.unionByName(held).where(F.col("seq_id") >= due_seq)
-    inbox = written(waiting.dropDuplicates(["seq_id"]), "inbox")
-    batches = written(ordered_prefix(inbox, start=due_seq), "released")
+    waiting = arrived_batches.unionByName(held).where((F.col("seq_id") >= due_seq) & F.lit(not ended))
+    inbox = written(waiting, "inbox")
+    batches = ingest(inbox, due_seq)
     every, n_headers = counted(nested_headers(batches, params), "headers")
     early = inbox.join(every.withColumnRenamed("seq", "seq_id"), "seq_id", "left_anti")
     write_epoch(early.select("seq_id", "last", "current", "lastyear"), stores.path("held"), epoch)
@@ -106,19 +127,30 @@ def answer_epoch(
     min_wm, max_wm = ahead.agg(F.min("wm"), F.max("wm")).first()
     if n_headers:
         _answer(
-            batches, every, n_headers, ahead, min_wm, due_seq - 1, cities_epoch, epoch, locations, stores, params
+            batches, every, ahead, min_wm, max_wm, low_wm, due_seq - 1, cities_epoch, epoch, locations, stores, params
         )
     progress = (
         low_wm if max_wm is None else max_wm,
         due_seq + n_headers - 1 if n_headers else last_seq,
         epoch if n_headers else cities_epoch,
+        bool(ended or batches.where("last").limit(1).count()),
     )
-    schema = "max_wm BIGINT, last_seq BIGINT, cities_epoch BIGINT"
+    schema = "max_wm BIGINT, last_seq BIGINT, cities_epoch BIGINT, ended BOOLEAN"
     write_epoch(spark.createDataFrame([progress], schema), stores.path("run"), epoch)
 
 
+def _log_low(wm: int, params: Params) -> int:
+    """Readings before this time are not needed at watermarks from ``wm`` on."""
+    return wm - max(params.window_ms, params.active_ms) - params.step_ms
+
+
+def _slices_low(wm: int, params: Params) -> int:
+    """Slices that end before this time are not needed at watermarks from ``wm`` on."""
+    return min(_log_low(wm, params), wm - params.mean_ms - params.window_ms - params.step_ms)
+
+
 def _answer(
-    batches: DataFrame, every: DataFrame, n_headers: int, ahead: DataFrame, min_wm: int | None,
+    batches: DataFrame, every: DataFrame, ahead: DataFrame, min_wm: int | None, max_wm: int | None, low_wm: int | None,
     last_seq: int, cities_epoch: int | None, epoch: int, locations: DataFrame, stores: Stores, params: Params,
 ) -> None:
     """Answers for released batches, all of them after ``last_seq``."""
@@ -128,21 +160,18 @@ def _answer(
         stores.read(spark, "cities").where(F.col("epoch") == F.lit(cities_epoch)).drop("epoch"), "cities"
     )
     flat = flatten_batches(batches, params)
-    fresh = with_city(flat, *counted(point_in_polygon(flat, locations), "lookup"))
+    lookup = written(point_in_polygon(flat, locations), "lookup")
+    fresh = written(with_city(flat, lookup).select("seq", "pos", *KEY, "ts_ms", "p1", "p2"), "located")
     none = F.lit(None).cast("bigint")
     carried = known.select(
         *KEY, carried_seq.alias("seq"), "max_ts", none.alias("min_ts"), F.col("origin").alias("first_ts")
     )
-    arrived, n_arrived = counted(arrivals(fresh).unionByName(carried), "arrivals")
-    probes, n_probes = counted(
-        active_probes(arrived, ahead, params, n_headers + n_arrived), "probes"
-    )
-    asked = known.where("last_wm is not null").select(
-        carried_seq.alias("seq"), F.col("last_wm").alias("wm"), *KEY
-    )
-    n_asked = n_arrived + n_probes + n_arrived  # cities carried over are among the arrivals
-    late, n_late = counted(late_bounds(arrived, probes.unionByName(asked), params, n_asked), "late")
-    kept = (drop_late(fresh, late) if n_late else fresh).select("seq", "pos", *KEY, "ts_ms", "p1", "p2")
+    arrived = written(arrivals(fresh).unionByName(carried), "arrivals")
+    probes = written(active_probes(arrived, ahead, params), "probes")
+    # what a city was asked about, or its streak is done with, is settled
+    asked = known.select(carried_seq.alias("seq"), F.greatest("last_wm", "done").alias("wm"), *KEY).where("wm is not null")
+    late, n_late = counted(late_bounds(arrived, probes.unionByName(asked), params), "late")
+    kept = drop_late(fresh, late) if n_late else fresh
 
     write_epoch(kept.withColumn("day", _day("ts_ms")), stores.path("readings"), epoch, "day")
     mine = stores.read(spark, "readings").where(F.col("epoch") == epoch).drop("day", "epoch")
@@ -150,51 +179,59 @@ def _answer(
         slice_sums(mine, params).withColumn("day", _day("slice_end")), stores.path("slices"), epoch, "day"
     )
 
-    # what can be asked about reaches back from the earliest watermark; a city that
-    # was silent still owes its streak the snapshots after its last probe
-    low = min_wm or 0
+    if min_wm is None:  # nothing is asked: every batch has its empty result, the cities what arrived
+        nothing = lambda schema: spark.createDataFrame([], schema)
+        write_epoch(for_every_batch(every, nothing(Q1)), stores.path("q1"), epoch)
+        write_epoch(for_every_batch(every, nothing(Q2)), stores.path("q2"), epoch)
+        newest = nothing("city STRING, period STRING, until BIGINT")
+        streaks = nothing("city STRING, period STRING, ts_ms BIGINT, good_since BIGINT")
+        write_epoch(_cities(known, arrived, newest, streaks, none, params), stores.path("cities"), epoch)
+        return
+
+    # the look back begins where the last micro-batch ended, so it is as long however much lies behind it
+    base = min_wm if low_wm is None else low_wm
     newest = probes.groupBy(*KEY).agg(F.max("wm").alias("until"))
-    owed = known.join(newest, KEY, "left_semi").agg(F.min(F.coalesce("last_wm", "origin"))).first()[0]
-    log_low = low - max(params.window_ms, params.active_ms) - params.step_ms
-    log = _from_day(stores.read(spark, "readings"), log_low, "ts_ms", epoch)
-    snapshots_low = low - params.mean_ms if owed is None else min(low - params.mean_ms, owed)
-    slices_low = min(log_low, snapshots_low - params.window_ms - params.step_ms)
+    log = _from_day(stores.read(spark, "readings"), _log_low(min_wm, params), "ts_ms", epoch)
     slices = written(
-        _from_day(stores.read(spark, "slices"), slices_low, "slice_end", epoch)
+        _from_day(stores.read(spark, "slices"), _slices_low(base, params), "slice_end", epoch)
         .groupBy(*KEY, "slice_end")
         .agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "n")]),
         "slices",
     )
-    snapshots = aqi24_snapshots(slices, params)
+    snapshots = written(aqi24_snapshots(slices, params), "snapshots")
     at_watermark = written(
         aqi24_at_watermark(log, slices, probes, params, unseen=False), "at-watermark"
     )
 
-    improved = aqi_improvement(aqi5d(snapshots, at_watermark, params))
-    write_epoch(top_improvements(improved, params.k), stores.path("q1"), epoch)
+    ranking = top_improvements(aqi_improvement(aqi5d(snapshots, at_watermark, params)), params.k)
+    write_epoch(for_every_batch(every, ranking), stores.path("q1"), epoch)
 
+    # A city's streak advances to the last watermark it was asked about. That of a silent city advances as
+    # far as the next micro-batch can no longer see; what arrives behind that later is late.
+    silent = F.lit(max_wm - params.mean_ms).cast("bigint")
     due = (
-        snapshots.join(newest, KEY).where(F.col("ts_ms") <= F.col("until"))
-        .join(known.select(*KEY, "last_wm"), KEY, "left")
-        .where("last_wm is null or ts_ms > last_wm")
-        .drop("until", "last_wm")
+        snapshots.join(newest, KEY, "left")
+        .join(known.select(*KEY, "last_wm", "done"), KEY, "left")
+        .where(F.col("ts_ms") <= F.coalesce("until", silent))
+        .where(F.col("ts_ms") > F.coalesce(F.greatest("last_wm", "done"), F.lit(-(1 << 62))))
+        .drop("until", "last_wm", "done")
     )
     now = F.col("period") == CURRENT
     running = known.where("good_since is not null").select(
         none.alias("seq"), *KEY, F.col("good_since").alias("ts_ms"),
         *[F.lit(0).alias(c) for c in ("aqi", "aqi_p1", "aqi_p2")], F.lit(False).alias("is_probe"),
     )
-    values = aqi24_all(due, at_watermark).unionByName(running).where(now)
-    values, n_values = counted(values, "values")
-    streaks = written(good_streak(values, params, n_values), "streaks")
+    values = written(aqi24_all(due, at_watermark).unionByName(running).where(now), "values")
+    streaks = written(good_streak(values, params), "streaks")
     probed = streaks.where("is_probe").select("seq", "city", F.col("ts_ms").alias("ts_last"), "good_since")
-    write_epoch(streak_histogram(watermark_guard(every, params), probed, params), stores.path("q2"), epoch)
+    histogram = streak_histogram(watermark_guard(every, params), probed, params)
+    write_epoch(for_every_batch(every, histogram), stores.path("q2"), epoch)
 
-    write_epoch(_cities(known, arrived, newest, streaks, params), stores.path("cities"), epoch)
+    write_epoch(_cities(known, arrived, newest, streaks, silent, params), stores.path("cities"), epoch)
 
 
 def _cities(
-    known: DataFrame, arrived: DataFrame, newest: DataFrame, streaks: DataFrame, params: Params
+    known: DataFrame, arrived: DataFrame, newest: DataFrame, streaks: DataFrame, silent: Column, params: Params
 ) -> DataFrame:
     """What the next micro-batch has to know about each city: one row per key."""
     seen = arrived.groupBy(*KEY).agg(
@@ -206,10 +243,11 @@ def _cities(
     )
     return (
         seen.join(newest, KEY, "left").join(ended, KEY, "left")
-        .join(known.select(*KEY, "last_wm", "good_since"), KEY, "left")
+        .join(known.select(*KEY, "last_wm", "good_since", "done"), KEY, "left")
         .select(
             *KEY, "max_ts", F.greatest("last_wm", "until").alias("last_wm"), "origin",
             F.when(F.col("moved"), F.col("since")).otherwise(F.col("good_since")).alias("good_since"),
+            F.greatest("done", silent).alias("done"),
         )
     )
 
@@ -221,19 +259,20 @@ def answers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def run_questions(
-    batches: DataFrame, locations: DataFrame, root: str, params: Params = DEFAULTS
+    batches: DataFrame, locations: DataFrame, root: str, params: Params = DEFAULTS, every: str | None = None
 ) -> StreamingQuery:
     """Starts the stream; results and state are kept below ``root``.
 
-    The query ends when all present batches are answered, and a later call with
-    the same ``root`` goes on from there.
+    With ``every``, say "10 seconds", the query goes on taking what has arrived at that interval. Without, it ends when
+    all present batches are answered. A later call with the same ``root`` goes on from there.
     """
     stores = Stores(root)
     stores.create(batches.sparkSession)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
         batches.writeStream
         .foreachBatch(lambda df, epoch: answer_epoch(df, epoch, locations, stores, params))
         .option("checkpointLocation", stores.path("checkpoint"))
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )

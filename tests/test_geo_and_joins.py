@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from hazemeter.operators.geo import locate, point_in_polygon, with_city
+from hazemeter.operators.geo import locate, point_in_polygon, polygon_cells, polygon_rings, with_city
 from hazemeter.operators.improve import interval_join, nested_top, top_improvements
 from hazemeter.schema import LOCATION
 from tests.helpers import rows_of
@@ -41,12 +41,26 @@ def test_locate_drops_outside_and_keeps_repeats(spark):
         got = locate(readings, places)
         assert got.where("city = 'A'").count() == got.count() == 100
         lookup = point_in_polygon(readings, places)
-        for rows in (None, 1):
-            assert with_city(readings, lookup, rows).where("city = 'A'").count() == 100
+        assert with_city(readings, lookup).where("city = 'A'").count() == 100
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_many_small_rings_where_one_large_cell_was(spark):
+    """400 small squares and one that holds them all, thousands of points: a point meets few rings."""
+    small = [location(f"{i:03}", f"c{i}", [(x := 10 + i % 20 / 100, y := 50 + i // 20 / 100), (x + 0.008, y), (x + 0.008, y + 0.008), (x, y + 0.008)]) for i in range(400)]
+    places = spark.createDataFrame([*small, location("999", "all", [(9.0, 49.0), (12.0, 49.0), (12.0, 52.0), (9.0, 52.0)]), location("998", "none", [])], LOCATION).repartition(4)
+    points = spark.range(5000).selectExpr("cast(50 + (id % 70) / 350.0 + 0.0003 as float) as lat", "cast(10 + (id div 70) / 360.0 + 0.0003 as float) as lon")
+    found = {(r.lat, r.lon): r.city for r in point_in_polygon(points, places).collect()}
+    assert len(found) == 5000
+    for (lat, lon), city in found.items():
+        i, j = int((lon - 10) * 100 + 1e-9), int((lat - 50) * 100 + 1e-9)
+        inside = (lon - 10) * 100 - i < 0.8 and (lat - 50) * 100 - j < 0.8 and i < 20 and j < 20
+        assert city == (f"c{20 * j + i}" if inside else "all")
+    rings = polygon_rings(places)
+    assert polygon_cells(rings).count() <= 4 * rings.count() == 4 * 401
+
+
 @pytest.mark.parametrize("lo, hi", [(0, 0), (-5, 12), (3, 4), (-20, -10), (7, 7)])
 def test_interval_join_against_pairs(spark, lo, hi):
     rng = random.Random(lo * 31 + hi)

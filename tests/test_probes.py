@@ -8,22 +8,20 @@ from tests.helpers import READING, as_df, kept_of, probes_of, random_readings, r
 PARAMS = Params(step_ms=60_000, window_ms=600_000, mean_ms=1_200_000, active_ms=120_000)
 
 
-def run(spark, rows, known):
+def run(spark, rows):
     readings = as_df(spark, rows)
     headers, arrived = B.flat_headers(readings), P.arrivals(readings)
-    bound = 10_000 if known else None
-    probes = P.active_probes(arrived, headers, PARAMS, bound)
-    late = P.late_bounds(arrived, probes, PARAMS, bound)
+    probes = P.active_probes(arrived, headers, PARAMS)
+    late = P.late_bounds(arrived, probes, PARAMS)
     return probes, P.drop_late(readings, late)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("known", [True, False])
-def test_probes_and_late_readings_against_definition(spark, monkeypatch, seed, known):
+def test_probes_and_late_readings_against_definition(spark, monkeypatch, seed):
     for module in (B, P):
         monkeypatch.setattr(module, "SEQ_BLOCK", 3)
     rows = random_readings(seed)
-    probes, kept = run(spark, rows, known)
+    probes, kept = run(spark, rows)
     want = probes_of(rows, PARAMS.active_ms)
     assert rows_of(probes) == sorted(((p["city"], p["period"], p["seq"], p["wm"]) for p in want), key=str)
     left = kept_of(rows, want, PARAMS.step_ms)

@@ -2,22 +2,14 @@ import os
 
 from pyspark.sql import functions as F
 
-from hazemeter.operators.batches import flat_headers
 from hazemeter.operators.improve import interval_join
-from hazemeter.operators.probes import active_probes, arrivals, drop_late, late_bounds
-from hazemeter.operators.slices import slice_sums
-from hazemeter.operators.streaks import streak_at_watermark
-from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aqi24_snapshots
 from hazemeter.params import HOUR, Params
 from hazemeter.plans import fixtures as fx
 from hazemeter.plans import standing as st
 from hazemeter.sources import tables as S
 from hazemeter.streaming.job import run_questions
-from hazemeter.streaming.keyed import INPUT, keyed_windows
-from tests.helpers import as_df, random_readings, rows_of
-from tests.test_windows import EXPECTED, golden
+from tests.helpers import rows_of
 
-PARAMS = Params(step_ms=60_000, window_ms=600_000, mean_ms=1_200_000, active_ms=120_000)
 WIDE = Params(shift_ms=fx.SHIFT, active_ms=12 * HOUR, k=5, histogram_origin_ms=fx.T0)
 
 
@@ -43,8 +35,8 @@ def test_stream_equals_batch_across_a_restart(spark, sf_dir, tmp_path):
     run_questions(S.stream_batches(spark, folder), places, out, WIDE).awaitTermination()
 
     base = st.timely_batches(S.read_batches(spark, folder), places, WIDE)
-    assert spark.read.parquet(f"{out}/run").select("epoch").distinct().count() == 3
-    for name, want in (("q1", st.q1(base)), ("q2", st.q2(base))):
+    assert spark.read.parquet(f"{out}/q2").select("epoch").distinct().count() == 3
+    for name, want in (("q1", st.q1_results(base)), ("q2", st.q2_results(base))):
         got = spark.read.parquet(f"{out}/{name}")
         assert rows_of(got.drop("epoch")) == rows_of(want)
         assert want.count() > 0
@@ -100,78 +92,3 @@ def test_interval_join_of_two_streams(spark, tmp_path):
     assert rows_of(got.select(want.columns)) == rows_of(want)
     states = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
     assert len(states) >= 3
-
-
-def keyed(spark, rows, folder, out, params, files):
-    """Runs the keyed function over ``rows``, one file per group of batches."""
-    df = spark.createDataFrame(rows, INPUT)
-    bounds = [i * 100 // files for i in range(files + 1)]
-    top = max(r[0] for r in rows) + 1
-    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-        part = df.withColumnRenamed("seq", "seq_id").where(
-            (F.col("seq_id") * 100 >= lo * top) & (F.col("seq_id") * 100 < hi * top)
-        )
-        feed(part, folder, 0, top, i + 1)
-    stream = (
-        spark.readStream.schema(INPUT.replace("seq ", "seq_id ")).option("maxFilesPerTrigger", 1).parquet(folder)
-        .withColumnRenamed("seq_id", "seq")
-    )
-    query = (
-        keyed_windows(stream, params).writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out)
-    )
-    query.awaitTermination()
-    return spark.read.parquet(out)
-
-
-def with_provider(spark, run):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    try:
-        return run()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-
-
-def test_keyed_function_on_golden_arrivals(spark, tmp_path):
-    readings, probes = golden()
-    rows = [(seq, False, pos, c, p, ts, p1, p2) for seq, pos, c, p, ts, p1, p2 in readings]
-    rows += [(seq, True, 0, c, p, wm, 0.0, 0.0) for seq, wm, c, p in probes]
-    got = with_provider(spark, lambda: keyed(spark, rows, f"{tmp_path}/in", f"{tmp_path}/out", Params(), 4))
-    values = {(r.city, r.ts_ms // 1000, r.is_probe): r.aqi for r in got.collect()}
-    want = {}
-    for item in EXPECTED.split():
-        name = item.rstrip("*").rstrip("w")
-        want[(name[0], int(name[1:]), "w" in item)] = 999 if item.endswith("*") else 8
-    assert {k: values.get(k) for k in want} == want
-    assert sorted(set(values) - set(want)) == [(c, t, False) for c in "BP" for t in (300, 600)]
-
-
-def test_keyed_function_equals_batch_operators(spark, tmp_path):
-    rows = random_readings(21, n=500)
-    readings = as_df(spark, rows).cache()
-    arrived = arrivals(readings).cache()
-    probes = active_probes(arrived, flat_headers(readings), PARAMS).cache()
-    kept = drop_late(readings, late_bounds(arrived, probes, PARAMS)).cache()
-    slices = slice_sums(kept, PARAMS).cache()
-    snapshots = aqi24_snapshots(slices, PARAMS)
-    at = aqi24_at_watermark(kept, slices, probes, PARAMS)
-    means = aqi5d(snapshots, at, PARAMS)
-
-    stream_rows = [
-        (r["seq"], False, r["pos"], r["city"], r["period"], r["ts_ms"], r["p1"], r["p2"]) for r in rows
-    ] + [(p.seq, True, 0, p.city, p.period, p.wm, 0.0, 0.0) for p in probes.collect()]
-    got = with_provider(
-        spark, lambda: keyed(spark, stream_rows, f"{tmp_path}/in", f"{tmp_path}/out", PARAMS, 3)
-    ).cache()
-    probed = got.where("is_probe")
-    assert rows_of(probed.select("seq", "city", "period", "ts_ms", "aqi", "aqi_p1", "aqi_p2")) == rows_of(at)
-    assert rows_of(probed.select("seq", "city", "period", F.col("mean").alias("aqi"))) == rows_of(
-        means.select("seq", "city", "period", "aqi")
-    )
-    now = aqi24_all(snapshots, at).where("period = 'current'")
-    assert rows_of(
-        probed.where("period = 'current'").select("seq", "city", F.col("ts_ms").alias("ts_last"), "good_since")
-    ) == rows_of(streak_at_watermark(now))

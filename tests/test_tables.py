@@ -40,7 +40,7 @@ def test_batches_from_json(spark, sf_dir, tmp_path):
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "json"])
-def test_results_overwrite_only_their_folders(spark, tmp_path, fmt, monkeypatch):
+def test_results_overwrite_only_their_batches(spark, tmp_path, fmt, monkeypatch):
     monkeypatch.setattr(S, "BATCHES_PER_FOLDER", 10)
     schema = "batch_seq_id bigint, v bigint"
     path = f"{tmp_path}/out"
@@ -50,6 +50,14 @@ def test_results_overwrite_only_their_folders(spark, tmp_path, fmt, monkeypatch)
     assert rows_of(got) == [(1, 1), (11, 2), (12, 2)]
 
 
+def test_results_written_batch_by_batch_are_all_there(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    for batch, values in ((0, [1, 2]), (1, [3]), (2, [4, 5]), (1, [6]), (2, [None])):
+        S.write_results(spark.createDataFrame([(batch, v) for v in values], "batch_seq_id bigint, v bigint"), path)
+    got = spark.read.parquet(path).select("batch_seq_id", "v")
+    assert rows_of(got) == rows_of(spark.createDataFrame([(0, 1), (0, 2), (1, 6), (2, None)], "batch_seq_id bigint, v bigint"))
+
+
 def test_repeated_epoch_replaces_itself(spark, tmp_path):
     for value in (1, 2):
         S.write_epoch(spark.createDataFrame([(value,)], "v bigint"), f"{tmp_path}/t", 7)
