@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,18 @@ def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def learning_sample(docs: DataFrame, id_col: str = "doc_id", rows: int = LEARN_ROWS) -> DataFrame:
-    """``(lang, text)`` of up to ``rows`` documents per language, none of them held out."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(id_col), id_col, F.xxhash64("text"))
-    usable = learnable(docs, id_col).where("not held_out and lang is not null and text is not null")
-    return usable.select("lang", "text", id_col, F.row_number().over(order).alias("nth")).where(F.col("nth") <= rows).select("lang", "text")
+    """``(lang, text)`` of up to ``rows`` documents per language, none of them held out.
+
+    The hashes of ids are ranked first, without any text; the last one taken is the language's bound, and only texts up to it
+    are looked at. Where rows repeat an id, that is ranked once more.
+    """
+    usable = learnable(docs, id_col).where("not held_out and lang is not null and text is not null").withColumn("hash", F.xxhash64(id_col))
+    ranked = usable.select("lang", "hash").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
+    bound = ranked.where(F.col("nth") <= rows).groupBy("lang").agg(F.max("hash").alias("bound"))
+    # One row per language.
+    near = usable.join(F.broadcast(bound), "lang").where(F.col("hash") <= F.col("bound")).select("lang", "hash", "text")
+    order = Window.partitionBy("lang").orderBy("hash", F.xxhash64("text"))
+    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("lang", "text")
 
 
 def _grams(data: np.ndarray, order: int) -> np.ndarray:
@@ -47,15 +56,19 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     """``(lang, ctx, gram, n)``: how often each context of up to ORDER bytes is followed by each byte."""
 
     def count(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"lang": [], "ctx": [], "gram": [], "n": []}
+        grams: dict[tuple[str, int], list[np.ndarray]] = defaultdict(list)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = np.frombuffer(text.encode(), np.uint8)
-            for order in range(min(ORDER, len(data) - 1) + 1 if len(data) else 0):
-                keys, n = np.unique(_grams(data, order), return_counts=True)
-                for name, values in (("gram", keys), ("n", n), ("ctx", np.full(len(keys), order)), ("lang", [lang] * len(keys))):
-                    out[name].append(values)
-        join = lambda name, kind: pa.array(np.concatenate(out[name]) if out[name] else [], kind)
-        return {"lang": join("lang", pa.string()), "ctx": join("ctx", pa.int32()), "gram": join("gram", pa.int64()), "n": join("n", pa.int64())}
+            for order in range(min(ORDER + 1, len(data))):
+                grams[lang, order].append(_grams(data, order))
+        # A batch's texts are counted together, so the shuffle gets a row per different gram.
+        found = [(*key, *np.unique(np.concatenate(parts), return_counts=True)) for key, parts in grams.items()]
+        column = lambda kind, parts: pa.array(np.concatenate(parts) if parts else [], kind)
+        return {
+            "lang": column(pa.string(), [np.full(len(n), lang, object) for lang, _, _, n in found]),
+            "ctx": column(pa.int32(), [np.full(len(n), order, np.int32) for _, order, _, n in found]),
+            "gram": column(pa.int64(), [keys for _, _, keys, _ in found]), "n": column(pa.int64(), [n for *_, n in found]),
+        }
 
     counted = mapped(sample, count, "lang string, ctx int, gram long, n long")
     return counted.groupBy("lang", "ctx", "gram").agg(F.sum("n").alias("n"))
@@ -65,11 +78,12 @@ class Trees:
     """Context trees of all languages over one set of contexts, with the code length of every byte in every context.
 
     A node is a context; its parent is the context without its oldest byte. ``child[v, c]`` is the node of one more
-    byte further back, or v's stop, from which no way leads on.
+    byte further back, or v's stop, from which no way leads on. The tables are made of the counts wherever they are needed:
+    what is sent to tasks is the counts.
     """
 
     def __init__(self, langs: list[str], lang: np.ndarray, ctx: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int = LEAST) -> None:
-        self.langs = langs
+        self.langs, self.least = langs, least
         seen = np.unique(gram[ctx == 0])  # bytes that occur; others share the last class but one, a text's edge is the last
         self.classes = np.full(256, len(seen), np.int64)
         self.classes[seen] = np.arange(len(seen))
@@ -94,21 +108,26 @@ class Trees:
             node[mine] = np.where(here, np.append(ids, -1)[where], -1)
             known.append((values, ids))
             size += len(values)
+        kept = node >= 0
+        lang, ctx, gram, n, node, symbol = (x[kept] for x in (lang, ctx, gram, n, node, symbol))
+        self.counts = lang.astype(np.int16), ctx.astype(np.int64), gram, n
         parent = np.concatenate(parents)
         self.child = np.concatenate([np.repeat(size + np.arange(size), width), np.repeat(size + np.arange(size), width)]).reshape(2 * size, width)
         for up, c, ids in links:
             self.child[up, c] = ids
         self.child = self.child.astype(np.int32)
-        self.bits = np.zeros((2 * size, width, len(langs)), np.float32)
+        self.size, self.bits = size, np.zeros((size, width, len(langs)), np.float32)
         for i in range(len(langs)):
             counts = np.zeros((size, len(seen)), np.float64)
-            own = (lang == i) & (node >= 0)
+            own = lang == i
             np.add.at(counts, (node[own], self.classes[symbol[own]]), n[own])
-            self.bits[:size, :-1, i] = self._lengths(counts, parent)
-        self.bits[size:] = self.bits[:size]
+            self.bits[:, :-1, i] = self._lengths(counts, parent)
         self.bits = self.bits.reshape(-1, len(langs))
         self.width = width
 
+    def __reduce__(self) -> tuple:
+        return Trees, (self.langs, *self.counts, self.least)
+
     @staticmethod
     def _lengths(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """Bits of every byte class in every context: by the longest context that has the byte, after an escape from each longer one.
@@ -149,7 +168,7 @@ class Trees:
                 if len(before) < hi - lo:
                     before = np.concatenate([np.full(hi - lo - len(before), self.edge, codes.dtype), before])
                 v = self.child.reshape(-1)[v * self.width + before]
-            bits = self.bits[v * self.width + codes[lo:hi]]
+            bits = self.bits[np.where(v < self.size, v, v - self.size) * self.width + codes[lo:hi]]
             first, end = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
             cuts = np.maximum(starts[first:end] - lo, 0)
             out[first:end] += np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)
