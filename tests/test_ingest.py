@@ -23,9 +23,7 @@ def reading(at, p1, lat=1.0, lon=1.0, p2=1.0):
 
 
 def places(spark):
-    square = lambda x: [((x, 0.0),), ((x + 2.0, 0.0),)]
     ring = lambda x: [([(x, 0.0), (x + 2.0, 0.0), (x + 2.0, 2.0), (x, 2.0)],)]
-    assert square
     return spark.createDataFrame([("1", "A", 1.0, 0, ring(0.0)), ("2", "B", 1.0, 0, ring(10.0))], LOCATION)
 
 
@@ -112,6 +110,15 @@ def test_stream_equals_batch_on_messy_input(spark, tmp_path):
 def test_state_does_not_grow_and_a_silent_city_comes_back(spark, tmp_path):
     """A city is silent for days; state stays as large, and a repeated epoch changes nothing."""
     where, out = places(spark), f"{tmp_path}/out"
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        _grow(spark, where, out)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def _grow(spark, where, out):
     stores = job.Stores(out)
     stores.create(spark)
     rows = []
