@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,71 +44,96 @@ WIDE, DEEP = 40, 12
 class Node:
     __slots__ = ("attrs", "children", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None) -> None:
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
 
-class Tree(HTMLParser):
-    """Builds the element tree; ``root`` has it. Tags that HTML implies are put in."""
+#: A comment, a declaration, or a tag; in a tag, ">" within quotes does not end it. Nothing is tried twice over.
+MARKUP = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*+>|</[^a-zA-Z][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+#: Their content is no markup.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """Text, start tags and end tags of a page in order: ``(kind, text or name, attributes)``, the kind being "" for text, "<" or "/"."""
+    at, last = 0, html.rfind(">")
+    while at < len(html):
+        less = html.find("<", at)
+        if less < 0 or less > last and not html.startswith("<!--", less):
+            yield "", unescape(html[at:]), {}
+            return
+        if less > at:
+            yield "", unescape(html[at:less]), {}
+        found = MARKUP.match(html, less) or PLAIN_TAG.match(html, less)
+        if not found:
+            yield "", "<", {}
+            at = less + 1
+            continue
+        at = found.end()
+        if not found[2]:
+            continue
+        tag = found[2].lower()
+        if found[1]:
+            yield "/", tag, {}
+            continue
+        attributes: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(found[3]):
+            attributes.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+        yield "<", tag, attributes
+        if tag in RAW:
+            end = RAW[tag].search(html, at)
+            stop = end.start() if end else len(html)
+            yield "", unescape(html[at:stop]), {}
+            at = stop
+
+
+class Tree:
+    """Builds the element tree; ``root`` has it. Tags that HTML implies are put in.
+
+    ``path`` holds the open elements and ``open`` their places on it by tag, so no tag costs a walk up a deep tree.
+    """
 
     def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None)
-        self.open: dict[str, int] = {}
-        self.feed(html)
-        self.close()
-
-    def _close(self, until: Node) -> None:
-        """Closes the open elements below and including ``until``."""
-        while True:
-            node, self.at = self.at, self.at.parent
-            self.open[node.tag] -= 1
-            if node is until:
-                return
-
-    def _within(self, wanted: frozenset | set, stop: set) -> Node | None:
-        """The outermost open element of ``wanted`` that lies below the nearest of ``stop``."""
-        if not any(self.open.get(t) for t in wanted):
-            return None
-        node, found = self.at, None
-        while node.parent is not None and node.tag not in stop:
-            if node.tag in wanted:
-                found = node
-            node = node.parent
-        return found
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ENDS and (node := self._within(*ENDS[tag])):
-            self._close(node)
-        if tag not in VOID and self.open.get("head") and tag not in UNSEEN and tag not in ("html", "head"):
-            if node := self._within({"head"}, {"html"}):
-                self._close(node)
-        if tag in ("td", "th") and self.open.get("table") and self.at.tag in ("table", "thead", "tbody", "tfoot"):
-            self.handle_starttag("tr", [])
-        node = Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
+        self.root = Node("#root", {}, None)
+        self.path, self.open = [self.root], defaultdict(list)
+        take = {"": self._text, "<": self._start, "/": self._end}
+        for kind, what, attributes in tokens(html):
+            take[kind](what, attributes)
+
+    def _shut(self, place: int) -> None:
+        """Closes the element at ``place`` and all within it."""
+        while len(self.path) > place:
+            self.open[self.path.pop().tag].pop()
+
+    def _within(self, wanted: set, stop: set) -> int | None:
+        """Place of the outermost open element of ``wanted`` inside the nearest of ``stop``."""
+        low = max((self.open[t][-1] for t in stop if self.open[t]), default=0)
+        return min((d[bisect_right(d, low)] for t in wanted if (d := self.open[t]) and d[-1] > low), default=None)
+
+    def _start(self, tag: str, attributes: dict[str, str]) -> None:
+        if tag in ENDS and (place := self._within(*ENDS[tag])):
+            self._shut(place)
+        if self.open["head"] and tag not in VOID and tag not in UNSEEN and tag not in ("html", "head"):
+            self._shut(self.open["head"][0])
+        if tag in ("td", "th") and self.path[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            self._start("tr", {})
+        node = Node(tag, attributes, self.path[-1])
+        self.path[-1].children.append(node)
         if tag not in VOID:
-            self.at = node
-            self.open[tag] = self.open.get(tag, 0) + 1
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.open.get(tag) and (node := self._last(tag)):
-            self._close(node)
-
-    def _last(self, tag: str) -> Node | None:
-        """The innermost open ``tag``; a cell's end tags do not reach out of their table."""
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            if node.tag == "table" and tag in ("td", "th", "tr", "li", "p", "div"):
-                return None
-            node = node.parent
-        return node if node.parent is not None else None
-
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+            self.open[tag].append(len(self.path))
+            self.path.append(node)
+
+    def _end(self, tag: str, _: dict[str, str]) -> None:
+        """Closes the innermost open ``tag``; the end tags of a cell's content do not reach out of their table."""
+        if places := self.open[tag]:
+            tables = self.open["table"]
+            if not (tables and tables[-1] > places[-1] and tag in ("td", "th", "tr", "li", "p", "div")):
+                self._shut(places[-1])
+
+    def _text(self, data: str, _: dict[str, str]) -> None:
+        self.path[-1].children.append(data)
 
 
 class Flow:

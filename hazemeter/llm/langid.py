@@ -16,6 +16,7 @@ from hazemeter.llm.common import mapped
 ORDER = 4
 #: Documents learned from, per language at most: those of the smallest hash of their id, whole texts. Statistics are frozen then.
 LEARN_ROWS = 500
+SPARE = 4
 #: Contexts seen less often in every language are left out: a shorter one serves.
 LEAST = 24
 UNKNOWN = "und"
@@ -29,18 +30,20 @@ def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def learning_sample(docs: DataFrame, id_col: str = "doc_id", rows: int = LEARN_ROWS) -> DataFrame:
-    """``(lang, text)`` of up to ``rows`` documents per language, none of them held out.
+    """``(lang, text)`` of up to ``rows`` documents per language, none of them held out: those of the least hashes of their ids.
 
-    The hashes of ids are ranked first, without any text; the last one taken is the language's bound, and only texts up to it
-    are looked at. Where rows repeat an id, that is ranked once more.
+    A count per language, without any text, gives a bound of the hash below which some SPARE times as many are expected; only
+    texts below it are ranked, so no task gets more however large a language is. Rows that repeat an id count once, with
+    the least text.
     """
     usable = learnable(docs, id_col).where("not held_out and lang is not null and text is not null").withColumn("hash", F.xxhash64(id_col))
-    ranked = usable.select("lang", "hash").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
-    bound = ranked.where(F.col("nth") <= rows).groupBy("lang").agg(F.max("hash").alias("bound"))
+    share = SPARE * rows / F.count("hash")
+    bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + share * 2.0**64).cast("long"))
     # One row per language.
-    near = usable.join(F.broadcast(bound), "lang").where(F.col("hash") <= F.col("bound")).select("lang", "hash", "text")
-    order = Window.partitionBy("lang").orderBy("hash", F.xxhash64("text"))
-    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("lang", "text")
+    near = usable.join(F.broadcast(usable.groupBy("lang").agg(bound.alias("bound"))), "lang").where(F.col("hash") <= F.col("bound"))
+    single = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    return single.withColumn("nth", nth).where(F.col("nth") <= rows).select("lang", "text")
 
 
 def _grams(data: np.ndarray, order: int) -> np.ndarray:
