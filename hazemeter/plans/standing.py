@@ -53,7 +53,7 @@ def timely(
     readings = valid_readings(readings)
     cells = written(slice_cells(readings, params), "cells")
     arrived = written(arrivals_of_cells(cells), "arrivals")
-    every = written(flat_headers(arrived, "last_ts", "last_pos") if headers is None else headers, "headers")
+    every = flat_headers(arrived, "last_ts", "last_pos") if headers is None else written(headers, "headers")
     headers = watermark_guard(every, params)
     probes = written(active_probes(arrived, headers, params), "probes")
     late, n_late = counted(late_bounds(arrived, probes, params), "late")

@@ -1,8 +1,10 @@
+import os
+
 import pytest
 from pyspark.errors import AnalysisException
 
 from hazemeter.plans import fixtures as fx
-from hazemeter.session import counted, shared_dir
+from hazemeter.session import counted, shared_dir, temporary_tables
 from hazemeter.sources import tables as S
 from tests.helpers import rows_of
 
@@ -81,3 +83,13 @@ def test_intermediate_tables_use_the_configured_folder(spark):
     table, rows = counted(spark.range(10), "ten")
     assert rows == table.count() == 10
     assert all(shared_dir(spark) in f for f in table.inputFiles())
+
+
+def test_temporary_tables_are_removed(spark):
+    kept, _ = counted(spark.range(3), "kept")
+    with temporary_tables(spark):
+        gone, rows = counted(spark.range(5), "gone")
+        folders = {os.path.dirname(f.removeprefix("file://")) for f in gone.inputFiles()}
+        assert rows == 5 and all(map(os.path.isdir, folders))
+    assert not any(map(os.path.exists, folders))
+    assert kept.count() == 3
