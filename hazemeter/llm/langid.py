@@ -18,10 +18,12 @@ ORDER = 4
 LEARN_ROWS = 500
 SPARE = 4
 #: Contexts seen less often in every language are left out: a shorter one serves.
-LEAST = 24
+LEAST = 48
 UNKNOWN = "und"
 #: Bytes coded in one step.
 BLOCK = 1 << 20
+#: Contexts whose code lengths are worked out in one step.
+NODES = 2048
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -124,7 +126,8 @@ class Trees:
             counts = np.zeros((size, len(seen)), np.float64)
             own = lang == i
             np.add.at(counts, (node[own], self.classes[symbol[own]]), n[own])
-            self.bits[:, :-1, i] = self._lengths(counts, parent)
+            for at in range(0, size, NODES):
+                self.bits[at : at + NODES, :-1, i] = self._lengths(counts, parent, np.arange(at, min(at + NODES, size)))
         self.bits = self.bits.reshape(-1, len(langs))
         self.width = width
 
@@ -132,16 +135,15 @@ class Trees:
         return Trees, (self.langs, *self.counts, self.least)
 
     @staticmethod
-    def _lengths(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Bits of every byte class in every context: by the longest context that has the byte, after an escape from each longer one.
+    def _lengths(counts: np.ndarray, parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bits of every byte class in the contexts ``at``: by the longest context that has the byte, after an escape from each longer one.
 
         A context of T bytes and D different ones gives n / (T + D) to each and D / (T + D) to the escape; what a
         longer context had is excluded from shorter ones. In a context the language never showed there is nothing
         to escape from. At last, all 256 byte values not excluded are alike.
         """
-        size, seen = counts.shape
+        size, seen = len(at), counts.shape[1]
         p, escape, out = np.zeros((size, seen + 1)), np.ones(size), np.zeros((size, seen), bool)
-        at = np.arange(size)
         for _ in range(ORDER + 1):
             n = np.where(out, 0, counts[at])
             total, kinds = n.sum(axis=1), (n > 0).sum(axis=1)

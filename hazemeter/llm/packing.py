@@ -19,8 +19,8 @@ from hazemeter.llm.common import written
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 ID_BYTES = 4
-#: Words whose ids a worker remembers, about 150 MB, and as many older ones.
-REMEMBERED = 700_000
+#: Words whose ids a worker remembers, about 60 MB, and as many older ones. Idle workers keep them.
+REMEMBERED = 300_000
 #: Pieces of one length are numbered within so many bits.
 RANK_BITS = 48
 #: The tokenizer does not count these as white space, Python does.
@@ -210,7 +210,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     # As many rows as blocks have different lengths: a summary of each task, not of each piece.
     blocks = written(blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "blocks")
     counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    ranked = rows.join(blocks.drop("n"), ["length", "block"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "block")
+    # The summary grows with the number of blocks and packs well on disk, so its size there does not make it small: no broadcast.
+    ranked = rows.join(blocks.drop("n").hint("merge"), ["length", "block"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "nth", "block")
     return _placed(docs.sparkSession, ranked, plan(counts, capacity))
 
 
