@@ -36,18 +36,19 @@ def _windows(hashed: DataFrame, run: int) -> DataFrame:
     """``(row, id, ats, key)`` per window of ``run`` lines around a fingerprint that occurs more than once.
 
     A window's fingerprint is its least line hash. A repeated window repeats its fingerprint, so windows without a
-    repeated one are done with before they meet any other. ``key`` holds all hashes of the window.
+    repeated one are done with before they meet any other. ``key`` is a digest of 128 bits of all hashes of the window.
     """
     starts = F.when(F.size("marks") >= run, F.sequence(F.lit(0), F.greatest(F.size("marks") - run, F.lit(0)))).otherwise(F.array())
     window = lambda i: F.struct(
-        F.least(*(F.get("marks", i + j)["h"] for j in range(run))).alias("pick"),
+        F.least(*(F.struct(F.get("marks", i + j)["h"].alias("h"), F.get("marks", i + j)["at"].alias("at")) for j in range(run))).alias("pick"),
         F.array(*(F.get("marks", i + j)["at"] for j in range(run))).alias("ats"),
-        F.array(*(F.get("marks", i + j)[h] for j in range(run) for h in "hg")).alias("key"),
+        F.array(*(F.xxhash64(F.lit(seed), *(F.get("marks", i + j)[h] for j in range(run) for h in "hg")) for seed in (1, 2))).alias("key"),
     )
-    windows = written(hashed.select("row", "id", F.explode(F.transform(starts, window)).alias("w")).select("row", "id", "w.*"), "windows")
-    # Windows next to each other mostly share their pick: a fingerprint is counted once per place.
-    places = windows.select("pick", "row", "ats").groupBy("pick").agg(F.min(F.struct("row", "ats")).alias("a"), F.max(F.struct("row", "ats")).alias("b"))
-    again = places.where("a <> b").select("pick")
+    windows = hashed.select("row", "id", F.explode(F.transform(starts, window)).alias("w"))
+    windows = written(windows.select("row", "id", F.col("w.pick.h").alias("pick"), F.col("w.pick.at").alias("at"), "w.ats", "w.key"), "windows")
+    # Windows next to each other mostly share their pick: a fingerprint occurs again if it does at another place.
+    place = F.struct("row", "at")
+    again = windows.groupBy("pick").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("pick")
     return windows.join(again, "pick", "left_semi").select("row", "id", "ats", "key")
 
 
