@@ -73,7 +73,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = hashed.select("row", "id", F.explode(F.filter("marks", lambda m: m["long"])).alias("m")).select(
         "row", "id", F.array("m.at").alias("ats"), F.array("m.h", "m.g").alias("key")
     )
-    gone = _later(_windows(hashed, run)).unionByName(_later(written(alone, "long_lines"))).distinct()
+    gone = _later(_windows(hashed, run)).unionByName(_later(alone)).distinct()
     gone = gone.groupBy("row").agg(F.collect_list("at").alias("gone"))
     out = rows.join(gone, "row", "left").select("id", "text", _lines(F.col("text")).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
