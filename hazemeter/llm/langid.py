@@ -17,13 +17,11 @@ ORDER = 4
 #: Documents learned from, per language at most: those of the smallest hash of their id, whole texts. Statistics are frozen then.
 LEARN_ROWS = 500
 SPARE = 4
-#: Contexts seen less often in every language are left out: a shorter one serves.
-LEAST = 48
 UNKNOWN = "und"
+#: Two to this power is the number of slots by which most grams are found at once.
+SLOTS = 22
 #: Bytes coded in one step.
-BLOCK = 1 << 20
-#: Contexts whose code lengths are worked out in one step.
-NODES = 2048
+BLOCK = 1 << 19
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -80,106 +78,133 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 class Trees:
-    """Context trees of all languages over one set of contexts, with the code length of every byte in every context.
+    """Context trees of all languages: a sparse table each of the (context, byte) counts and of the contexts' totals.
 
-    A node is a context; its parent is the context without its oldest byte. ``child[v, c]`` is the node of one more
-    byte further back, or v's stop, from which no way leads on. The tables are made of the counts wherever they are needed:
-    what is sent to tasks is the counts.
+    A context is what a text shows before a byte, up to ORDER bytes; its parent is the context without its oldest byte. Every
+    context of the counts is there unless ``least`` says otherwise: contexts seen less often in every language are then left out.
     """
 
-    def __init__(self, langs: list[str], lang: np.ndarray, ctx: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int = LEAST) -> None:
-        self.langs, self.least = langs, least
-        seen = np.unique(gram[ctx == 0])  # bytes that occur; others share the last class but one, a text's edge is the last
-        self.classes = np.full(256, len(seen), np.int64)
-        self.classes[seen] = np.arange(len(seen))
-        width, self.edge = len(seen) + 2, len(seen) + 1
-        context, symbol = gram & ((1 << (8 * ctx)) - 1), gram >> (8 * ctx)
-        node = np.zeros(len(gram), np.int64)  # of each count; -1: left out
-        parents, size = [np.zeros(1, np.int64)], 1
-        known = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]  # contexts by length, and their nodes
-        links = []
-        for order in range(1, ORDER + 1):
-            mine = np.flatnonzero(ctx == order)
-            pairs, which = np.unique(context[mine] * len(langs) + lang[mine], return_inverse=True)
-            often = np.bincount(which, n[mine], minlength=len(pairs)) >= least
-            values = np.unique(pairs[often] // len(langs))
-            ids = size + np.arange(len(values))
-            # The oldest byte is the lowest. What stays without it is at least as frequent, so it is there.
-            up = known[-1][1][np.searchsorted(known[-1][0], values >> 8)]
-            parents.append(up)
-            links.append((up, self.classes[values & 255], ids))
-            where = np.searchsorted(values, context[mine])
-            here = np.append(values, -1)[where] == context[mine]
-            node[mine] = np.where(here, np.append(ids, -1)[where], -1)
-            known.append((values, ids))
-            size += len(values)
-        kept = node >= 0
-        lang, ctx, gram, n, node, symbol = (x[kept] for x in (lang, ctx, gram, n, node, symbol))
-        self.counts = lang.astype(np.int16), ctx.astype(np.int64), gram, n
-        parent = np.concatenate(parents)
-        self.child = np.concatenate([np.repeat(size + np.arange(size), width), np.repeat(size + np.arange(size), width)]).reshape(2 * size, width)
-        for up, c, ids in links:
-            self.child[up, c] = ids
-        self.child = self.child.astype(np.int32)
-        self.size, self.bits = size, np.zeros((size, width, len(langs)), np.float32)
+    def __init__(self, langs: list[str], lang: np.ndarray, ctx: np.ndarray, gram: np.ndarray, n: np.ndarray, least: int = 1) -> None:
+        self.langs = langs
+        if least > 1:
+            context = gram & ((1 << (8 * ctx)) - 1)
+            pairs, which = np.unique(np.stack([ctx, context, lang]), axis=1, return_inverse=True)
+            often = pairs[:2, np.bincount(which.ravel(), n) >= least]
+            code = lambda order, c: (c << 3) | order
+            kept = (ctx == 0) | np.isin(code(ctx, context), code(*often))
+            lang, ctx, gram, n = lang[kept], ctx[kept], gram[kept], n[kept]
+        self.tables, self.keys = [], None
         for i in range(len(langs)):
-            counts = np.zeros((size, len(seen)), np.float64)
-            own = lang == i
-            np.add.at(counts, (node[own], self.classes[symbol[own]]), n[own])
-            for at in range(0, size, NODES):
-                self.bits[at : at + NODES, :-1, i] = self._lengths(counts, parent, np.arange(at, min(at + NODES, size)))
-        self.bits = self.bits.reshape(-1, len(langs))
-        self.width = width
-
-    def __reduce__(self) -> tuple:
-        return Trees, (self.langs, *self.counts, self.least)
+            tables = [self._table(gram[own], n[own], k) for k in range(ORDER + 1) for own in [(lang == i) & (ctx == k)]]
+            self.tables.append([(*t, self._excluded(tables, k) if k else None) for k, t in enumerate(tables)])
 
     @staticmethod
-    def _lengths(counts: np.ndarray, parent: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Bits of every byte class in the contexts ``at``: by the longest context that has the byte, after an escape from each longer one.
+    def _table(gram: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+        """Of one language and order: sorted grams and their counts; sorted contexts, their totals and numbers of different bytes."""
+        by = np.argsort(gram)
+        gram, n = gram[by], n[by].astype(np.int64)
+        contexts, which = np.unique(gram & ((1 << (8 * order)) - 1), return_inverse=True)
+        return gram, n, contexts, np.bincount(which, n, len(contexts)), np.bincount(which, minlength=len(contexts))
+
+    def _bits(self, tables: list[tuple[np.ndarray, ...]], order: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram after the others: by the longest context that has the byte, after an escape from each longer one.
 
         A context of T bytes and D different ones gives n / (T + D) to each and D / (T + D) to the escape; what a
         longer context had is excluded from shorter ones. In a context the language never showed there is nothing
         to escape from. At last, all 256 byte values not excluded are alike.
         """
-        size, seen = len(at), counts.shape[1]
-        p, escape, out = np.zeros((size, seen + 1)), np.ones(size), np.zeros((size, seen), bool)
-        for _ in range(ORDER + 1):
-            n = np.where(out, 0, counts[at])
-            total, kinds = n.sum(axis=1), (n > 0).sum(axis=1)
-            whole = np.maximum(total + kinds, 1)
-            p[:, :seen] += (escape / whole)[:, None] * n
-            escape = np.where(total > 0, escape * kinds / whole, escape)
-            out |= n > 0
-            at = parent[at]  # the root's is the root, where nothing is left the second time
-        even = escape / np.maximum(256 - out.sum(axis=1), 1)
-        p[:, :seen] = np.where(p[:, :seen] > 0, p[:, :seen], even[:, None])
-        p[:, seen] = even
-        return -np.log2(p)
+        bits, todo = np.zeros(len(gram)), np.arange(len(gram))
+        # What was seen after a context was seen after its parent, so what is excluded is just what the next longer context had.
+        gone_n, gone_kinds = np.zeros(len(gram)), np.zeros(len(gram))
+        for k in range(ORDER, -1, -1):
+            grams, n, contexts, totals, kinds, excluded = tables[k]
+            here = todo[order[todo] >= k]
+            own = gram[here] >> (8 * (order[here] - k))
+            context = own & ((1 << (8 * k)) - 1)
+            known, at = _found(contexts, context)
+            here, own, at = here[known], own[known], at[known]
+            total, different = totals[at] - gone_n[here], kinds[at] - gone_kinds[here]
+            has, place = _found(grams, own)
+            bits[here[has]] -= np.log2(n[place[has]] / (total + different)[has])
+            open_ = ~has & (total > 0)
+            bits[here[open_]] -= np.log2(different[open_] / (total + different)[open_])
+            gone_kinds[here] = kinds[at]
+            if k:
+                gone_n[here] = excluded[at]
+            todo = np.setdiff1d(todo, here[has], assume_unique=True)
+        bits[todo] += np.log2(np.maximum(256 - gone_kinds[todo], 1))
+        return bits
+
+    @staticmethod
+    def _excluded(tables: list[tuple[np.ndarray, ...]], k: int) -> np.ndarray:
+        """Per context of length ``k``: how often the bytes seen after it were seen after its parent."""
+        grams, _, contexts, *_ = tables[k]
+        _, at = _found(tables[k - 1][0], grams >> 8)
+        where = np.searchsorted(contexts, grams & ((1 << (8 * k)) - 1))
+        return np.bincount(where, tables[k - 1][1][at], len(contexts))
+
+    def __getstate__(self) -> dict:
+        return {"langs": self.langs, "tables": self.tables, "keys": None}
+
+    def _prepare(self) -> None:
+        """Code lengths of all grams of the counts, where texts are judged: what is sent there is the counts. A key is order and gram."""
+        self.keys = np.unique(np.concatenate([t[0] | (k << 40) for tables in self.tables for k, t in enumerate(tables)]))
+        self.bits = self._all_bits(self.keys)
+        self.slots = np.zeros(1 << SLOTS, np.int32)
+        self.slots[self._slot(self.keys)] = np.arange(len(self.keys))
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+
+    def _all_bits(self, key: np.ndarray) -> np.ndarray:
+        order, gram = key >> 40, key & ((1 << 40) - 1)
+        return np.stack([self._bits(tables, order, gram) for tables in self.tables], axis=1).astype(np.float32)
+
+    def _coded(self, key: np.ndarray) -> np.ndarray:
+        """Bits of each key and language: grams of the counts are looked up, others are worked out."""
+        at = self.slots[self._slot(key)]
+        bits = self.bits[at]
+        if len(rest := np.flatnonzero(self.keys[at] != key)):
+            other, which = np.unique(key[rest], return_inverse=True)
+            known, at = _found(self.keys, other)
+            new = self.bits[at]
+            new[~known] = self._all_bits(other[~known])
+            bits[rest] = new[which]
+        return bits
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits per text and language."""
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        raw = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0" * ORDER, np.uint8)
-        codes = self.classes[raw].astype(np.uint8 if self.width < 256 else np.uint16)
-        codes[starts] = self.edge
+        if self.keys is None:
+            self._prepare()
+        starts = np.cumsum([0, *(len(t) for t in texts)])
+        raw = np.frombuffer(b"".join(texts), np.uint8)
         out = np.zeros((len(texts), len(self.langs)))
         last = int(starts[-1])
         for lo in range(0, last, BLOCK):
             hi = min(lo + BLOCK, last)
-            v = np.zeros(hi - lo, np.int32)
-            for back in range(1, ORDER + 1):
-                before = codes[max(lo - back, 0) : max(hi - back, 0)]
-                if len(before) < hi - lo:
-                    before = np.concatenate([np.full(hi - lo - len(before), self.edge, codes.dtype), before])
-                v = self.child.reshape(-1)[v * self.width + before]
-            bits = self.bits[np.where(v < self.size, v, v - self.size) * self.width + codes[lo:hi]]
+            low = max(lo - ORDER, 0)
+            here = np.concatenate([np.zeros(ORDER - (lo - low), np.uint8), raw[low:hi]]).astype(np.int64)
             first, end = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
-            cuts = np.maximum(starts[first:end] - lo, 0)
-            out[first:end] += np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)
+            text = np.repeat(np.arange(first, end), np.diff(np.clip(starts[first : end + 1], lo, hi)))
+            order = np.minimum(np.arange(lo, hi) - starts[text], ORDER)
+            key = np.zeros(hi - lo, np.int64)
+            for i in range(ORDER + 1):
+                key |= here[i : i + hi - lo] << (8 * i)
+            bits = self._coded((key >> (8 * (ORDER - order))) | (order << 40))
+            for i in range(len(self.langs)):
+                out[first:end, i] += np.bincount(text - first, bits[:, i], end - first)
         return out
 
 
+def _found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of ``wanted`` is among the sorted ``values``, and where."""
+    if not len(values):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return values[at] == wanted, at
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", rows: int = LEARN_ROWS) -> Trees | None:
     """Trees from a bounded sample of the labelled rows that are not held out; None if there are none."""
     table = gram_counts(learning_sample(docs, id_col, rows)).toArrow()
