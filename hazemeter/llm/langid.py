@@ -34,9 +34,9 @@ def learning_sample(docs: DataFrame, id_col: str = "doc_id", rows: int = LEARN_R
 
     A count per language, without any text, gives a bound of the hash below which some SPARE times as many are expected; only
     texts below it are ranked, so no task gets more however large a language is. Rows that repeat an id count once, with
-    the least text.
+    the least text. The label of an unknown language is none to learn.
     """
-    usable = learnable(docs, id_col).where("not held_out and lang is not null and text is not null").withColumn("hash", F.xxhash64(id_col))
+    usable = learnable(docs, id_col).where(f"not held_out and lang <> '{UNKNOWN}' and text is not null").withColumn("hash", F.xxhash64(id_col))
     share = SPARE * rows / F.count("hash")
     bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + share * 2.0**64).cast("long"))
     # One row per language.
@@ -205,6 +205,20 @@ def _found(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values[at] == wanted, at
 
 
+def _spelled(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter: what ``identify`` gives a language if any was learned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(map(_spelled, batch.column(text_col).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", rows: int = LEARN_ROWS) -> Trees | None:
     """Trees from a bounded sample of the labelled rows that are not held out; None if there are none."""
     table = gram_counts(learning_sample(docs, id_col, rows)).toArrow()
@@ -232,7 +246,7 @@ def identify(docs: DataFrame, trees: Trees | None, text_col: str = "text", colum
         for batch in batches:
             texts = batch.column(0).to_pylist()
             pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if held.value else []
+            known = [i for i, t in enumerate(texts) if _spelled(t)] if held.value else []
             if known:
                 bits = held.value.lengths([texts[i].encode() for i in known])
                 best = bits.argmin(axis=1)
