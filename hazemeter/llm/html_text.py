@@ -16,7 +16,12 @@ from hazemeter.llm.common import mapped
 
 # Fixed values of HTML: elements without content, without visible text, and what they end or begin.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title datalist audio video canvas object iframe svg math".split())
+UNSEEN = frozenset("head script style template noscript title datalist audio video canvas iframe".split())
+#: What an open head may hold; anything else ends it.
+HEADED = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Not shown within drawings and formulas; and where HTML begins again within them.
+UNDRAWN = {"svg": frozenset("desc metadata defs symbol clippath mask marker pattern".split()), "math": frozenset(["annotation", "annotation-xml"])}
+HTML_AGAIN = ("foreignobject", "annotation-xml", "desc", "title", "mi", "mo", "mn", "ms", "mtext")
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCK = SPACED | frozenset(
     "html body address article aside center details dd dialog div dt fieldset figcaption footer form header hgroup legend li main menu nav "
@@ -35,7 +40,8 @@ ENDS = {
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
 #: Cells of longer lines do not widen their column, and boxes nested deeper are laid out like plain blocks: the text is as long as the page.
 WIDE, DEEP = 40, 12
@@ -58,7 +64,7 @@ RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "te
 
 def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """Text, start tags and end tags of a page in order: ``(kind, text or name, attributes)``, the kind being "" for text, "<" or "/"."""
-    at, last = 0, html.rfind(">")
+    at, last, foreign = 0, html.rfind(">"), 0
     while at < len(html):
         less = html.find("<", at)
         if less < 0 or less > last and not html.startswith("<!--", less):
@@ -76,13 +82,18 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             continue
         tag = found[2].lower()
         if found[1]:
+            foreign -= tag in UNDRAWN and foreign > 0
             yield "/", tag, {}
             continue
         attributes: dict[str, str] = {}
         for m in ATTRIBUTE.finditer(found[3]):
             attributes.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+        closed = found[3].endswith("/") and (foreign > 0 or tag in UNDRAWN)
+        foreign += tag in UNDRAWN and not closed
         yield "<", tag, attributes
-        if tag in RAW:
+        if closed:
+            yield "/", tag, {}
+        elif tag in RAW:
             end = RAW[tag].search(html, at)
             stop = end.start() if end else len(html)
             yield "", unescape(html[at:stop]), {}
@@ -115,8 +126,11 @@ class Tree:
     def _start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in ENDS and (place := self._within(*ENDS[tag])):
             self._shut(place)
-        if self.open["head"] and tag not in VOID and tag not in UNSEEN and tag not in ("html", "head"):
+        if self.path[-1].tag == "head" and tag not in HEADED:
             self._shut(self.open["head"][0])
+        for t in UNDRAWN:
+            if tag in BLOCK and (drawn := self.open[t]) and not any(d and d[-1] > drawn[-1] for d in map(self.open.__getitem__, HTML_AGAIN)):
+                self._shut(drawn[-1])
         if tag in ("td", "th") and self.path[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._start("tr", {})
         node = Node(tag, attributes, self.path[-1])
@@ -133,6 +147,8 @@ class Tree:
                 self._shut(places[-1])
 
     def _text(self, data: str, _: dict[str, str]) -> None:
+        if self.path[-1].tag == "head" and not data.isspace():
+            self._shut(self.open["head"][0])
         self.path[-1].children.append(data)
 
 
@@ -190,10 +206,16 @@ class Flow:
         return self.lines
 
 
-def _shown(node: Node) -> bool:
+def _seen(node: Node, before: bool) -> bool:
+    """Whether text right in ``node`` is to be seen: visibility is inherited, and can be set anew."""
+    said = VISIBILITY.findall(node.attrs.get("style") or "")
+    return said[-1].lower() in ("visible", "initial") if said else before
+
+
+def _shown(node: Node, within: dict[str, int]) -> bool:
     a = node.attrs
     return not (
-        node.tag in UNSEEN or "hidden" in a or HIDING.search(a.get("style") or "")
+        node.tag in UNSEEN or any(n and node.tag in UNDRAWN[t] for t, n in within.items()) or "hidden" in a or HIDING.search(a.get("style") or "")
         or node.tag == "input" and (a.get("type") or "").lower() in ("hidden", "checkbox", "radio", "image", "file")
     )
 
@@ -218,23 +240,29 @@ def visible_text(html: str | None) -> str:
     flow, kept = Flow(), 0
     boxes: list[tuple[Flow, str]] = []  # open list items, quotes and cells: the flow around each, and its mark
     tables: list[list[list[tuple[list[str], int]]]] = []
-    work: list[tuple[Node | str, bool]] = [(Tree(html or "").root, False)]
+    work: list[tuple[Node | str, bool, bool]] = [(Tree(html or "").root, False, True)]
+    within = dict.fromkeys(UNDRAWN, 0)
     boxed: set[int] = set()
     numbers: dict[int, int] = {}
     while work:
-        node, leaving = work.pop()
+        node, leaving, seen = work.pop()
         if isinstance(node, str):
-            if not (node.isspace() and not kept and tables and not _in_cell(boxes, tables)):
+            if seen and not (node.isspace() and not kept and tables and not _in_cell(boxes, tables)):
                 flow.text(node, kept > 0)
             continue
         tag = node.tag
         if not leaving:
-            if not _shown(node):
+            if not _shown(node, within):
                 continue
-            if tag in BLOCK:
+            seen = _seen(node, seen)
+            if tag in within:
+                within[tag] += 1
+            if tag in BLOCK or tag == "text" and within["svg"]:
                 flow.end(tag in SPACED)
             if tag == "br":
                 flow.line()
+            elif tag in ("hr", "input", "img") and not seen:
+                pass
             elif tag == "hr":
                 flow.text("---", False)
                 flow.end(True)
@@ -254,10 +282,12 @@ def visible_text(html: str | None) -> str:
                 boxed.add(id(node))
                 flow = Flow()
             if tag not in VOID:
-                work.append((node, True))
+                work.append((node, True, seen))
                 shut = tag == "details" and "open" not in node.attrs
-                work += [(c, False) for c in reversed(node.children) if not shut or isinstance(c, Node) and c.tag == "summary"]
+                work += [(c, False, seen) for c in reversed(node.children) if not shut or isinstance(c, Node) and c.tag == "summary"]
             continue
+        if tag in within:
+            within[tag] -= 1
         if tag == "pre" or tag == "textarea":
             kept -= 1
         if id(node) in boxed and tag != "table":
@@ -267,10 +297,11 @@ def visible_text(html: str | None) -> str:
                 tables[-1][-1].append((lines, min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() and len(span) < 9 else 1))
             else:
                 mark = _mark(node, numbers)
-                flow.box([(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines)] or [mark.rstrip()] * (tag == "li"))
+                mark = mark if seen else " " * len(mark)
+                flow.box([(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines)] or [mark.rstrip()] * (tag == "li" and seen))
         elif id(node) in boxed:
             flow.box(_table(tables.pop()))
-        if tag in BLOCK:
+        if tag in BLOCK or tag == "text" and within["svg"]:
             flow.end(tag in SPACED)
     return "\n".join(flow.done())
 
