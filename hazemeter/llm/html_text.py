@@ -43,8 +43,10 @@ ENDS = {
 HIDING = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
-#: Cells of longer lines do not widen their column, and boxes nested deeper are laid out like plain blocks: the text is as long as the page.
-WIDE, DEEP = 40, 12
+#: Lines of a cell that others may stand beside are broken at so many characters, which bounds the padding of the rows below.
+WRAP = 80
+#: Browsers' own limit of nesting, here for boxes: what is nested deeper lies in the last of them.
+NESTED = 512
 
 
 class Node:
@@ -220,26 +222,68 @@ def _shown(node: Node, within: dict[str, int]) -> bool:
     )
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: columns as wide as their widest cell that is not very wide, two spaces between them."""
-    grid = [[x for lines, span in row for x in (lines, *[[]] * (span - 1))] for row in rows]
+def _wrapped(line: str) -> list[str]:
+    """The line broken at spaces, or within longer words, into pieces of WRAP characters at most."""
+    out = []
+    while len(line) > WRAP:
+        indent = len(line) - len(line.lstrip(" "))
+        at = line.rfind(" ", indent + 1, WRAP + 1)
+        at = at if at > 0 else WRAP
+        out.append(line[:at].rstrip())
+        line = line[at:].lstrip(" ")
+    return [*out, line]
+
+
+def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[list[list[str]]]:
+    """The lines of each cell by row and column; places under a cell that spans rows stay empty."""
+    grid, held = [], {}
+    for row in rows:
+        line: list[list[str]] = []
+        new = {}
+        for lines, across, down in row:
+            while len(line) in held:
+                line.append([])
+            if down > 1:
+                new |= dict.fromkeys(range(len(line), len(line) + across), down - 1)
+            line += [lines, *[[]] * (across - 1)]
+        grid.append(line)
+        held = {c: n - 1 for c, n in held.items() if n > 1} | new
+    return grid
+
+
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table: columns as wide as their widest cell, two spaces between them."""
+    grid = _grid(rows)
+    grid = [[[y for x in cell for y in _wrapped(x)] if i + 1 < len(row) else cell for i, cell in enumerate(row)] for row in grid]
     widths: list[int] = []
     for row in grid:
         widths += [0] * (len(row) - len(widths))
-        for i, cell in enumerate(row):
-            widths[i] = max([widths[i], *(len(x) for x in cell if len(x) <= WIDE)])
+        for i, cell in enumerate(row[:-1]):
+            widths[i] = max([widths[i], *map(len, cell)])
+    last = [len(row) - 1 for row in grid]
+    for row, i in zip(grid, last, strict=True):
+        # A row's last cell is not padded; it widens its column for rows that go on, as far as lines are broken.
+        if row:
+            widths[i] = max([widths[i], *(len(x) for x in row[i] if len(x) <= WRAP)])
     out = []
     for row in grid:
         for k in range(max([0, *map(len, row)])):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)).rstrip())
+            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i] if i + 1 < len(row) else 0) for i, cell in enumerate(row)).rstrip())
     return out
 
 
+def _span(node: Node, name: str, most: int) -> int:
+    """A cell's colspan or rowspan; rowspan 0 goes to the table's end."""
+    said = node.attrs.get(name) or ""
+    n = int(said) if said.isascii() and said.isdigit() and len(said) < 9 else 1
+    return min(n or (most if name == "rowspan" else 1), most)
+
+
 def visible_text(html: str | None) -> str:
     """All text a reader sees, or an empty string for null."""
     flow, kept = Flow(), 0
     boxes: list[tuple[Flow, str]] = []  # open list items, quotes and cells: the flow around each, and its mark
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
     work: list[tuple[Node | str, bool, bool]] = [(Tree(html or "").root, False, True)]
     within = dict.fromkeys(UNDRAWN, 0)
     boxed: set[int] = set()
@@ -272,12 +316,12 @@ def visible_text(html: str | None) -> str:
                 flow.text(f" {node.attrs.get('alt') or ''} ", False)
             elif tag == "pre" or tag == "textarea":
                 kept += 1
-            elif tag == "table" and len(boxes) < DEEP:
+            elif tag == "table" and len(boxes) < NESTED:
                 tables.append([])
                 boxed.add(id(node))
             elif tag == "tr" and tables:
                 tables[-1].append([])
-            elif tag in ("td", "th") and tables and tables[-1] and len(boxes) < DEEP or tag in ("li", "blockquote", "dd") and len(boxes) < DEEP:
+            elif tag in ("td", "th") and tables and tables[-1] and len(boxes) < NESTED or tag in ("li", "blockquote", "dd") and len(boxes) < NESTED:
                 boxes.append((flow, tag))
                 boxed.add(id(node))
                 flow = Flow()
@@ -293,8 +337,7 @@ def visible_text(html: str | None) -> str:
         if id(node) in boxed and tag != "table":
             lines, (flow, _) = flow.done(), boxes.pop()
             if tag in ("td", "th"):
-                span = node.attrs.get("colspan") or ""
-                tables[-1][-1].append((lines, min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() and len(span) < 9 else 1))
+                tables[-1][-1].append((lines, _span(node, "colspan", 1000), _span(node, "rowspan", 65534)))
             else:
                 mark = _mark(node, numbers)
                 mark = mark if seen else " " * len(mark)
