@@ -74,23 +74,23 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder, with the writer's ``options``, and reads it back.
 
     Used where one intermediate result feeds several branches of a plan: the
     table cuts the lineage, survives lost executors, and gives the optimizer the
     real size, so that it broadcasts the table only below
     ``spark.sql.autoBroadcastJoinThreshold``.
     """
-    return counted(df, name)[0]
+    return counted(df, name, **options)[0]
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def counted(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, int]:
     """``written``, with the number of rows seen while writing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
