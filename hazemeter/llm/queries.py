@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazemeter.llm import align, decontaminate, exact, html_text, langid, lines, ngram_join, packing, secrets, shards, simhash, sql, urls
+from hazemeter.llm import align, centroids, decontaminate, exact, html_text, langid, lines, ngram_join, packing, secrets, shards, simhash, sql, urls
 from hazemeter.llm.common import table
 from hazemeter.session import shared_dir
 
@@ -123,6 +123,11 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align.alignments(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds of sixteen centroids."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's set of five-word shingles, and the group of those whose sets are similar."""
     return ngram_join.near_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -132,7 +137,8 @@ def queries() -> dict[str, Query]:
     """Query name → ``(spark, sf_dir) -> DataFrame``."""
     own = (
         op1_simhash_near_dedup, op2_decontamination, op3_sharding, op4_html_extraction, op5_exact_dedup, op6_line_dedup,
-        op7_secret_scans, op8_url_filters, op9_best_fit_packing, op10_language_id, op11_cross_tokenizer_alignment, op13_ngram_jaccard_join,
+        op7_secret_scans, op8_url_filters, op9_best_fit_packing, op10_language_id, op11_cross_tokenizer_alignment,
+        op12_centroid_clustering, op13_ngram_jaccard_join,
     )
     return {f.__name__: f for f in own}
 

@@ -110,7 +110,45 @@ select c.page_id, c.url, c.day, coalesce(n_entries, 0) as n_entries, coalesce(li
 from capture c left join best using (page_id)
 """
 
+_CLUSTERS, _ROUNDS = 16, 3
+
+
+def _assign(n: int) -> str:
+    """Every vector with the nearest of the centroids of round ``n``, the smaller number of equals."""
+    return f"""
+nearest{n} as (
+  select row, any_value(vec_id) as vec_id, any_value(w) as w, min([d, c]) as best
+  from (select row, vec_id, w, c, list_sum(list_transform(list_zip(w, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from kept, centroids{n})
+  group by row
+)"""
+
+
+def _move(n: int) -> str:
+    """Centroids of round ``n`` from vectors assigned to those before; empty ones stay."""
+    return f"""
+sums{n} as (
+  select c, i, sum(x)::bigint as s, count(*) as n
+  from (select best[2] as c, unnest(w) as x, unnest(range(1, 65)) as i from nearest{n - 1}) group by c, i
+),
+moved{n} as (select c, list((s - ((s % n) + n) % n) // n order by i) as v from sums{n} group by c),
+centroids{n} as (select c, coalesce(m.v, o.v) as v from centroids{n - 1} o left join moved{n} m using (c))"""
+
+
+CENTROIDS = f"""
+with kept as (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as w
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64
+),
+centroids0 as (
+  select c::bigint as c, w as v from (select w, row_number() over (order by sha256(concat('1:', vec_id)), w) - 1 as c from kept) where c < {_CLUSTERS}
+),{",".join(_assign(n - 1) + "," + _move(n) for n in range(1, _ROUNDS + 1))},{_assign(_ROUNDS)}
+select vec_id, best[2]::int as cluster, best[1] as distance, (sum(best[1]) over (partition by best[2]))::bigint as cluster_inertia,
+  (sum(best[1]) over ())::bigint as inertia, sha256(array_to_string(v, ',')) as centroid_sha256
+from nearest{_ROUNDS} join centroids{_ROUNDS} on c = best[2]
+"""
+
 STATEMENTS = {
+    "op12_centroid_clustering": CENTROIDS,
     "op2_decontamination": DECONTAMINATION,
     "op5_exact_dedup": EXACT,
     "op6_line_dedup": LINES,
