@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazemeter.session import configure, written
+from hazemeter.session import configure, counted, written
 
 #: Rows handed to Python at once; texts can be long, so far fewer than Spark's own 10,000.
 BATCH_ROWS = "1000"
@@ -48,4 +48,4 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: s
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["ASCII_OTHER", "LOWER", "SPACES", "UPPER", "mapped", "prepared", "table", "whole_words", "written"]
+__all__ = ["ASCII_OTHER", "LOWER", "SPACES", "UPPER", "counted", "mapped", "prepared", "table", "whole_words", "written"]

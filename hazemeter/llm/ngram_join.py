@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazemeter.llm.common import mapped, written
+from hazemeter.llm.common import counted, mapped, written
 from hazemeter.llm.components import components
 from hazemeter.llm.shingles import shingle_sets
 
@@ -18,8 +18,8 @@ WORDS = 5
 OVER, UNDER = 4, 5
 #: Prefixes are lengthened by up to so many shared n-grams.
 LONGEST = 8
-#: Cost of comparing two sets, per n-gram, against reading one posting.
-COMPARE = 2.0
+#: Cost of comparing two sets, per n-gram, against meeting in one posting.
+COMPARE = 0.1
 #: Characters of text whose n-grams are matched in one piece of work.
 BUCKET_CHARS = 1 << 23
 #: N-grams held back by a task before it sends them, and n-grams per row sent.
@@ -149,31 +149,34 @@ def _can(shared: Column, n: Column) -> Column:
 
 
 def prefixes(sets: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """``(h, node, n, asked)``: the n-grams of each set's prefix, and how many of them a partner must share.
+    """``(h, pos, node, n, met, asked, common)``: the n-grams of each set's prefix, and how many of them a partner must share.
 
     ``sets(node, n, grams)`` has the n-grams that other sets have too, as ``(df, h)`` in the order of all prefixes: rare
     ones first, those of one set only before all others. Of two similar sets' common n-grams the first ``asked`` lie in both prefixes of
     ``n - least overlap + asked``, so the smaller ``asked`` of the two is a bound of what they share there. A longer prefix
     reads more postings and leaves fewer pairs to compare, at most the sum of its postings over ``asked``: each set takes the
-    cheapest.
+    cheapest. ``pos`` is an n-gram's place in its set from 1, ``met`` how many n-grams a set has that others have;
+    ``common`` tells how frequent a set's n-grams are: of a text and its edited copies the text has the most.
     """
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out: tuple[list, ...] = ([], [], [], [])
-        for node, n, df, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+        out: tuple[list, ...] = ([], [], [], [], [], [], [])
+        for node, n, df, h in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             least = -(-OVER * n // UNDER)
             first = len(h) - least
-            postings = np.concatenate([[0.0], np.cumsum(np.array(df, float) - 1)])
+            often = np.array(df, float)
+            postings = np.concatenate([[0.0], np.cumsum(often - 1)])
             asked = np.arange(1, min(longest, least) + 1)
             reach = postings[np.clip(first + asked, 0, len(h))]
             best = int(np.argmin(reach + COMPARE * n * reach / asked))
             part = h[: max(first + best + 1, 0)]
-            for to, x in zip(out, (part, [node] * len(part), [n] * len(part), [best + 1] * len(part)), strict=True):
+            for to, x in zip(out, (part, range(n - len(h) + 1, n - len(h) + 1 + len(part)), [node] * len(part), [n] * len(part), [len(h)] * len(part), [best + 1] * len(part), [float(np.log(often).sum() / n)] * len(part)), strict=True):
                 to += x
-        return {c: pa.array(x, k) for c, x, k in zip(("h", "node", "n", "asked"), out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)}
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+        return {c: pa.array(x, k) for c, x, k in zip(("h", "pos", "node", "n", "met", "asked", "common"), out, kinds, strict=True)}
 
     split = sets.select("node", "n", F.transform("grams", lambda g: g["df"]).alias("df"), F.transform("grams", lambda g: g["h"]).alias("h"))
-    return mapped(split, cut, "h long, node long, n long, asked int")
+    return mapped(split, cut, "h long, pos long, node long, n long, met long, asked int, common double")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,24 +186,45 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(_alike(F.size(F.array_intersect("ah", "bh")), F.col("an"), F.col("bn"))).select("a", "b")
 
 
-def _labelled(near: DataFrame, links: DataFrame) -> DataFrame:
-    """``near`` with each set's ``label``, and only n-grams that sets of several labels have."""
-    label = components(links).withColumnRenamed("root", "label")
-    named = written(near.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    ends = written(named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("h").alias("held")).where("lo <> hi").drop("lo", "hi"), "mixed")
-    return named.join(ends, "h")
+def _fits(a: str, b: str) -> Column:
+    """Whether an n-gram of two prefixes can be one of the first that two similar sets have in common.
+
+    What they have in common, others have too, so neither has less of that than it takes; and no more of
+    a set than its rest lies before its first common n-grams, as many as are asked for.
+    """
+    need = F.ceil(OVER * (F.col(f"{a}n") + F.col(f"{b}n")) / (OVER + UNDER))
+    asked = F.least(f"{a}asked", f"{b}asked")
+    early = lambda x: F.col(f"{x}pos") <= F.col(f"{x}n") - need + asked
+    return (F.least(f"{a}met", f"{b}met") >= need) & early(a) & early(b)
 
 
-def _hubs(near: DataFrame) -> DataFrame:
-    """``(a, b, n)``: every set with the smallest set that has an n-gram of its prefix too, and how many n-grams say so."""
-    low = written(near.groupBy("h").agg(F.min(F.struct("node", "n")).alias("hub")), "hubs")
-    met = near.join(low, "h").where((F.col("node") != F.col("hub.node")) & _fits(F.col("n"), F.col("hub.n")))
-    return met.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("h").alias("n"))
+def _labelled(near: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``near`` with each set's ``label``, and only n-grams that sets of several labels have; ``held`` counts their sets."""
+    if links is None:
+        named = near.withColumn("label", F.col("node"))
+    else:
+        label = written(components(links).withColumnRenamed("root", "label"), "labels")
+        named = near.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = written(named, "labelled")
+    ends = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("h").alias("held"))
+    return named.join(written(ends.where("lo <> hi").select("h", "held"), "mixed"), "h")
 
 
-def _fits(a: Column, b: Column) -> Column:
-    """Whether sets of such sizes can be similar."""
-    return _alike(F.least(a, b), a, b)
+def _hubs(named: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """``(a, b)``: every set with the one hub of another label it shares most n-grams of its prefix with, unless it was ``tried``.
+
+    An n-gram's hub is its set of the most frequent n-grams; sets of the hub's own label have the next such set as theirs.
+    """
+    top = F.max(F.struct("common", "node", "n", "met", "asked", "pos", "label"))
+    first = written(named.groupBy("h").agg(top.alias("hub")), "hubs")
+    second = written(named.join(first, "h").where("label <> hub.label").groupBy("h").agg(top.alias("rival")), "rivals")
+    hub = F.when(F.col("label") != F.col("hub.label"), F.col("hub")).otherwise(F.col("rival"))
+    met = named.join(first, "h").join(second, "h").withColumn("hub", hub).where(_fits("", "hub."))
+    stars = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("h").alias("shared"))
+    stars = stars.select("node", "hub", "shared", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    if tried is not None:
+        stars = stars.join(tried, ["a", "b"], "left_anti")
+    return stars.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
 
 
 def _candidates(near: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -210,36 +234,35 @@ def _candidates(near: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     dealt = near.withColumn("blocks", F.ceil(F.col("held") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "n", "asked", "label")
-    a, b = (dealt.where(f"mine = {side}").select("h", "lo", "hi", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "asked", "label"))) for x, side in (("a", "lo"), ("b", "hi")))
+    dealt = dealt.select("h", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "pos", "node", "n", "met", "asked", "label")
+    a, b = (dealt.where(f"mine = {side}").select("h", "lo", "hi", *(F.col(c).alias(f"{x}{c}") for c in ("pos", "node", "n", "met", "asked", "label"))) for x, side in (("a", "lo"), ("b", "hi")))
     # Within one block every pair is met in both orders, of two blocks once.
     met = a.join(b, ["h", "lo", "hi"]).where(
-        ((F.col("lo") != F.col("hi")) | (F.col("node_a") < F.col("node_b"))) & (F.col("label_a") != F.col("label_b")) & _fits(F.col("n_a"), F.col("n_b"))
+        ((F.col("lo") != F.col("hi")) | (F.col("anode") < F.col("bnode"))) & (F.col("alabel") != F.col("blabel")) & _fits("a", "b")
     )
-    pairs = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(
-        F.count("h").alias("met"), F.first(F.least("asked_a", "asked_b")).alias("asked")
+    pairs = met.groupBy(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).agg(
+        F.count("h").alias("shared"), F.first(F.least("aasked", "basked")).alias("asked")
     )
-    return pairs.where("met >= asked").select("a", "b")
+    return pairs.where("shared >= asked").select("a", "b")
 
 
 def set_links(sets: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
     """Links ``(a, b)`` between similar ones of the written ``sets(node, n, grams)`` that join all that are similar.
 
-    First each set is compared with the one hub it shares most of its prefix with, then with its other hubs. Sets joined
-    so far need not meet again, so many near copies of one text leave few pairs; all others that share enough of
-    their prefixes are compared one by one.
+    First sets are compared with hubs, one each, round by round while that joins any. Sets joined so far need not meet again, so many
+    near copies of one text leave few pairs; all others that share enough of their prefixes are compared one by one.
     """
     near = written(prefixes(sets, longest), "prefixes")
-    stars = written(_hubs(near), "stars")
-    best = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = written(_confirmed(written(best, "best"), sets), "links")
-    label = written(components(links), "roots")
-    named = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}r"))
-    left = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
-    left = left.where(F.coalesce("ar", "a") != F.coalesce("br", "b")).select("a", "b")
-    links = written(links.union(_confirmed(written(left, "left"), sets)), "links")
-    pairs = _candidates(_labelled(near, links), block).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    return links.union(_confirmed(written(pairs, "pairs"), sets))
+    links = tried = None
+    while True:
+        named = written(_labelled(near, links), "named")
+        pairs = written(_hubs(named, tried), "stars")
+        more, found = counted(_confirmed(pairs, sets), "links")
+        links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
+        if not found:
+            break
+    rest = _candidates(named, block).join(tried, ["a", "b"], "left_anti")
+    return links.union(_confirmed(written(rest, "pairs"), sets))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, longest: int = LONGEST) -> DataFrame:
@@ -281,8 +304,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat an id the texts decide. Rows that repeat both id and text, told by 128 bits, stay or go together.
     """
-    key = F.struct(*(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.lit("\0"), F.col(text_col)).alias(f"k{seed}") for seed in (1, 2)))
-    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key"))
-    groups = near_groups(docs.select(own.alias("id"), F.col(text_col).alias("text")), "id", "text", words)
+    key = F.struct(*(F.xxhash64(F.lit(seed), docs[id_col].cast("string"), F.lit("\0"), docs[text_col]).alias(f"k{seed}") for seed in (1, 2)))
+    own = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), key.alias("key"))
+    groups = near_groups(docs.select(own.alias("id"), docs[text_col].alias("text")), "id", "text", words)
     gone = groups.where("id <> component").select(F.col("id.key").alias("own_key")).distinct()
-    return docs.join(gone, key == F.col("own_key"), "left_anti")
+    return docs.join(gone, key == gone["own_key"], "left_anti")

@@ -25,6 +25,43 @@ REMEMBERED = 300_000
 RANK_BITS = 48
 #: The tokenizer does not count these as white space, Python does.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Words of such letters need nothing of the tokenizer but its merges: lower case is letter by letter, and they are composed as they are.
+LATIN = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u024f]+")
+#: How the vocabulary marks the end of a word, and the character that stands for it in words about to be merged.
+WORD_END, MARK = "</w>", "\x01"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as they are, the rest from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
+class Merges:
+    """Ids of Latin words by the vocabulary's merges alone. Its ids are in the order of merging, as ranks have to be."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        import tiktoken
+
+        letters, ranks, self.last = _byte_letters(), {}, np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            word = token.removesuffix(WORD_END) if token != WORD_END else token
+            if any(c not in letters for c in word):
+                continue
+            self.last[i] = word != token
+            ranks[bytes(map(letters.__getitem__, word)) + MARK.encode() * (word != token)] = i
+        self.encoding = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            text = " ".join(w + MARK for w in words[i : i + 1000]).lower()
+            ids = np.array(self.encoding.encode_ordinary(text), "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * ID_BYTES).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
 
 class WordIds:
@@ -39,6 +76,7 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.bar = self._each(["|"])[0]
+        self.merges = Merges(self.tok.get_vocab(with_added_tokens=False))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -46,7 +84,13 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        """For words of letters only: many are encoded as one text with bars between them."""
+        """For words of letters only: Latin ones by merges; of others, many are encoded as one text with bars between them."""
+        latin = [w for w in words if LATIN.fullmatch(w)]
+        if latin:
+            known = dict(zip(latin, self.merges.encode(latin), strict=True))
+            rest = [w for w in words if w not in known]
+            known.update(zip(rest, self._letters(rest), strict=True))
+            return [known[w] for w in words]
         out: list[bytes] = []
         bar = int(np.frombuffer(self.bar, "<u4")[0])
         for i in range(0, len(words), 200):
