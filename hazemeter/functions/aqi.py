@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazemeter.functions import sums
 from hazemeter.params import DEFAULTS
 
 # Concentration (µg/m³) → index, for particles below 2.5 µm.
@@ -63,6 +64,10 @@ def piecewise(value: str, breakpoints: tuple[tuple[float, int], ...]) -> Column:
     ``value`` is a FLOAT column name or SQL expression. It occurs in every branch,
     so it should be a column where rows are many.
     """
+    return F.expr(_piecewise(value, breakpoints))
+
+
+def _piecewise(value: str, breakpoints: tuple[tuple[float, int], ...]) -> str:
     (x_first, y_first), (x_last, y_last) = breakpoints[0], breakpoints[-1]
     branches = [f"when {value} <= {_single(x_first)} then {_single(y_first)}"]
     for (x0, y0), (x1, y1) in zip(breakpoints, breakpoints[1:]):
@@ -70,7 +75,7 @@ def piecewise(value: str, breakpoints: tuple[tuple[float, int], ...]) -> Column:
         line = f"{_single(slope)} * ({value} - {_single(x0)}) + {_single(y0)}"
         branches.append(f"when {value} <= {_single(x1)} then {line}")
     branches.append(f"when {value} > {_single(x_last)} then {_single(y_last)}")
-    return round_half_up(F.expr(f"case {' '.join(branches)} end")).cast("int")
+    return f"cast(floor(cast(case {' '.join(branches)} end as double) + 0.5D) as int)"
 
 
 def tenths(value: str) -> str:
@@ -102,45 +107,30 @@ def is_good(aqi: Column, good_max: int = DEFAULTS.good_max) -> Column:
     return aqi.between(0, good_max)
 
 
-def units(value: str, scale: int = DEFAULTS.value_scale) -> Column:
-    """Reading as an integer of ``1/scale``, so that sums are exact in any order."""
-    return F.expr(_units(value, scale))
-
-
-def _units(value: str, scale: int) -> str:
-    return f"cast(round(cast({value} as double) * {scale}D) as bigint)"
-
-
-def _mean(total: str, n: str, scale: int) -> str:
-    """Mean in single precision, divided in double and rounded once; NULL when empty."""
-    return _single(f"cast({total} as double) / {scale}D / nullif(cast({n} as double), 0D)")
-
-
-def with_index(
-    df: DataFrame, total1: str, total2: str, n: str, scale: int = DEFAULTS.value_scale
-) -> DataFrame:
-    """Replaces unit sums of P1 (PM10) and P2 (PM2.5) by ``aqi``, ``aqi_p1``, ``aqi_p2``.
+def with_index(df: DataFrame) -> DataFrame:
+    """Replaces the SUMS of P1 (PM10) and P2 (PM2.5) by ``aqi``, ``aqi_p1``, ``aqi_p2``.
 
     The truncated means become columns first: the branches of the index then refer
-    to a column instead of repeating the division.
+    to a column instead of repeating the division. An infinite mean has the last index, or the first.
     """
     return (
         df.withColumns({
-            "_v10": F.expr(whole(_mean(total1, n, scale))),
-            "_v25": F.expr(tenths(_mean(total2, n, scale))),
+            "_v10": F.expr(whole(sums.mean("s1", "i1", "n"))),
+            "_v25": F.expr(tenths(sums.mean("s2", "i2", "n"))),
         })
         .withColumns({
             "aqi_p1": piecewise("_v10", PM10_BREAKPOINTS),
             "aqi_p2": piecewise("_v25", PM25_BREAKPOINTS),
         })
         .withColumn("aqi", F.greatest("aqi_p1", "aqi_p2"))
-        .drop(total1, total2, n, "_v10", "_v25")
+        .drop(*sums.SUMS, "_v10", "_v25")
     )
 
 
-def agg_aqi(p1: str, p2: str, scale: int = DEFAULTS.value_scale) -> Column:
+def agg_aqi(p1: str, p2: str) -> Column:
     """Aggregate: combined index of the group's mean P1 (PM10) and mean P2 (PM2.5)."""
-    return aqi_combined(
-        _mean(f"sum({_units(p2, scale)})", "count(1)", scale),
-        _mean(f"sum({_units(p1, scale)})", "count(1)", scale),
-    )
+    coarse, fine = (sums.mean(sums.total(p), sums.beyond(p), "count(1)") for p in (p1, p2))
+    means = f"named_struct('coarse', {whole(coarse)}, 'fine', {tenths(fine)})"
+    # The means are bound to a name, for every branch of an index needs them.
+    index = f"greatest({_piecewise('m.fine', PM25_BREAKPOINTS)}, {_piecewise('m.coarse', PM10_BREAKPOINTS)})"
+    return F.expr(f"transform(array({means}), m -> {index})[0]")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazemeter.functions.aqi import units
+from hazemeter.functions.sums import SUMS, added, nothing, sums
 from hazemeter.functions.timegrid import slice_start
 from hazemeter.params import DEFAULTS, Params
 
@@ -14,17 +14,13 @@ PART = 288  # slices: a day of them
 
 
 def slice_sums(readings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """``(city, period, slice_end, s1, s2, n)``: unit sums over ``[end - step, end)``.
+    """``(city, period, slice_end)`` and SUMS over ``[end - step, end)``.
 
-    The sums are exact integers, and the partial aggregate runs before the
+    The sums are exact, and the partial aggregate runs before the
     shuffle, so a hot city arrives as one row per slice and input task.
     """
     start = slice_start(F.col("ts_ms"), params.step_ms, params.origin_ms)
-    return readings.groupBy(*KEY, (start + params.step_ms).alias("slice_end")).agg(
-        F.sum(units("p1", params.value_scale)).alias("s1"),
-        F.sum(units("p2", params.value_scale)).alias("s2"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    return readings.groupBy(*KEY, (start + params.step_ms).alias("slice_end")).agg(*sums())
 
 
 def slice_cells(readings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -35,9 +31,7 @@ def slice_cells(readings: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """
     start = slice_start(F.col("ts_ms"), params.step_ms, params.origin_ms)
     return readings.groupBy(*KEY, "seq", (start + params.step_ms).alias("slice_end")).agg(
-        F.sum(units("p1", params.value_scale)).alias("s1"),
-        F.sum(units("p2", params.value_scale)).alias("s2"),
-        F.count(F.lit(1)).alias("n"),
+        *sums(),
         F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"),
         F.min("pos").alias("first_pos"), F.min_by("ts_ms", "pos").alias("first_ts"),
         F.max("pos").alias("last_pos"), F.max_by("ts_ms", "pos").alias("last_ts"),
@@ -53,11 +47,10 @@ def slices_of_cells(
     before their bound vanish, cells behind it count as they are; only a cell the
     bound cuts through is summed again from its readings.
     """
-    sums = [F.sum(c).alias(c) for c in ("s1", "s2", "n")]
     if late is None:
-        return cells.groupBy(*KEY, "slice_end").agg(*sums)
+        return cells.groupBy(*KEY, "slice_end").agg(*added())
     bounded = cells.join(late, [*KEY, "seq"], "left")
-    whole = bounded.where("bound is null or min_ts >= bound").select(*KEY, "slice_end", "s1", "s2", "n")
+    whole = bounded.where("bound is null or min_ts >= bound").select(*KEY, "slice_end", *SUMS)
     cut = bounded.where("min_ts < bound and max_ts >= bound").select(*KEY, "seq", "slice_end", "bound")
     end = slice_start(F.col("ts_ms"), params.step_ms, params.origin_ms) + params.step_ms
     again = (
@@ -65,7 +58,7 @@ def slices_of_cells(
         .join(cut, [*KEY, "seq", "slice_end"])
         .where("ts_ms >= bound")
     )
-    return whole.unionByName(slice_sums(again, params)).groupBy(*KEY, "slice_end").agg(*sums)
+    return whole.unionByName(slice_sums(again, params)).groupBy(*KEY, "slice_end").agg(*added())
 
 
 def slice_densify(slices: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -80,4 +73,4 @@ def slice_densify(slices: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         .select(*KEY, "hi", F.explode(F.sequence("lo", "hi", part)).alias("lo"))
         .select(*KEY, F.explode(F.sequence("lo", F.least("hi", F.col("lo") + part - step), step)).alias("slice_end"))
     )
-    return grid.join(slices, [*KEY, "slice_end"], "left").na.fill(0, ["s1", "s2", "n"])
+    return grid.join(slices, [*KEY, "slice_end"], "left").withColumns({c: F.coalesce(c, zero) for c, zero in nothing().items()})

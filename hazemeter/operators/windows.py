@@ -14,7 +14,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazemeter.functions.aqi import units, with_index
+from hazemeter.functions.aqi import with_index
+from hazemeter.functions.sums import SUMS, TYPES, nothing, sums, taken_back
 from hazemeter.functions.timegrid import slice_start
 from hazemeter.operators.scan import so_far, so_far_with_ties
 from hazemeter.operators.slices import slice_sums
@@ -29,31 +30,28 @@ def aqi24_snapshots(slices: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     The index is that of the means over ``[E - window, E)``; E is reported if a
     reading lies in the last two slices before it.
     """
-    end, zero = F.col("slice_end"), F.lit(0).cast("bigint")
+    end = F.col("slice_end")
 
-    def change(at, s1, s2, n, reported):
-        return F.struct(
-            at.alias("ts_ms"), s1.alias("s1"), s2.alias("s2"), n.alias("n"),
-            F.lit(reported).alias("reported"),
-        )
+    def change(at, values, reported):
+        return F.struct(at.alias("ts_ms"), *values, F.lit(reported).alias("reported"))
 
-    s1, s2, n = F.col("s1"), F.col("s2"), F.col("n")
+    none = [zero.alias(c) for c, zero in nothing().items()]
     changes = slices.select(
         *KEY,
         F.inline(F.array(
-            change(end, s1, s2, n, True),
-            change(end + params.step_ms, zero, zero, zero, True),
-            change(end + params.window_ms, -s1, -s2, -n, False),
+            change(end, map(F.col, SUMS), True),
+            change(end + params.step_ms, none, True),
+            change(end + params.window_ms, taken_back(), False),
         )),
     )
     run = so_far_with_ties(Window.partitionBy(*KEY).orderBy("ts_ms"))
     inside = (
-        changes.withColumns({c: F.sum(c).over(run) for c in ("s1", "s2", "n")})
+        changes.withColumns({c: F.sum(c).over(run) for c in SUMS})
         .where("reported and n > 0")
         .dropDuplicates([*KEY, "ts_ms"])
-        .select(*KEY, "ts_ms", "s1", "s2", "n")
+        .select(*KEY, "ts_ms", *SUMS)
     )
-    return with_index(inside, "s1", "s2", "n", params.value_scale)
+    return with_index(inside)
 
 
 def sliding_aqi(
@@ -68,7 +66,7 @@ def sliding_aqi(
 
 
 def _sums_before(cuts: DataFrame, readings: DataFrame, slices: DataFrame, params: Params) -> DataFrame:
-    """Adds ``s1, s2, n`` over all readings of the key before each cut time ``t``.
+    """Adds SUMS over all readings of the key before each cut time ``t``.
 
     Whole slices come from a running sum over the slice grid. The slice a cut
     falls into is added up from its readings. Those are first summed by
@@ -77,41 +75,33 @@ def _sums_before(cuts: DataFrame, readings: DataFrame, slices: DataFrame, params
     """
     at = slice_start(F.col("t"), params.step_ms, params.origin_ms)
     cuts = cuts.withColumn("grid", at)
-    zero, sums = F.lit(0).cast("bigint"), ("s1", "s2", "n")
-
     start = slice_start(F.col("ts_ms"), params.step_ms, params.origin_ms)
     ticks = (
-        readings.select(
-            *KEY, start.alias("grid"), F.col("ts_ms").alias("t"),
-            units("p1", params.value_scale).alias("s1"),
-            units("p2", params.value_scale).alias("s2"),
-        )
-        .groupBy(*KEY, "grid", "t")
-        .agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.count(F.lit(1)).alias("n"))
+        readings.groupBy(*KEY, start.alias("grid"), F.col("ts_ms").alias("t")).agg(*sums())
         .join(cuts.where("t > grid").select(*KEY, "grid").distinct(), [*KEY, "grid"], "left_semi")
     )
     marked = ticks.withColumn("is_cut", F.lit(False)).unionByName(
-        cuts.withColumns({**{c: zero for c in sums}, "is_cut": F.lit(True)}),
+        cuts.withColumns({**nothing(), "is_cut": F.lit(True)}),
         allowMissingColumns=True,
     )
     # at equal times the cut comes first: it excludes readings at its own time
     inside = so_far(Window.partitionBy(*KEY, "grid").orderBy("t", F.col("is_cut").desc()))
-    within = marked.withColumns({c: F.sum(c).over(inside) for c in sums}).where("is_cut")
+    within = marked.withColumns({c: F.sum(c).over(inside) for c in SUMS}).where("is_cut")
 
     needed = cuts.select(*KEY, F.col("grid").alias("slice_end")).distinct()
     axis = slices.withColumn("needed", F.lit(False)).unionByName(
-        needed.withColumns({**{c: zero for c in sums}, "needed": F.lit(True)})
+        needed.withColumns({**nothing(), "needed": F.lit(True)})
     )
     run = so_far_with_ties(Window.partitionBy(*KEY).orderBy("slice_end"))
     whole = (
-        axis.withColumns({c: F.sum(c).over(run) for c in sums})
+        axis.withColumns({c: F.sum(c).over(run) for c in SUMS})
         .where("needed")
-        .select(*KEY, F.col("slice_end").alias("grid"), *[F.col(c).alias(f"w_{c}") for c in sums])
+        .select(*KEY, F.col("slice_end").alias("grid"), *[F.col(c).alias(f"w_{c}") for c in SUMS])
     )
     return (
         within.drop("is_cut").join(whole, [*KEY, "grid"])
-        .withColumns({c: F.col(c) + F.col(f"w_{c}") for c in sums})
-        .drop("grid", *[f"w_{c}" for c in sums])
+        .withColumns({c: (F.col(c) + F.col(f"w_{c}")).cast(t) for c, t in zip(SUMS, TYPES)})
+        .drop("grid", *[f"w_{c}" for c in SUMS])
     )
 
 
@@ -146,15 +136,13 @@ def aqi24_at_watermark(
     known = (
         at_cut.groupBy(*KEY, "seq", "wm")
         .agg(
-            between_cuts("s1", "start").alias("s1"),
-            between_cuts("s2", "start").alias("s2"),
-            between_cuts("n", "start").alias("n"),
+            *(between_cuts(c, "start").alias(c) for c in SUMS),
             between_cuts("n", "recent").alias("recent"),
         )
         .where("n > 0 and recent > 0")
-        .select("seq", *KEY, F.col("wm").alias("ts_ms"), "s1", "s2", "n")
+        .select("seq", *KEY, F.col("wm").alias("ts_ms"), *SUMS)
     )
-    known = with_index(known, "s1", "s2", "n", params.value_scale)
+    known = with_index(known)
     if not unseen:
         return known
     first_seen = readings.groupBy(*KEY).agg(F.min("seq").alias("first_seq"))

@@ -26,7 +26,6 @@ class Params:
     histogram_origin_ms: int = 1_585_699_200_000  # 2020-04-01: width grows from here
     legacy_overflow: bool = False  # count capped streaks outside the last bar
     max_watermark_ms: int = 1_898_553_600_000  # larger watermarks mean end of data
-    value_scale: int = 10_000  # readings are summed as integers of 1/value_scale
 
     def __post_init__(self) -> None:
         for name in ("window_ms", "mean_ms"):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hazemeter.functions.aqi import agg_aqi, aqi_combined, aqi_pm10, aqi_pm25, is_good
 from hazemeter.functions.histogram import bucket_width
+from hazemeter.functions.sums import shown
 from hazemeter.functions.timegrid import bucket_of, epoch_ms, ntz_to_epoch_ms, slice_membership, slice_start, utc_time
 from hazemeter.operators import batches as b
 from hazemeter.operators.geo import locate, point_in_polygon
@@ -44,8 +45,8 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _timely(spark, sf_dir, wide=False, late=False) -> st.Timely:
-    readings = fx.readings(spark, sf_dir, wide=wide, late=late)
+def _timely(spark, sf_dir, wide=False, late=False, odd=False) -> st.Timely:
+    readings = fx.readings(spark, sf_dir, wide=wide, late=late, odd=odd)
     return st.timely(readings, params=WIDE if wide else DEFAULTS)
 
 
@@ -238,25 +239,38 @@ def interval_join_range(spark, sf_dir):
 # --- slices and windows -------------------------------------------------------
 
 
-def _values(column: str):
-    return (F.col(column).cast("double") / F.lit(float(DEFAULTS.value_scale)))
-
-
 def _slice_values(slices: DataFrame) -> DataFrame:
     return slices.select(
-        "city", "period", "slice_end", _values("s1").alias("sum_p1"), _values("s2").alias("sum_p2"), "n"
+        "city", "period", "slice_end", shown("s1", "i1").alias("sum_p1"), shown("s2", "i2").alias("sum_p2"), "n"
     )
 
 
 @query
 def slice_sums_(spark, sf_dir):
-    return _slice_values(slice_sums(fx.readings(spark, sf_dir)))
+    """Among readings of any size."""
+    return _slice_values(slice_sums(fx.readings(spark, sf_dir, odd=True)))
+
+
+@query
+def aqi24_snapshots_odd(spark, sf_dir):
+    """Infinite readings enter windows and leave them again."""
+    return aqi24_snapshots(slice_sums(fx.readings(spark, sf_dir, odd=True)))
+
+
+@query
+def aqi24_at_watermark_odd(spark, sf_dir):
+    return _timely(spark, sf_dir, odd=True).at_watermark()
+
+
+@query
+def avg_aqi_odd(spark, sf_dir):
+    return fx.readings(spark, sf_dir, odd=True).groupBy("city", "period").agg(agg_aqi("p1", "p2").alias("aqi"))
 
 
 @query
 def slice_densify_(spark, sf_dir):
     slices = written(slice_sums(fx.readings(spark, sf_dir)), "slices")
-    return slice_densify(slices).select("city", "period", "slice_end", "n", _values("s1").alias("sum_p1"))
+    return slice_densify(slices).select("city", "period", "slice_end", "n", shown("s1", "i1").alias("sum_p1"))
 
 
 @query

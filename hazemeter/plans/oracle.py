@@ -8,7 +8,7 @@ subqueries, probes pair every batch with every earlier arrival.
 from __future__ import annotations
 
 from hazemeter.params import DAY, DEFAULTS, HOUR, MINUTE
-from hazemeter.plans.fixtures import BATCH_MS, BATCH_READINGS, SHIFT, T0
+from hazemeter.plans.fixtures import BATCH_MS, BATCH_READINGS, ODD, ODD_EVERY, SHIFT, T0
 
 STEP = DEFAULTS.step_ms
 TEN_MIN = 10 * MINUTE
@@ -51,8 +51,29 @@ def pm10(v: str) -> str:
     return _index(f"cast(floor({_f(v)}) as float)", _PM10)
 
 
+def _huge(col: str, usual: str, kind: str) -> str:
+    """Readings of 10 ** 15 and more count as infinite, positive ones before negative ones."""
+    return f"case when max({col}) >= 1e15 then 'Infinity'::{kind} when min({col}) <= -1e15 then '-Infinity'::{kind} else {usual} end"
+
+
+def _sum(col: str) -> str:
+    """To nine decimals, whole and broken parts apart."""
+    part = lambda x: f"sum(cast(case when abs({col}) < 1e15 then {x} else 0 end as decimal(38,9)))"
+    return f"cast({part(f'trunc({col})')} + {part(f'{col} - trunc({col})')} as double)"
+
+
 def _mean(col: str) -> str:
-    return f"cast(cast(sum(cast({col} as decimal(18,4))) as double) / count(*) as float)"
+    return _huge(col, f"cast({_sum(col)} / count(*) as float)", "float")
+
+
+def _total(col: str) -> str:
+    return _huge(col, _sum(col), "double")
+
+
+def _reading(value: str, side: int) -> str:
+    """A value with the odd ones in place."""
+    cases = " ".join(f"when {rest} then '{pair[side]}'::double" for rest, pair in ODD.items())
+    return f"case event_id % {ODD_EVERY} {cases} else {value} end"
 
 
 def _slice(t: str, step: int = STEP, origin: int = 0) -> str:
@@ -97,7 +118,7 @@ class Base:
     """Common table expressions for one way of reading the events."""
 
     def __init__(
-        self, wide=False, late=False, located=False, active=DEFAULTS.active_ms, step=STEP, size=DAY, origin=0
+        self, wide=False, late=False, located=False, active=DEFAULTS.active_ms, step=STEP, size=DAY, origin=0, odd=False
     ):
         city = "user_id" if wide else "user_id % 20"
         delay = " + (case when event_id % 50 = 7 then 1 else 0 end)" if late else ""
@@ -110,7 +131,8 @@ class Base:
         self.ctes: dict[str, str] = {}
         self.ctes["ev"] = "select *, epoch_us(ts) // 1000 as ms from events"
         self.ctes["rd"] = f"""
-            select cast({city} as varchar) as city, event_id as pos, event_type, value as p1, value * 0.25 as p2,
+            select cast({city} as varchar) as city, event_id as pos, event_type,
+                   {_reading('value', 0) if odd else 'value'} as p1, {_reading('value * 0.25', 1) if odd else 'value * 0.25'} as p2,
                    case when ms >= {T0} then 'current' else 'lastyear' end as period, {shifted} as ts_ms,
                    {seq} as seq
             from ev"""
@@ -145,7 +167,7 @@ class Base:
             where r.ts_ms >= b.bound"""
         self.ctes["slices"] = f"""
             select city, period, {_slice('ts_ms', step, origin)} + {step} as slice_end,
-                   sum(cast(p1 as decimal(18,4))) as s1, sum(cast(p2 as decimal(18,4))) as s2, count(*) as n
+                   {_total('p1')} as s1, {_total('p2')} as s2, count(*) as n
             from kept group by all"""
         self.ctes["ends"] = f"""
             select city, period, slice_end as e from slices
@@ -256,7 +278,7 @@ def _answers(origin: int) -> str:
 
 def statements() -> dict[str, str]:
     plain, wide = Base(), Base(wide=True, active=12 * HOUR)
-    late = Base(late=True)
+    late, odd = Base(late=True), Base(odd=True)
     custom = Base(step=15 * MINUTE, size=6 * HOUR, origin=MINUTE)
     origin, origin_wide = DEFAULTS.histogram_origin_ms, T0
     ev = plain.ctes["ev"]
@@ -301,7 +323,7 @@ def statements() -> dict[str, str]:
         "active_probes_wide": wide.sql("probes", "select seq, wm, city, period from probes"),
         "late_drop": late.sql("kept", "select city, period, seq, pos, ts_ms from kept"),
         "late_slice_sums": late.sql("slices", """
-            select city, period, slice_end, cast(s1 as double) as sum_p1, cast(s2 as double) as sum_p2, n from slices"""),
+            select city, period, slice_end, s1 as sum_p1, s2 as sum_p2, n from slices"""),
         "q1_results_flat": wide.sql("imp", f"""
             select h.seq as batch_seq_id, t.* exclude (batch_seq_id) from (select distinct seq from hd) h
             left join ({_top(20)}) t on t.batch_seq_id = h.seq"""),
@@ -320,10 +342,14 @@ def statements() -> dict[str, str]:
             select c.city, c.pos, l.pos as r_pos, l.ts_ms - c.ts_ms as apart from rd c join rd l
               on c.city = l.city and l.ts_ms between c.ts_ms - {10 * MINUTE} and c.ts_ms + {25 * MINUTE}
             where c.period = 'current' and l.period = 'lastyear'"""),
-        "slice_sums": plain.sql("slices", """
-            select city, period, slice_end, cast(s1 as double) as sum_p1, cast(s2 as double) as sum_p2, n from slices"""),
+        "slice_sums": odd.sql("slices", "select city, period, slice_end, s1 as sum_p1, s2 as sum_p2, n from slices"),
+        "aqi24_snapshots_odd": odd.sql("snap", "select * from snap"),
+        "aqi24_at_watermark_odd": odd.sql("w4", "select * from w4"),
+        "avg_aqi_odd": odd.sql("rd", f"""
+            select city, period, greatest({pm25('m2')}, {pm10('m1')}) as aqi
+            from (select city, period, {_mean('p1')} as m1, {_mean('p2')} as m2 from rd group by all)"""),
         "slice_densify": plain.sql("slices", f"""
-            select g.city, g.period, g.slice_end, coalesce(s.n, 0) as n, coalesce(cast(s.s1 as double), 0) as sum_p1
+            select g.city, g.period, g.slice_end, coalesce(s.n, 0) as n, coalesce(s.s1, 0) as sum_p1
             from (select city, period, unnest(range(min(slice_end), max(slice_end) + 1, {STEP})) as slice_end
                   from slices group by city, period) g
             left join slices s on s.city = g.city and s.period = g.period and s.slice_end = g.slice_end"""),

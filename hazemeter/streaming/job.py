@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hazemeter.functions.sums import DDL, added
 from hazemeter.functions.timegrid import bucket_of, slice_start
 from hazemeter.operators.batches import flatten_batches, ingest, nested_headers, watermark_guard
 from hazemeter.operators.geo import point_in_polygon, with_city
@@ -38,8 +39,7 @@ TABLES = {
         "good_since BIGINT, done BIGINT, epoch BIGINT"
     ),
     "slices": (
-        "city STRING, period STRING, slice_end BIGINT, s1 BIGINT, s2 BIGINT, n BIGINT, "
-        "day BIGINT, epoch BIGINT"
+        f"city STRING, period STRING, slice_end BIGINT, {DDL}, day BIGINT, epoch BIGINT"
     ),
     "readings": (
         "seq BIGINT, pos BIGINT, city STRING, period STRING, ts_ms BIGINT, p1 DOUBLE, p2 DOUBLE, "
@@ -195,7 +195,7 @@ def _answer(
     slices = written(
         _from_day(stores.read(spark, "slices"), _slices_low(base, params), "slice_end", epoch)
         .groupBy(*KEY, "slice_end")
-        .agg(*[F.sum(c).alias(c) for c in ("s1", "s2", "n")]),
+        .agg(*added()),
         "slices",
     )
     snapshots = written(aqi24_snapshots(slices, params), "snapshots")

@@ -64,7 +64,7 @@ def test_golden_slice_sums(spark):
     seconds = [(3, 1.0), (250, 1.0), (350, 1000.0), (650, 1000.0), (1100, 1.0), (1400, 1.0), (1700, 1.0)]
     rows = [(0, i, "B", "current", s * 1000, p, 0.0) for i, (s, p) in enumerate(seconds)]
     slices = slice_sums(spark.createDataFrame(rows, READING))
-    per_slice = {r.slice_end // 1000: (r.s1 // 10000, r.n) for r in slices.collect()}
+    per_slice = {r.slice_end // 1000: (int(r.s1), r.n) for r in slices.collect()}
     window = lambda end: tuple(
         sum(x) for x in zip(*[v for e, v in per_slice.items() if end - 900 < e <= end])
     )
