@@ -167,7 +167,8 @@ def prefixes(sets: DataFrame, longest: int = LONGEST) -> DataFrame:
             often = np.array(df, float)
             postings = np.concatenate([[0.0], np.cumsum(often - 1)])
             asked = np.arange(1, min(longest, least) + 1)
-            reach = postings[np.clip(first + asked, 0, len(h))]
+            even = len(h) + 2 * OVER * n // -(OVER + UNDER)  # as far as a partner of the same size has to be looked for
+            reach = postings[np.clip(even + asked, 0, len(h))]
             best = int(np.argmin(reach + COMPARE * n * reach / asked))
             part = h[: max(first + best + 1, 0)]
             for to, x in zip(out, (part, range(n - len(h) + 1, n - len(h) + 1 + len(part)), [node] * len(part), [n] * len(part), [len(h)] * len(part), [best + 1] * len(part), [float(np.log(often).sum() / n)] * len(part)), strict=True):
@@ -276,12 +277,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.char_length(text_col)), F.lit(0)).alias("chars")).first()
     bits = max(4, (size["chars"] // BUCKET_CHARS).bit_length())
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marks = written(_matched(_sent(own, words, bits, _hot(own, size["rows"], words))), "marks")
-    texts = marks.where("h is null").select("row", "n", "id")
-    grams = marks.where("h is not null").groupBy("row").agg(F.sort_array(F.collect_list("h")).alias("h"))
+    marks = _matched(_sent(own, words, bits, _hot(own, size["rows"], words)))
+    each = marks.groupBy("row").agg(F.max("n").alias("n"), F.first("id", ignorenulls=True).alias("id"), F.collect_list("h").alias("h"))
+    texts = written(each.withColumn("h", F.when(_can(F.size("h"), F.col("n")) & (F.col("n") > 0), F.sort_array("h"))), "texts")
     # Sets are equal if all their n-grams are; one that has some to itself is equal to none.
     digest = [F.when(F.size("h") < F.col("n"), F.col("row")).otherwise(F.lit(-1)).alias("alone"), *(F.xxhash64(F.lit(seed), "h").alias(f"d{seed}") for seed in (1, 2))]
-    sets = written(grams.join(texts.select("row", "n"), "row").where(_can(F.size("h"), F.col("n"))).select("row", "n", "h", *digest), "sets")
+    sets = texts.where("h is not null").select("row", "n", "h", *digest)
     same = ["n", "alone", "d1", "d2"]
     first = written(sets.groupBy(*same).agg(F.min("row").alias("node")), "distinct")
     members = written(sets.select("row", *same).join(first, same).select("row", "node"), "members")

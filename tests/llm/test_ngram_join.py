@@ -101,7 +101,7 @@ def test_odd_rows(spark):
 
 
 def test_sets_of_frequent_ngrams_ask_for_more(spark):
-    rows = [(1, 150, [(100, h) for h in range(150)]), (2, 150, [(2 if h < 31 else 10**6, h) for h in range(150)]), (3, 3, [(9, 1), (9, 2), (9, 3)])]
+    rows = [(1, 150, [(100, h) for h in range(150)]), (2, 150, [(2 if h < 17 else 10**6, h) for h in range(150)]), (3, 3, [(9, 1), (9, 2), (9, 3)])]
     near = ngram_join.prefixes(spark.createDataFrame(rows, "node long, n long, grams array<struct<df: long, h: long>>"))
     asked = {}
     for r in near.orderBy("node", "pos").collect():
