@@ -22,28 +22,33 @@ LONGEST = 8
 COMPARE = 0.1
 #: Characters of text whose n-grams are matched in one piece of work.
 BUCKET_CHARS = 1 << 23
+#: N-grams are told apart by 64 bits less these bytes.
+LOW = 1
 #: N-grams held back by a task before it sends them, and n-grams per row sent.
-HELD, SENT = 1 << 21, 1 << 12
+HELD, SENT = 1 << 20, 1 << 11
 #: Texts looked at to find n-grams so frequent that they need no matching: those in one of FREQUENT texts, HOT at most.
 LOOKED_AT, FREQUENT, HOT = 4000, 128, 100_000
+EVERYWHERE = 1 << 40
 #: Sets with one n-gram that are paired in one piece of work.
 BLOCK = 1024
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Values byte plane by byte plane, so that sorted ones compress."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+def _packed(x: np.ndarray, low: int = 0) -> bytes:
+    """Values byte plane by byte plane without the ``low`` lowest, so that sorted ones compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T[low:].tobytes()
 
 
-def _unpacked(data: list[bytes]) -> np.ndarray:
-    parts = [np.frombuffer(d, np.uint8).reshape(8, -1).T for d in data]
-    return np.ascontiguousarray(np.concatenate(parts)).view(np.uint64).ravel()
+def _unpacked(data: list[bytes], low: int = 0) -> np.ndarray:
+    parts = [np.frombuffer(d, np.uint8).reshape(8 - low, -1).T for d in data]
+    whole = np.zeros((sum(map(len, parts)), 8), np.uint8)
+    whole[:, low:] = np.concatenate(parts)
+    return whole.view(np.uint64).ravel()
 
 
 def _hot(docs: DataFrame, rows: int, words: int) -> np.ndarray:
     """Sorted n-grams that a bounded sample shows to be in one of FREQUENT texts or more. They decide how the others are matched, not what is found."""
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // LOOKED_AT))) == 0).select("text")
-    flat = lambda b: {"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(b.column(0), words)]).view(np.int64))}
+    flat = lambda b: {"h": pa.array((np.concatenate([np.zeros(0, np.uint64), *shingle_sets(b.column(0), words)]) >> np.uint64(8 * LOW) << np.uint64(8 * LOW)).view(np.int64))}
     often = mapped(some, flat, "h long").groupBy("h").agg(F.count("h").alias("n")).where(F.col("n") > max(16, min(rows, LOOKED_AT) // FREQUENT))
     return np.sort(often.orderBy(F.desc("n"), "h").limit(HOT).toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
 
@@ -70,9 +75,9 @@ def _sent(docs: DataFrame, words: int, bits: int, hot: np.ndarray) -> DataFrame:
         cuts = np.concatenate([np.arange(a, b, SENT) for a, b in zip(edge, [*edge[1:], len(h)], strict=True)])
         ends = np.r_[cuts[1:], len(h)]
         for some in np.array_split(np.arange(len(cuts)), len(cuts) // 256 + 1):
-            packed = lambda x: pa.array([_packed(x[a:b]) for a, b in zip(cuts[some], ends[some], strict=True)], pa.binary())  # noqa: B023, E731
+            packed = lambda x, low=0: pa.array([_packed(x[a:b], low) for a, b in zip(cuts[some], ends[some], strict=True)], pa.binary())  # noqa: B023, E731
             at = cuts[some]
-            yield out(ids, bucket=pa.array(bucket[at].astype(np.int32)), grams=packed(h), rows=packed(row), n=pa.array(known[at].astype(np.int64)))
+            yield out(ids, bucket=pa.array(bucket[at].astype(np.int32)), grams=packed(h, LOW), rows=packed(row), n=pa.array(known[at].astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, grams, rows, size = None, [], [], 0
@@ -80,7 +85,7 @@ def _sent(docs: DataFrame, words: int, bits: int, hot: np.ndarray) -> DataFrame:
             if not len(batch):
                 continue
             row = batch.column(0).to_numpy()
-            sets = shingle_sets(batch.column(2), words)
+            sets = [np.unique(s >> np.uint64(8 * LOW) << np.uint64(8 * LOW)) for s in shingle_sets(batch.column(2), words)]
             n = np.array([len(s) for s in sets], np.int64)
             ids = batch.column(1).type
             yield out(ids, bucket=pa.array((row & ((1 << bits) - 1)).astype(np.int32)), row=pa.array(row), n=pa.array(n), id=batch.column(1))
@@ -98,29 +103,34 @@ def _sent(docs: DataFrame, words: int, bits: int, hot: np.ndarray) -> DataFrame:
 
 
 def _matched(sent: DataFrame) -> DataFrame:
-    """``(row, h, n, id)``: every text with its number of n-grams (``h`` null), and a row per n-gram of a text that another text has too."""
-    names = ["row", "h", "n", "id"]
+    """``(row, h, df, n, id)``: every text with its number of n-grams (``h`` null), and a row per n-gram of a text that another text has too.
 
-    def shared(grams: list[bytes], rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ``df`` is the number of texts that have it, or EVERYWHERE if it is known to be frequent.
+    """
+    names = ["row", "h", "df", "n", "id"]
+
+    def shared(grams: list[bytes], rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if grams:
-            h, row = _unpacked(grams), _unpacked(rows).view(np.int64)
+            h, row = _unpacked(grams, LOW), _unpacked(rows).view(np.int64)
             by = np.argsort(h, kind="stable")
             h, row = h[by], row[by]
-            same = h[1:] == h[:-1]
-            keep = np.r_[False, same] | np.r_[same, False]
-            yield row[keep], h[keep].view(np.int64)
+            edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+            df = np.repeat(np.diff(edge), np.diff(edge))
+            keep = df > 1
+            yield row[keep], h[keep].view(np.int64), df[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, rows, now, ids = [], [], None, None
         for batch in batches:
             ids = batch.column(5).type
             texts = batch.filter(batch.column(3).is_valid())
-            yield pa.RecordBatch.from_arrays([texts.column(3), pa.nulls(len(texts), pa.int64()), texts.column(4), texts.column(5)], names=names)
+            yield pa.RecordBatch.from_arrays([texts.column(3), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64()), texts.column(4), texts.column(5)], names=names)
             found = []
             rest = batch.filter(batch.column(3).is_null())
             for bucket, known, g, r in zip(*(rest.column(i).to_pylist() for i in (0, 4, 1, 2)), strict=True):
                 if known:
-                    found.append((_unpacked([r]).view(np.int64), _unpacked([g]).view(np.int64)))
+                    row = _unpacked([r]).view(np.int64)
+                    found.append((row, _unpacked([g], LOW).view(np.int64), np.full(len(row), EVERYWHERE)))
                     continue
                 if bucket != now:
                     found += shared(grams, rows)
@@ -131,10 +141,10 @@ def _matched(sent: DataFrame) -> DataFrame:
         yield from _rows(list(shared(grams, rows)), ids)
 
     def _rows(found: list, ids: pa.DataType) -> Iterator[pa.RecordBatch]:
-        for row, h in found:
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(h), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), ids)], names=names)
+        for row, h, df in found:
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(h), pa.array(df), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), ids)], names=names)
 
-    fields = f"row long, h long, n long, id {sent.schema['id'].dataType.simpleString()}"
+    fields = f"row long, h long, df long, n long, id {sent.schema['id'].dataType.simpleString()}"
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, fields)
 
 
@@ -205,8 +215,8 @@ def _labelled(near: DataFrame, links: DataFrame | None) -> DataFrame:
         named = near.withColumn("label", F.col("node"))
     else:
         label = written(components(links).withColumnRenamed("root", "label"), "labels")
-        named = near.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = written(named, "labelled")
+        named = near.drop("label", "held").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = written(named, "labelled")
     ends = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("h").alias("held"))
     return named.join(written(ends.where("lo <> hi").select("h", "held"), "mixed"), "h")
 
@@ -253,10 +263,10 @@ def set_links(sets: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> Da
     First sets are compared with hubs, one each, round by round while that joins any. Sets joined so far need not meet again, so many
     near copies of one text leave few pairs; all others that share enough of their prefixes are compared one by one.
     """
-    near = written(prefixes(sets, longest), "prefixes")
+    named = written(prefixes(sets, longest), "prefixes")
     links = tried = None
     while True:
-        named = written(_labelled(near, links), "named")
+        named = written(_labelled(named, links), "named")
         pairs = written(_hubs(named, tried), "stars")
         more, found = counted(_confirmed(pairs, sets), "links")
         links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
@@ -278,17 +288,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = max(4, (size["chars"] // BUCKET_CHARS).bit_length())
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = _matched(_sent(own, words, bits, _hot(own, size["rows"], words)))
-    each = marks.groupBy("row").agg(F.max("n").alias("n"), F.first("id", ignorenulls=True).alias("id"), F.collect_list("h").alias("h"))
-    texts = written(each.withColumn("h", F.when(_can(F.size("h"), F.col("n")) & (F.col("n") > 0), F.sort_array("h"))), "texts")
+    each = marks.groupBy("row").agg(F.max("n").alias("n"), F.first("id", ignorenulls=True).alias("id"), F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "df"))).alias("grams"))
+    texts = written(each.withColumn("grams", F.when(_can(F.size("grams"), F.col("n")) & (F.col("n") > 0), F.sort_array("grams"))), "texts")
     # Sets are equal if all their n-grams are; one that has some to itself is equal to none.
-    digest = [F.when(F.size("h") < F.col("n"), F.col("row")).otherwise(F.lit(-1)).alias("alone"), *(F.xxhash64(F.lit(seed), "h").alias(f"d{seed}") for seed in (1, 2))]
-    sets = texts.where("h is not null").select("row", "n", "h", *digest)
+    grams = F.transform("grams", lambda g: g["h"])
+    digest = [F.when(F.size("grams") < F.col("n"), F.col("row")).otherwise(F.lit(-1)).alias("alone"), *(F.xxhash64(F.lit(seed), grams).alias(f"d{seed}") for seed in (1, 2))]
+    sets = texts.where("grams is not null").select("row", "n", "grams", *digest)
     same = ["n", "alone", "d1", "d2"]
-    first = written(sets.groupBy(*same).agg(F.min("row").alias("node")), "distinct")
+    first = written(sets.groupBy(*same).agg(F.min("row").alias("node"), F.count("row").alias("copies")), "distinct")
     members = written(sets.select("row", *same).join(first, same).select("row", "node"), "members")
-    each = sets.join(members.where("row = node").select("row"), "row", "left_semi").select(F.col("row").alias("node"), "n", F.explode("h").alias("h"))
-    often = written(each.groupBy("h").agg(F.count("h").alias("df")).where("df > 1"), "frequencies")
-    ranked = each.join(often, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("grams"))
+    # An n-gram that more texts have than there are copies of a set is in other sets too.
+    others = F.filter("grams", lambda g: g["df"] > F.col("copies"))
+    ranked = sets.select("row", "n", "grams").join(first.select(F.col("node").alias("row"), "copies"), "row")
+    ranked = ranked.select(F.col("row").alias("node"), "n", F.sort_array(F.transform(others, lambda g: F.struct(g["df"].alias("df"), g["h"].alias("h")))).alias("grams"))
     ranked = written(ranked.where(_can(F.size("grams"), F.col("n"))), "ranked")
     roots = components(set_links(ranked, longest))
     rooted = written(
