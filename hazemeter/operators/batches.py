@@ -16,38 +16,87 @@ from hazemeter.session import written
 SEQ_BLOCK = 1 << 15
 
 
+#: Repeated batch numbers that are told apart by a list in the plan; more are by a join.
+LISTED = 10_000
+
+
 def limit_batches(batches: DataFrame, n: int | None = None) -> DataFrame:
-    """The first ``n`` batches by ``seq_id`` (all if None), none after the first one flagged ``last``."""
+    """The first ``n`` batches by ``seq_id`` (all if None), none after the first one flagged ``last``.
+
+    Both bounds are numbers, found from numbers and flags; the readings pass a comparison.
+    """
     headers = batches.select("seq_id", "last")
     end = headers.where("last").agg(F.min("seq_id")).scalar()
     until = end.isNull() | (F.col("seq_id") <= end)
     if n is None:
         return batches.where(until)
-    wanted = headers.where(until).select("seq_id").distinct().orderBy("seq_id").limit(n)
-    return batches.join(wanted, "seq_id", "left_semi")
+    highest = headers.where(until).select("seq_id").distinct().orderBy("seq_id").limit(n).agg(F.max("seq_id")).scalar()
+    return batches.where(until & (F.col("seq_id") <= highest))
 
 
-def without_repeats(batches: DataFrame) -> DataFrame:
+def without_repeats(batches: DataFrame, numbers: DataFrame | None = None, listed: int = LISTED) -> DataFrame:
     """One copy of every batch number; of differing copies the one with the least hash of its content.
 
-    The choice depends on nothing but the copies, so repeating a job repeats it.
+    The choice depends on nothing but the copies, so repeating a job repeats it. Only copies are compared: what comes
+    once passes by a look at its number. Up to ``listed`` repeated numbers are part of the plan, more meet the batches in
+    a join. ``numbers`` has each number with the ``copies`` of it, if that is known.
     """
+    batches = batches.where("seq_id is not null")
+    if numbers is None:
+        numbers = batches.groupBy("seq_id").agg(F.count(F.lit(1)).alias("copies"))
+    repeated = numbers.where("copies > 1").select("seq_id")
+    few = [r[0] for r in repeated.limit(listed + 1).collect()]
+    if not few:
+        return batches
+    if len(few) <= listed:
+        known = F.col("seq_id").isin(few)
+        once, copies = batches.where(~known), batches.where(known)
+    else:
+        once, copies = (batches.join(repeated, "seq_id", how) for how in ("left_anti", "left_semi"))
     content = F.xxhash64("last", "current", "lastyear")
     order = Window.partitionBy("seq_id").orderBy("hash")
-    return (
-        batches.where("seq_id is not null").withColumn("hash", content)
-        .withColumn("copy", F.row_number().over(order)).where("copy = 1").drop("hash", "copy")
+    chosen = copies.withColumn("hash", content).withColumn("copy", F.row_number().over(order)).where("copy = 1")
+    return once.unionByName(chosen.select(*once.columns))
+
+
+def release_bounds(numbers: DataFrame, start: int = 0, n: int | None = None) -> tuple[int, int]:
+    """The numbers ``[start, end)`` that can be released: without a gap, up to the first one flagged ``last``, ``n`` at most.
+
+    ``numbers`` has each number once, with its ``copies`` and whether any copy is ``last``. The first gap is the
+    smallest number whose successor has not arrived, found by joining the numbers to themselves shifted by one.
+    """
+    followed = numbers.select((F.col("seq_id") - 1).alias("seq_id"))
+    gap = numbers.join(followed, "seq_id", "left_anti").agg(F.min("seq_id")).scalar()
+    ends = numbers.agg(F.min("seq_id").alias("first"), F.min(F.when(F.col("last"), F.col("seq_id"))).alias("flagged"))
+    first, flagged, run_end = ends.select("first", "flagged", gap.alias("run_end")).first()
+    if first != start:
+        return start, start
+    end = (run_end if flagged is None else min(run_end, flagged)) + 1
+    return start, end if n is None else min(end, start + n)
+
+
+def arrived_numbers(batches: DataFrame, start: int = 0) -> DataFrame:
+    """``(seq_id, copies, last)`` of the batches from number ``start`` on: a row per number, without any readings."""
+    return batches.where(F.col("seq_id") >= start).groupBy("seq_id").agg(
+        F.count(F.lit(1)).alias("copies"), F.bool_or(F.coalesce("last", F.lit(False))).alias("last")
     )
 
 
+def released(batches: DataFrame, numbers: DataFrame, first: int, end: int) -> DataFrame:
+    """One copy of each batch in ``[first, end)``."""
+    inside = (F.col("seq_id") >= first) & (F.col("seq_id") < end)
+    return without_repeats(batches.where(inside), numbers.where(inside))
+
+
 def ingest(batches: DataFrame, start: int = 0, n: int | None = None) -> DataFrame:
     """What both questions take from arrived batches, in a batch job as in a stream.
 
     The batches that follow on ``start`` without a gap are taken, up to the first one flagged ``last`` and ``n`` of them at
-    most, one copy of each. Which ones follows from numbers and flags alone; the readings are passed over once, into a
-    written table.
+    most, one copy of each. Numbers and flags alone decide, in a table of a row per number; the readings are neither shuffled nor copied
+    but where a number has come more than once.
     """
-    return written(without_repeats(limit_batches(ordered_prefix(batches, start=start), n)), "released")
+    numbers = written(arrived_numbers(batches, start), "numbers")
+    return released(batches, numbers, *release_bounds(numbers, start, n))
 
 
 def valid_readings(readings: DataFrame) -> DataFrame:

@@ -51,36 +51,44 @@ def _segments(ring: Column) -> Column:
     ))
 
 
-def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Whether a point lies strictly inside a ring (points on an edge do not)."""
+def ring_edges(rings: DataFrame) -> DataFrame:
+    """``(number, x0, y0, x1, y1, level, strip)``: every edge of every ring in the strips of latitude it touches.
 
-    def side(e):
-        return (e["x1"] - e["x0"]) * (lat - e["y0"]) - (lon - e["x0"]) * (e["y1"] - e["y0"])
+    An edge is put into strips about as high as itself, so it is in two of them at most, however the heights of a ring's edges differ.
+    """
+    edges = rings.select("number", F.inline(_segments(F.col("ring"))))
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    edges = edges.withColumn("level", F.ceil(F.log2(F.greatest(high - low, F.lit(SMALLEST)))).cast("int"))
+    return edges.withColumn("strip", F.explode(F.sequence(_cell(low, F.col("level")), _cell(high, F.col("level")))))
 
-    def touches(e):
-        within = lat.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"])) & lon.between(
-            F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"])
-        )
-        return within & (side(e) == 0)
 
-    def crossed(e):
-        # an eastward ray crosses the edge iff the edge spans the latitude and,
-        # seen along its upward direction, the point lies to the left
-        upward = e["y1"] > e["y0"]
-        spans = (e["y0"] > lat) != (e["y1"] > lat)
-        return spans & F.when(upward, side(e) > 0).otherwise(side(e) < 0)
+def inside_rings(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of ``pairs(lat, lon, number)`` whose point lies strictly inside the ring (points on an edge do not).
 
-    edges = _segments(ring)
-    odd = F.size(F.filter(edges, crossed)) % 2 == 1
-    return odd & ~F.exists(edges, touches)
+    A point meets the edges of its own strip at each level of the ring, and no others; how many of them an eastward ray
+    crosses is added up. So neither a ring nor its edges are ever in one place, and a ring of very many vertices costs a point about as
+    much as a small one. ``edges`` are a table.
+    """
+    lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
+    levels = edges.select("number", "level").distinct()
+    asked = pairs.join(levels, "number").withColumn("strip", _cell(lat, F.col("level")))
+    side = (F.col("x1") - F.col("x0")) * (lat - F.col("y0")) - (lon - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    # An eastward ray crosses an edge iff the edge spans the latitude and, seen along its upward direction, the point lies to the left.
+    spans = (F.col("y0") > lat) != (F.col("y1") > lat)
+    crossed = spans & F.when(F.col("y1") > F.col("y0"), side > 0).otherwise(side < 0)
+    within = lambda at, a, b: at.between(F.least(a, b), F.greatest(a, b))
+    touched = within(lat, "y0", "y1") & within(lon, "x0", "x1") & (side == 0)
+    met = asked.join(edges, ["number", "level", "strip"]).where(crossed | touched)
+    counted = met.groupBy("lat", "lon", "number").agg(F.count_if(crossed).alias("crossings"), F.bool_or(touched).alias("touched"))
+    return counted.where("crossings % 2 = 1 and not touched").select("lat", "lon", "number")
 
 
 def point_in_polygon(points: DataFrame, locations: DataFrame) -> DataFrame:
     """``points`` (with ``lat``, ``lon``) inside a location, plus ``zipcode`` and ``city``.
 
     Every ring lies in cells of about its own size, so a point meets, at each of the few levels in use, only rings that
-    are as near as they are large. That join and the box test work on narrow rows; the rings themselves come by
-    number to the pairs that are left. Of several locations that hold a point the smallest zipcode wins. The result has one row
+    are as near as they are large. That join and the box test work on narrow rows; the pairs that are left meet edges by strips of
+    latitude. Of several locations that hold a point the smallest zipcode wins. The result has one row
     per distinct point.
     """
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
@@ -92,10 +100,10 @@ def point_in_polygon(points: DataFrame, locations: DataFrame) -> DataFrame:
     in_box = (lon >= F.col("min_lon")) & (lon <= F.col("max_lon")) & (
         (lat >= F.col("min_lat")) & (lat <= F.col("max_lat"))
     )
+    near = placed.join(polygon_cells(rings), ["level", "cell_lon", "cell_lat"]).where(in_box).select("lat", "lon", "number")
+    inside = inside_rings(near, written(ring_edges(rings), "edges"))
     return (
-        placed.join(polygon_cells(rings), ["level", "cell_lon", "cell_lat"]).where(in_box).select("lat", "lon", "number")
-        .join(rings.select("number", "ring", "zipcode", "city"), "number")
-        .where(inside_ring(lon, lat, F.col("ring")))
+        inside.join(rings.select("number", "zipcode", "city"), "number")
         .groupBy("lat", "lon")
         .agg(F.min(F.struct("zipcode", "city")).alias("hit"))
         .select("lat", "lon", "hit.zipcode", "hit.city")

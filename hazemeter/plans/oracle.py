@@ -290,6 +290,10 @@ def statements() -> dict[str, str]:
         from b group by seq_id"""
     located = Base(located=True, active=6 * HOUR)
     places = "with " + ", ".join(f"{name} as ({sql})" for name, sql in _GEO.items())
+    near_in_time = plain.sql("rd", f"""
+        select c.city, c.pos, l.pos as r_pos, l.ts_ms - c.ts_ms as apart from rd c join rd l
+          on c.city = l.city and l.ts_ms between c.ts_ms - {10 * MINUTE} and c.ts_ms + {25 * MINUTE}
+        where c.period = 'current' and l.period = 'lastyear'""")
     out = {
         "aqi_pm25": f"select event_id, {pm25('value * 2')} as aqi from events",
         "aqi_pm10": f"select event_id, {pm10('value * 2')} as aqi from events",
@@ -338,10 +342,18 @@ def statements() -> dict[str, str]:
             select c.city, c.slice_end as ts_ms, c.n as n, l.n as r_n from slices c join slices l
               on c.city = l.city and c.slice_end = l.slice_end
             where c.period = 'current' and l.period = 'lastyear'"""),
-        "interval_join_range": plain.sql("rd", f"""
-            select c.city, c.pos, l.pos as r_pos, l.ts_ms - c.ts_ms as apart from rd c join rd l
-              on c.city = l.city and l.ts_ms between c.ts_ms - {10 * MINUTE} and c.ts_ms + {25 * MINUTE}
-            where c.period = 'current' and l.period = 'lastyear'"""),
+        "interval_join_range": near_in_time,
+        "interval_join_streamed": near_in_time,
+        "state_kept": located.sql("kept", f"""
+            , low as (select (max(wm) - {DAY} - {STEP}) // {DAY} as day from adv where seq < (select max(seq) from hd))
+            select city, period, ts_ms // {DAY} as day, count(*) as n from kept
+            where ts_ms // {DAY} >= (select day from low) group by all"""),
+        "q1_results_json": wide.sql("imp", f"""
+            , top as ({_top(20)})
+            select h.seq as batch_seq_id, cast(coalesce(t.list, '[]') as varchar) as topkimproved
+            from (select distinct seq from hd) h
+            left join (select batch_seq_id, cast(to_json(list(struct_pack(position, city, avg_improvement, current_p1, current_p2) order by position)) as varchar) as list
+                       from top group by batch_seq_id) t on t.batch_seq_id = h.seq"""),
         "slice_sums": odd.sql("slices", "select city, period, slice_end, s1 as sum_p1, s2 as sum_p2, n from slices"),
         "aqi24_snapshots_odd": odd.sql("snap", "select * from snap"),
         "aqi24_at_watermark_odd": odd.sql("w4", "select * from w4"),

@@ -20,7 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hazemeter.functions.sums import DDL, added
 from hazemeter.functions.timegrid import bucket_of, slice_start
-from hazemeter.operators.batches import flatten_batches, ingest, nested_headers, watermark_guard
+from hazemeter.operators.batches import (
+    arrived_numbers, flatten_batches, nested_headers, release_bounds, released, watermark_guard,
+)
 from hazemeter.operators.geo import point_in_polygon, with_city
 from hazemeter.operators.improve import aqi_improvement, for_every_batch, top_improvements
 from hazemeter.operators.probes import active_probes, arrivals, drop_late, late_bounds
@@ -30,7 +32,7 @@ from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aq
 from hazemeter.params import DAY, DEFAULTS, Params
 from hazemeter.schema import BATCH, CURRENT, Q1, Q2
 from hazemeter.session import configure, counted, folders, remove, temporary_tables, written
-from hazemeter.sources.tables import write_epoch
+from hazemeter.sources.tables import read_results, write_epoch, write_results
 
 KEY = ["city", "period"]
 TABLES = {
@@ -108,37 +110,51 @@ def _epoch(
     low_wm, last_seq, cities_epoch, ended, last_epoch = before
     due_seq = 0 if last_seq is None else last_seq + 1
     if last_epoch is not None:
-        for name, oldest in (("run", last_epoch), ("held", last_epoch), ("cities", cities_epoch)):
+        for name, oldest in (("run", last_epoch), ("cities", cities_epoch)):
             stores.expire(spark, name, "epoch", last_epoch if oldest is None else oldest)
     if low_wm is not None:
         stores.expire(spark, "readings", "day", _log_low(low_wm, params) // DAY)
         stores.expire(spark, "slices", "day", _slices_low(low_wm, params) // DAY)
 
-    held = stores.read(spark, "held").where(F.col("epoch") == F.lit(last_epoch)).drop("epoch")
-    waiting = arrived_batches.unionByName(held).where((F.col("seq_id") >= due_seq) & F.lit(not ended))
-    inbox = written(waiting, "inbox")
-    batches = ingest(inbox, due_seq)
-    every, n_headers = counted(nested_headers(batches, params), "headers")
-    early = inbox.join(every.withColumnRenamed("seq", "seq_id"), "seq_id", "left_anti")
+    waiting = _held(spark, stores, due_seq, epoch)
+    due = (F.col("seq_id") >= due_seq) & F.lit(not ended)
+    inbox = arrived_batches.unionByName(waiting.drop("epoch")).where(due)
+    numbers = written(arrived_numbers(inbox, due_seq), "numbers")
+    first, end = release_bounds(numbers, due_seq)
+    early = arrived_batches.where(due & (F.col("seq_id") >= end))
     write_epoch(early.select("seq_id", "last", "current", "lastyear"), stores.path("held"), epoch)
 
-    headers = watermark_guard(every, params)
-    ahead = headers if low_wm is None else headers.where(F.col("wm") >= low_wm)
-    min_wm, max_wm = ahead.agg(F.min("wm"), F.max("wm")).first()
-    if n_headers:
+    progress = (low_wm, last_seq, cities_epoch, bool(ended))
+    if end > first:
+        batches = released(inbox, numbers, first, end)
+        every = written(nested_headers(batches, params), "headers")
+        headers = watermark_guard(every, params)
+        ahead = headers if low_wm is None else headers.where(F.col("wm") >= low_wm)
+        min_wm, max_wm = ahead.agg(F.min("wm"), F.max("wm")).first()
         _answer(
             batches, every, ahead, min_wm, max_wm, low_wm, due_seq - 1, cities_epoch, epoch, locations, stores, params
         )
-    progress = (
-        low_wm if max_wm is None else max_wm,
-        due_seq + n_headers - 1 if n_headers else last_seq,
-        epoch if n_headers else cities_epoch,
-        bool(ended or batches.where("last").limit(1).count()),
-    )
+        flagged = numbers.where((F.col("seq_id") < end) & F.col("last")).limit(1).count()
+        progress = (low_wm if max_wm is None else max_wm, end - 1, epoch, bool(flagged))
     schema = "max_wm BIGINT, last_seq BIGINT, cities_epoch BIGINT, ended BOOLEAN"
     write_epoch(spark.createDataFrame([progress], schema), stores.path("run"), epoch)
 
 
+def _held(spark: SparkSession, stores: Stores, due_seq: int, epoch: int) -> DataFrame:
+    """Batches that came ahead of a missing one, where the micro-batch they came with has put them.
+
+    They are written once and stay there; what is looked at until they are released is their numbers. A folder goes
+    when none of its numbers is waiting any more.
+    """
+    held = stores.read(spark, "held").where(F.col("epoch") < epoch)
+    waiting = {r[0] for r in held.where(F.col("seq_id") >= due_seq).select("epoch").distinct().collect()}  # a row per folder
+    for folder in folders(spark, stores.path("held")):
+        at = folder.removeprefix("epoch=")
+        if at.isdigit() and int(at) < epoch and int(at) not in waiting:
+            remove(spark, f"{stores.path('held')}/{folder}")
+    return stores.read(spark, "held").where(F.col("epoch").isin(sorted(waiting)))
+
+
 def _log_low(wm: int, params: Params) -> int:
     """Readings before this time are not needed at watermarks from ``wm`` on."""
     return wm - max(params.window_ms, params.active_ms) - params.step_ms
@@ -181,8 +197,8 @@ def _answer(
 
     if min_wm is None:  # nothing is asked: every batch has its empty result, the cities what arrived
         nothing = lambda schema: spark.createDataFrame([], schema)
-        write_epoch(for_every_batch(every, nothing(Q1)), stores.path("q1"), epoch)
-        write_epoch(for_every_batch(every, nothing(Q2)), stores.path("q2"), epoch)
+        write_results(for_every_batch(every, nothing(Q1)), stores.path("q1"), version=epoch)
+        write_results(for_every_batch(every, nothing(Q2)), stores.path("q2"), version=epoch)
         newest = nothing("city STRING, period STRING, until BIGINT")
         streaks = nothing("city STRING, period STRING, ts_ms BIGINT, good_since BIGINT")
         write_epoch(_cities(known, arrived, newest, streaks, none, params), stores.path("cities"), epoch)
@@ -204,7 +220,7 @@ def _answer(
     )
 
     ranking = top_improvements(aqi_improvement(aqi5d(snapshots, at_watermark, params)), params.k)
-    write_epoch(for_every_batch(every, ranking), stores.path("q1"), epoch)
+    write_results(for_every_batch(every, ranking), stores.path("q1"), version=epoch)
 
     # A city's streak advances to the last watermark it was asked about. That of a silent city advances as
     # far as the next micro-batch can no longer see; what arrives behind that later is late.
@@ -225,7 +241,7 @@ def _answer(
     streaks = written(good_streak(values, params), "streaks")
     probed = streaks.where("is_probe").select("seq", "city", F.col("ts_ms").alias("ts_last"), "good_since")
     histogram = streak_histogram(watermark_guard(every, params), probed, params)
-    write_epoch(for_every_batch(every, histogram), stores.path("q2"), epoch)
+    write_results(for_every_batch(every, histogram), stores.path("q2"), version=epoch)
 
     write_epoch(_cities(known, arrived, newest, streaks, silent, params), stores.path("cities"), epoch)
 
@@ -255,7 +271,7 @@ def _cities(
 def answers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """What a stream has answered so far: ranking and histogram rows."""
     stores = Stores(root)
-    return tuple(spark.read.schema(schema).parquet(stores.path(name)) for name, schema in (("q1", Q1), ("q2", Q2)))
+    return tuple(read_results(spark, stores.path(name), schema) for name, schema in (("q1", Q1), ("q2", Q2)))
 
 
 def run_questions(

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from hazemeter.operators.geo import locate, point_in_polygon, polygon_cells, polygon_rings, with_city
+from hazemeter.operators.geo import locate, point_in_polygon, polygon_cells, polygon_rings, ring_edges, with_city
 from hazemeter.operators.improve import interval_join, nested_top, top_improvements
 from hazemeter.schema import LOCATION
 from tests.helpers import rows_of
@@ -58,6 +59,7 @@ def test_many_small_rings_where_one_large_cell_was(spark):
         inside = (lon - 10) * 100 - i < 0.8 and (lat - 50) * 100 - j < 0.8 and i < 20 and j < 20
         assert city == (f"c{20 * j + i}" if inside else "all")
     rings = polygon_rings(places)
+    assert ring_edges(rings).count() <= 2 * 4 * 401
     assert polygon_cells(rings).count() <= 4 * rings.count() == 4 * 401
 
 
@@ -84,3 +86,27 @@ def test_ranking(spark):
     headers = spark.createDataFrame([(0, 1), (1, 2)], "seq bigint, wm bigint")
     nested = {r.batch_seq_id: [e.city for e in r.topkimproved] for r in nested_top(headers, top).collect()}
     assert nested == {0: ["e", "a", "b"], 1: []}
+
+
+def test_a_ring_of_very_many_vertices(spark):
+    """A star of 100,000 vertices and 10,000 points, beside a square of four."""
+    n = 100_000
+    angle = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    far = np.where(np.arange(n) % 2, 1.0, 0.5) + 0.3 * np.sin(7 * angle)
+    x, y = 20 + far * np.cos(angle), 40 + far * np.sin(angle)
+    places = spark.createDataFrame([location("1", "star", list(zip(x.tolist(), y.tolist()))), location("2", "square", [(18.0, 38.0), (22.0, 38.0), (22.0, 42.0), (18.0, 42.0)])], LOCATION)
+    rng = np.random.default_rng(5)
+    lon, lat = rng.uniform(18.5, 21.5, 10_000).astype(np.float32), rng.uniform(38.5, 41.5, 10_000).astype(np.float32)
+    points = spark.createDataFrame([(float(a), float(b)) for a, b in zip(lat, lon)], "lat float, lon float").repartition(4)
+    rings = polygon_rings(places)
+    edges = ring_edges(rings)
+    assert edges.count() <= 2 * (n + 4)
+    most = edges.groupBy("number", "level", "strip").count().agg({"count": "max"}).first()[0]
+    assert most < n / 8  # no strip has many of the edges
+    got = {(r.lat, r.lon): r.city for r in point_in_polygon(points, places).collect()}
+    assert len(got) == len(set(zip(lat.tolist(), lon.tolist())))
+    x1, y1 = np.roll(x, -1), np.roll(y, -1)
+    for a, b in list(zip(lat.astype(float), lon.astype(float)))[:400]:
+        over = (y > a) != (y1 > a)
+        hits = b < (x1[over] - x[over]) * (a - y[over]) / (y1[over] - y[over]) + x[over]
+        assert got[a, b] == ("star" if hits.sum() % 2 else "square")

@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from hazemeter.operators import batches as B
+from hazemeter.operators.slices import slice_sums
 from hazemeter.operators.windows import aqi24_at_watermark
 from hazemeter.params import DAY, HOUR, MINUTE, Params
 from hazemeter.plans import standing as st
@@ -85,8 +86,7 @@ def arrive(spark, rows, folder, name):
 
 
 def compare(spark, out, batches, where):
-    for name, want in zip(("q1", "q2"), st.both(st.timely_batches(batches, where, PARAMS))):
-        got = spark.read.parquet(f"{out}/{name}").drop("epoch")
+    for got, want in zip(job.answers(spark, out), st.both(st.timely_batches(batches, where, PARAMS))):
         assert rows_of(got) == rows_of(want)
 
 
@@ -150,7 +150,7 @@ def test_watermark_sums_combine_before_the_shuffle(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         readings = spark.createDataFrame([(0, 0, "A", "current", 5 * MINUTE, 1.0, 1.0)], "seq long, pos long, city string, period string, ts_ms long, p1 double, p2 double")
-        slices = spark.createDataFrame([("A", "current", 10 * MINUTE, 1, 1, 1)], "city string, period string, slice_end long, s1 long, s2 long, n long")
+        slices = slice_sums(readings)
         probes = spark.createDataFrame([(0, 7 * MINUTE + DAY, "A", "current")], "seq long, wm long, city string, period string")
         plan = aqi24_at_watermark(readings, slices, probes, unseen=False)._jdf.queryExecution().executedPlan().toString()
     finally:
@@ -159,3 +159,61 @@ def test_watermark_sums_combine_before_the_shuffle(spark):
     scan = next(i for i, line in enumerate(lines) if "p1#" in line and "Scan" in line)
     above = [line for line in lines[:scan] if "Exchange" in line or "partial_" in line]
     assert "partial_" in above[-1] and "Exchange" in above[-2]
+
+
+def plan_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("Initial Plan") if "Initial Plan" in plan else 0 :].split("\n")
+
+
+def moved(df):
+    """Shuffles and sorts of a plan whose rows have the readings in them."""
+    found = []
+    for line in plan_of(df):
+        kind = next((k for k in ("Exchange", "Sort ", "Window") if k in line), None)
+        if kind:
+            found.append(kind)
+    return found
+
+
+def test_batches_that_come_once_are_not_shuffled(spark, tmp_path):
+    """Only copies of a number meet; a plan of batches without copies has no shuffle and no sort of readings."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        single = [(i, False, *pair(i * 1800, 10.0)) for i in range(20)]
+        for rows, name in ((single, "once"), (single + single[3:5], "twice")):
+            spark.createDataFrame(rows, BATCH).repartition(4).write.parquet(f"{tmp_path}/{name}")
+        once, twice = (S.read_batches(spark, f"{tmp_path}/{name}") for name in ("once", "twice"))
+        taken = B.ingest(once, n=15)
+        assert moved(taken) == [] and sorted(r.seq_id for r in taken.select("seq_id").collect()) == list(range(15))
+        assert not any("Join" in line for line in plan_of(B.limit_batches(once, 4))) and B.limit_batches(once, 4).count() == 4
+        both = B.ingest(twice)
+        lines = plan_of(both)
+        shuffle = next(i for i, line in enumerate(lines) if "Exchange" in line)
+        below = "\n".join(lines[shuffle:])
+        assert "L = 3)" in below and "L = 4)" in below  # what is shuffled has passed the look at its number
+        assert "\n".join(lines).count("Exchange") == 1
+        assert rows_of(both) == rows_of(taken.unionByName(once.where("seq_id >= 15")))
+        assert rows_of(B.without_repeats(twice, listed=1)) == rows_of(both)  # too many copied numbers for a list
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_held_batches_are_written_once(spark, tmp_path):
+    """Number 0 comes last, after a gap of thirty micro-batches: each early batch is in one file until then."""
+    where, out = places(spark), f"{tmp_path}/out"
+    stores = job.Stores(out)
+    stores.create(spark)
+    rows = [(i, False, *pair(i * 1800, 10.0 + i)) for i in range(31)]
+    files = lambda: {f: os.path.getmtime(f"{d}/{f}") for d, _, names in os.walk(f"{out}/held") for f in names if f.endswith(".parquet")}
+    seen = files()
+    for i in range(1, 31):
+        job.answer_epoch(spark.createDataFrame([rows[i]], BATCH).coalesce(1), i, where, stores, PARAMS)
+        now = files()
+        assert {f: now[f] for f in seen} == seen and len(now) == len(seen) + 1
+        seen = now
+    assert spark.read.parquet(f"{out}/held").count() == 30
+    job.answer_epoch(spark.createDataFrame([rows[0]], BATCH), 31, where, stores, PARAMS)
+    compare(spark, out, spark.createDataFrame(rows, BATCH), where)
+    job.answer_epoch(spark.createDataFrame([(31, True, *pair(31 * 1800, 9.0))], BATCH), 32, where, stores, PARAMS)
+    assert stores.read(spark, "held").count() == 0 and len(os.listdir(f"{out}/held")) < 6

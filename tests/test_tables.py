@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from hazemeter.plans import fixtures as fx
@@ -41,23 +42,56 @@ def test_batches_from_json(spark, sf_dir, tmp_path):
     assert rows_of(S.read_batches(spark, f"{tmp_path}/json", "json")) == rows_of(batches)
 
 
+SCHEMA = "batch_seq_id bigint, v bigint"
+
+
+def some(spark, *rows):
+    return spark.createDataFrame(list(rows), SCHEMA)
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "json"])
-def test_results_overwrite_only_their_batches(spark, tmp_path, fmt, monkeypatch):
-    monkeypatch.setattr(S, "BATCHES_PER_FOLDER", 10)
-    schema = "batch_seq_id bigint, v bigint"
+def test_results_overwrite_only_their_batches(spark, tmp_path, fmt):
     path = f"{tmp_path}/out"
-    S.write_results(spark.createDataFrame([(1, 1), (11, 1)], schema), path, fmt)
-    S.write_results(spark.createDataFrame([(11, 2), (12, 2)], schema), path, fmt)
-    got = spark.read.schema(schema).format(fmt).load(path).select("batch_seq_id", "v")
-    assert rows_of(got) == [(1, 1), (11, 2), (12, 2)]
+    assert S.read_results(spark, path, SCHEMA, fmt).count() == 0
+    S.write_results(some(spark, (1, 1), (11, 1)), path, fmt)
+    S.write_results(some(spark, (11, 2), (12, 2)), path, fmt)
+    assert rows_of(S.read_results(spark, path, SCHEMA, fmt)) == [(1, 1), (11, 2), (12, 2)]
+    assert rows_of(S.read_results(spark, path, SCHEMA, fmt, 2, 11)) == [(11, 2)]
 
 
 def test_results_written_batch_by_batch_are_all_there(spark, tmp_path):
+    """Rewritten and emptied batches, over several levels of folders, with a call that is repeated."""
+    path, want = f"{tmp_path}/out", {}
+    for i in range(9):
+        rows = [(i % 4, i), (i % 4, None if i == 6 else 10 * i), (100 + i, i)]
+        want |= {i % 4: rows[:2], 100 + i: rows[2:]}
+        for _ in range(1 + (i == 5)):
+            S.write_results(some(spark, *rows), path, version=i, versions=2)
+    assert rows_of(S.read_results(spark, path, SCHEMA)) == rows_of(some(spark, *sum(want.values(), [])))
+    assert len([f for f in os.listdir(path) if f.startswith("version=")]) <= 5
+
+
+def test_a_million_batches_are_a_few_folders(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    for part in range(3):
+        S.write_results(spark.range(part * 400_000, 1_000_000).select(F.col("id").alias("batch_seq_id"), F.lit(part).cast("bigint").alias("v")), path, versions=2)
+    assert sum(len(d) for _, d, _ in os.walk(path)) <= 3
+    got = S.read_results(spark, path, SCHEMA).groupBy("v").count()
+    assert rows_of(got) == [(200_000, 2), (400_000, 0), (400_000, 1)]
+
+
+def test_a_compaction_that_ends_half_way_changes_nothing(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/out"
-    for batch, values in ((0, [1, 2]), (1, [3]), (2, [4, 5]), (1, [6]), (2, [None])):
-        S.write_results(spark.createDataFrame([(batch, v) for v in values], "batch_seq_id bigint, v bigint"), path)
-    got = spark.read.parquet(path).select("batch_seq_id", "v")
-    assert rows_of(got) == rows_of(spark.createDataFrame([(0, 1), (0, 2), (1, 6), (2, None)], "batch_seq_id bigint, v bigint"))
+    for i in range(2):
+        S.write_results(some(spark, (1, i), (2 + i, i)), path)
+    want = rows_of(S.read_results(spark, path, SCHEMA))
+    monkeypatch.setattr(S, "remove", lambda *a: 1 / 0)  # the new folder is there, the old ones as well
+    with pytest.raises(ZeroDivisionError):
+        S.compact_results(spark, path, some(spark).schema, versions=2)
+    monkeypatch.undo()
+    assert rows_of(S.read_results(spark, path, SCHEMA)) == want
+    S.compact_results(spark, path, some(spark).schema, versions=2)
+    assert rows_of(S.read_results(spark, path, SCHEMA)) == want and len(os.listdir(path)) == 1
 
 
 def test_repeated_epoch_replaces_itself(spark, tmp_path):
