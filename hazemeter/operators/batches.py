@@ -75,6 +75,27 @@ def release_bounds(numbers: DataFrame, start: int = 0, n: int | None = None) ->
     return start, end if n is None else min(end, start + n)
 
 
+def feed_bounds(numbers: DataFrame, due: DataFrame, feed: str, together: bool = False) -> DataFrame:
+    """``(feed, first, end)``: of every feed the numbers that can be released, ``first`` being the one that is ``due``, or 0.
+
+    ``numbers(feed, seq_id)`` has those that wait, each once, none below the one that is due; ``due(feed, due)`` the state so far. A
+    feed's run ends before its first gap. With ``together`` all feeds end where the slowest does: the merged order is by
+    number, then by feed.
+    """
+    first = F.coalesce("due", F.lit(0).cast("bigint"))
+    feeds = numbers.select(feed).union(due.select(feed)).distinct().join(due, feed, "left").select(feed, first.alias("first"))
+    followed = numbers.select(feed, (F.col("seq_id") - 1).alias("seq_id"))
+    run = numbers.join(followed, [feed, "seq_id"], "left_anti").groupBy(feed).agg(F.min("seq_id").alias("run_end"))
+    begun = numbers.groupBy(feed).agg(F.min("seq_id").alias("lowest"))
+    ends = feeds.join(run, feed, "left").join(begun, feed, "left").select(
+        feed, "first", F.when(F.col("lowest") == F.col("first"), F.col("run_end") + 1).otherwise(F.col("first")).alias("end")
+    )
+    if not together:
+        return ends
+    slowest = ends.agg(F.min("end")).scalar()
+    return ends.withColumn("end", F.greatest("first", F.least("end", slowest)))
+
+
 def arrived_numbers(batches: DataFrame, start: int = 0) -> DataFrame:
     """``(seq_id, copies, last)`` of the batches from number ``start`` on: a row per number, without any readings."""
     return batches.where(F.col("seq_id") >= start).groupBy("seq_id").agg(

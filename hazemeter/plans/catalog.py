@@ -27,6 +27,8 @@ from hazemeter.plans import standing as st
 from hazemeter.schema import CURRENT, LAST_YEAR, Q1, Q2
 from hazemeter.session import configure, shared_dir, written
 from hazemeter.sources.tables import archive_batches, load_locations, read_archive, read_results, stream_batches, write_results
+from hazemeter.streaming.feeds import released as released_batches_of
+from hazemeter.streaming.feeds import run_release
 from hazemeter.streaming.job import answers, run_questions
 from hazemeter.streaming.joins import run_interval_join
 
@@ -523,6 +525,29 @@ def streamed_answers(spark, sf_dir):
     return _as_answers(*answers(spark, f"{root}/out"))
 
 
+@query
+def released_feeds(spark, sf_dir):
+    """Two feeds of batches that arrive in three parts, the second with a gap until the last; on their own and together."""
+    root = f"{shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    size = lambda c: F.size(c).cast("long").alias(c)
+    each = fx.batches(spark, sf_dir).select("seq_id", size("current"), size("lastyear"))
+    both = written(each.withColumn("feed", F.explode(F.array(F.lit("a"), F.lit("b")))), "feeds")
+    top = both.agg(F.max("seq_id")).first()[0]
+    number, second = F.col("seq_id"), F.col("feed") == "b"
+    gap, missing = second & (number == top // 3), second & (number == top - 1)
+    parts = [(number <= top // 2) & ~gap, (number > top // 2) & ~missing, gap]
+    out = []
+    for i, part in enumerate(parts):
+        both.where(part).repartition(2).write.mode("append").parquet(f"{root}/in")
+        for together in (False, True):
+            arriving = spark.readStream.schema(both.schema).parquet(f"{root}/in")
+            run_release(arriving, f"{root}/{together}", together=together).awaitTermination()
+            if i != 1:
+                found = released_batches_of(spark, f"{root}/{together}")
+                out.append(written(found.drop("epoch").withColumns({"together": F.lit(together), "part": F.lit(i)}), "released"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query
 def state_kept(spark, sf_dir):
     """Readings a stream still holds after its last batch, which comes alone: those of days its watermarks can reach."""

@@ -344,6 +344,15 @@ def statements() -> dict[str, str]:
             where c.period = 'current' and l.period = 'lastyear'"""),
         "interval_join_range": near_in_time,
         "interval_join_streamed": near_in_time,
+        "released_feeds": f"""
+            with b as ({per_batch}), top as (select max(seq_id) as top from b),
+            cases(together, part, feed, until) as (
+              select false, 0, 'a', top // 2 + 1 from top union all select false, 0, 'b', top // 3 from top
+              union all select true, 0, 'a', top // 3 from top union all select true, 0, 'b', top // 3 from top
+              union all select false, 2, 'a', top + 1 from top union all select false, 2, 'b', top - 1 from top
+              union all select true, 2, 'a', top - 1 from top union all select true, 2, 'b', top - 1 from top)
+            select together, cast(part as integer) as part, feed, seq_id, cast(n_current as bigint) as current, cast(n_lastyear as bigint) as lastyear
+            from b, cases where seq_id < until""",
         "state_kept": located.sql("kept", f"""
             , low as (select (max(wm) - {DAY} - {STEP}) // {DAY} as day from adv where seq < (select max(seq) from hd))
             select city, period, ts_ms // {DAY} as day, count(*) as n from kept

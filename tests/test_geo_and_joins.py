@@ -92,7 +92,7 @@ def test_a_ring_of_very_many_vertices(spark):
     """A star of 100,000 vertices and 10,000 points, beside a square of four."""
     n = 100_000
     angle = np.linspace(0, 2 * np.pi, n, endpoint=False)
-    far = np.where(np.arange(n) % 2, 1.0, 0.5) + 0.3 * np.sin(7 * angle)
+    far = np.where(np.arange(n) % 2, 0.75, 0.7501) + 0.3 * np.sin(7 * angle)
     x, y = 20 + far * np.cos(angle), 40 + far * np.sin(angle)
     places = spark.createDataFrame([location("1", "star", list(zip(x.tolist(), y.tolist()))), location("2", "square", [(18.0, 38.0), (22.0, 38.0), (22.0, 42.0), (18.0, 42.0)])], LOCATION)
     rng = np.random.default_rng(5)
