@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from hazemeter.llm.common import SPACES, written
 
-#: Runs merged into one per round, and rounds: partitions start as up to FAN_IN ** (ROUNDS - 1) groups of runs.
+#: Runs merged into one per round: four rounds of a binomial tree at a time.
 FAN_IN = 16
-ROUNDS = 2
 
 
 def squeezed(text: Column) -> Column:
@@ -30,22 +29,25 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def merged_runs(rows: DataFrame, fan_in: int = FAN_IN, rounds: int = ROUNDS) -> DataFrame:
+def merged_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """``(digest, proof, n, best)`` per text: how many rows have it and which stays.
 
     Every partition first sorts its rows by digest and combines equal neighbours: a run (the sort aggregate before
-    an exchange). A round then merges all runs whose numbers agree in their lower digits to the base ``fan_in``,
-    and the last round merges what is left. That is log2(fan_in) rounds of a binomial tree at a time. Each merge
+    an exchange). A round then merges every ``fan_in`` runs that follow each other into one, so there are as many rounds
+    as it takes until one run is left: log2(fan_in) rounds of a binomial tree at a time. Each merge
     keeps the count and the smallest identifier, so a text never has more rows than runs left, and a
     round deals digests over all tasks. The work per round does not depend on how often a text occurs.
     """
+    left = (rows.agg(F.max("run")).first()[0] or 0) + 1
     # Most code points, then the smallest id, null ids last, then the first row.
     best = F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("none"), "id", "row")
     runs = rows.select("run", "digest", "proof", F.lit(1).cast("long").alias("n"), best.alias("best"))
-    for level in range(rounds - 1, -1, -1):
-        keys = [(F.col("run") % fan_in**level).alias("run")] if level else []
+    while True:
+        left = -(-left // fan_in)
+        keys = [F.floor(F.col("run") / fan_in).cast("int").alias("run")] if left > 1 else []
         runs = runs.groupBy(*keys, "digest", "proof").agg(F.sum("n").alias("n"), F.min("best").alias("best"))
-    return runs
+        if left == 1:
+            return runs
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,7 +58,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     one is kept. An empty table gives an empty one; columns of other names are not touched.
     """
     rows = written(digest_rows(docs, id_col, text_col), "digests")
-    ends = merged_runs(rows)
+    ends = written(merged_runs(rows), "ends")
     return rows.join(ends, ["digest", "proof"]).select(
         "row", "id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"), "digest",

@@ -36,7 +36,8 @@ def learning_sample(docs: DataFrame, id_col: str = "doc_id", rows: int = LEARN_R
     texts below it are ranked, so no task gets more however large a language is. Rows that repeat an id count once, with
     the least text. The label of an unknown language is none to learn.
     """
-    usable = learnable(docs, id_col).where(f"not held_out and lang <> '{UNKNOWN}' and text is not null").withColumn("hash", F.xxhash64(id_col))
+    usable = learnable(docs.select(id_col, "lang", "text"), id_col).where(f"not held_out and lang <> '{UNKNOWN}' and text is not null")
+    usable = usable.select("lang", "text", F.xxhash64(id_col).alias("hash"))
     share = SPARE * rows / F.count("hash")
     bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + share * 2.0**64).cast("long"))
     # One row per language.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hazemeter.llm import components, decontaminate, exact, html_text, langid, lines, packing, secrets, shards, simhash, urls
 from tests.llm import brute
 
-SCHEMA = "doc_id long, text string, lang string, id string, row int, key string, fp long, n int, run int, block int, size int, shard int, digest string, held_out int, lang_pred string, spans int"
+SCHEMA = "doc_id long, text string, lang string, id string, row int, key string, fp long, n int, run int, block int, size int, shard int, digest string, held_out int, lang_pred string, spans int, bound int"
 LONG = " ".join(random.Random(1).choices("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split(), k=60_000))
 TEXTS = [
     None, "", " \t\n", "one", "One two", "a b c d e f g h i j k", "A  b c\td e f g h i j k", LONG, LONG + " end", LONG, "12345 !?", "élan été où", "a b c d e f g h i j k",
@@ -21,7 +21,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(i, t, [None, "en", "fr"][i % 3], *[None] * 13) for i, t in enumerate(TEXTS)]
+    rows = [(i, t, [None, "en", "fr"][i % 3], *[None] * 14) for i, t in enumerate(TEXTS)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -137,8 +137,10 @@ def test_exact(spark, odd, messy):
 
 def test_exact_merges_runs_by_rounds(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text")).repartition(9)
-    for fan_in, rounds in ((2, 4), (16, 2), (3, 1)):
-        ends = exact.merged_runs(exact.digest_rows(docs), fan_in, rounds).select("n", "best.id").collect()
+    for fan_in, rounds in ((2, 4), (16, 1), (3, 2)):
+        merged = exact.merged_runs(exact.digest_rows(docs), fan_in)
+        assert merged._jdf.queryExecution().logical().toString().count("Aggregate") == rounds
+        ends = merged.select("n", "best.id").collect()
         assert sorted((r["id"], r["n"]) for r in ends) == [(i, 572 if i < 3 else 571) for i in range(7)]
 
 

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from hazemeter.llm import packing
 from tests.llm import brute
+from tests.llm.test_near_copies import survivors
 from tests.llm.test_operators import sequences_hold
 
 duckdb = pytest.importorskip("duckdb")
@@ -43,7 +44,7 @@ def rows(df, *names):
 
 
 def test_each_operator_has_one_query():
-    assert [x.split("_")[0] for x in entry.queries() if x.startswith("op")] == [f"op{n}" for n in range(1, 11)]
+    assert [x.split("_")[0] for x in entry.queries() if x.startswith("op")] == [f"op{n}" for n in range(1, 14)]
     assert "pipeline" in entry.queries()
 
 
@@ -86,6 +87,27 @@ def test_shards(spark, sf_dir, docs):
     assert max(sizes) - min(sizes) <= max(r["size"] for r in got)
 
 
+def test_packing(spark, sf_dir, docs):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    got = run(spark, sf_dir, 9).collect()
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    want = brute.pieces(docs, lambda t: tok.encode(t, add_special_tokens=False).ids)
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    total = sum(n for _, n, _ in want.values())
+    assert -(-total // 2048) <= sequences_hold(got) <= total // 2048 * 1.02 + 2
+
+
+def test_language(spark, sf_dir, docs):
+    label = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = rows(run(spark, sf_dir, 10), "held_out", "lang_pred", "score")
+    assert {i: g[0] for i, g in got.items()} == {i: brute.held_out(i) for i in docs}
+    assert all((g[1] == "und") == (not letters(docs[i])) and 0 <= g[2] <= 1 for i, g in got.items())
+    asked = [i for i, g in got.items() if g[0] and label[i] and letters(docs[i])]
+    assert sum(got[i][1] == label[i] for i in asked) >= 0.95 * len(asked)
+
+
 def letters(text):
     return any(c.isalpha() for c in text or "")
 
@@ -97,7 +119,7 @@ def test_pipeline(spark, sf_dir, docs, items):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     left = {i: t for i, t in docs.items() if letters(t)}
     left = {i: left[i] for i, w in brute.exact(left).items() if w[2]}
-    left = {i: left[i] for i in {w[1] for w in brute.near_groups(left).values()}}
+    left = {i: left[i] for i in survivors(left)}
     left = {i: left[i] for i, w in brute.contamination(left, items).items() if not w[4]}
     tok = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     want = brute.pieces(left, lambda t: tok.encode(t, add_special_tokens=False).ids)
