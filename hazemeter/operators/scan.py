@@ -21,17 +21,16 @@ def with_block_carry(
     which the caller takes with an ordinary window, and one over the blocks,
     taken here on a single row per block: ``totals`` aggregates each block and
     ``carries`` turns those into columns, given the window of a key's blocks in
-    order. A hot key is thus spread over as many tasks as it has blocks.
+    order; each may use the ones before it. A hot key is thus spread over as many tasks as it has blocks.
 
     ``df`` is read twice: it should be a table, or cheap to derive from one.
     """
     df = df.withColumn("block", block)
     over_blocks = Window.partitionBy(*keys).orderBy("block")
     per_block = df.groupBy(*keys, "block").agg(*[agg.alias(name) for name, agg in totals.items()])
-    carried = per_block.select(
-        *keys, "block", *[make(over_blocks).alias(name) for name, make in carries.items()]
-    )
-    return df.join(carried, [*keys, "block"])
+    for name, make in carries.items():
+        per_block = per_block.withColumn(name, make(over_blocks))
+    return df.join(per_block.select(*keys, "block", *carries), [*keys, "block"])
 
 
 def before(window: WindowSpec) -> WindowSpec:

@@ -8,41 +8,46 @@ from pyspark.sql import functions as F
 from hazemeter.functions.aqi import is_good
 from hazemeter.functions.histogram import bucket_width, per_mille, streak_bucket
 from hazemeter.functions.timegrid import bucket_of
-from hazemeter.operators.scan import before, so_far_with_ties, with_block_carry
+from hazemeter.operators.scan import before, so_far, so_far_with_ties, with_block_carry
 from hazemeter.params import DAY, DEFAULTS, Params
-from hazemeter.session import written
 
 KEY = ["city", "period"]
+#: Stands for the time of a value that is not known yet.
+OPEN = (1 << 63) - 1
 
 
 def good_streak(values: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Adds ``good_since``: start of the run of good values, NULL at a bad one.
 
-    A run starts at a good value whose predecessor is bad or missing; silence does
-    not end it. Both the predecessor and the latest start are running aggregates,
-    taken per city and day with a carry between days.
+    A run starts at the value that follows the latest bad one, or at the city's first; silence does not end it. So one running
+    aggregate is enough: the latest bad value with the time of the one that follows it. It is taken per city and day with a carry between
+    days; of a bad value at the end of a day, the next day with values has the time.
     """
-    seen = F.struct("ts_ms", "good")
     day = bucket_of(F.col("ts_ms"), DAY)
     inside = Window.partitionBy(*KEY, "block").orderBy("ts_ms")
+    good = is_good(F.col("aqi"), params.good_max)
+    following = F.coalesce(F.lead("ts_ms").over(inside), F.lit(OPEN))
+    ended = F.struct(F.col("ts_ms").alias("at"), F.col("following").alias("next"))
     known = with_block_carry(
-        values.withColumn("good", is_good(F.col("aqi"), params.good_max)), KEY, day,
-        {"block_last": F.max(seen)},
-        {"carry_last": lambda w: F.max("block_last").over(before(w))},
-    ).withColumn("previous", F.greatest(F.max(seen).over(before(inside)), F.col("carry_last")))
-    starts = F.col("good") & ~F.coalesce(F.col("previous.good"), F.lit(False))
-    started = known.withColumn("start", F.when(starts, F.col("ts_ms"))).drop(
-        "block", "carry_last", "previous"
+        values.withColumns({"good": good, "block": day}).withColumn("following", following)
+        .withColumn("bad", F.when(~F.col("good"), ended)).drop("following"),
+        KEY, F.col("block"),
+        {"block_first": F.min("ts_ms"), "block_bad": F.max("bad")},
+        {
+            "next_first": lambda w: F.lead("block_first").over(w),
+            "closed": lambda w: F.when(F.col("block_bad").isNotNull(), F.struct(
+                F.col("block_bad.at").alias("at"),
+                F.when(F.col("block_bad.next") == OPEN, F.col("next_first")).otherwise(F.col("block_bad.next")).alias("next"),
+            )),
+            "carry_bad": lambda w: F.max("closed").over(before(w)),
+            "first": lambda w: F.min("block_first").over(so_far(w)),
+        },
     )
-    marked = with_block_carry(
-        written(started, "starts"), KEY, day,
-        {"block_start": F.max("start")},
-        {"carry_start": lambda w: F.max("block_start").over(before(w))},
-    )
-    # of values at one time only one is marked as the start; all of them see it
-    since = F.greatest(F.max("start").over(so_far_with_ties(inside)), F.col("carry_start"))
-    return marked.withColumn("good_since", F.when(F.col("good"), since)).drop(
-        "good", "block", "start", "carry_start"
+    # values at one time are alike, and all of them see what any of them ends
+    latest = F.greatest(F.max("bad").over(so_far_with_ties(inside)), F.col("carry_bad"))
+    since = F.coalesce(F.col("latest.next"), F.col("first"))
+    return known.withColumn("latest", latest).withColumn("good_since", F.when(F.col("good"), since)).drop(
+        "good", "block", "bad", "next_first", "closed", "carry_bad", "first", "latest"
     )
 
 
