@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,23 +49,37 @@ def _unpacked(data: list[bytes], low: int = 0) -> np.ndarray:
 def _hot(docs: DataFrame, rows: int, words: int) -> np.ndarray:
     """Sorted n-grams that a bounded sample shows to be in one of FREQUENT texts or more. They decide how the others are matched, not what is found."""
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // LOOKED_AT))) == 0).select("text")
-    flat = lambda b: {"h": pa.array((np.concatenate([np.zeros(0, np.uint64), *shingle_sets(b.column(0), words)]) >> np.uint64(8 * LOW) << np.uint64(8 * LOW)).view(np.int64))}
+    flat = lambda b: {"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *_sets(b.column(0), words)]).view(np.int64))}
     often = mapped(some, flat, "h long").groupBy("h").agg(F.count("h").alias("n")).where(F.col("n") > max(16, min(rows, LOOKED_AT) // FREQUENT))
     return np.sort(often.orderBy(F.desc("n"), "h").limit(HOT).toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Of every text its different n-grams, sorted, without their LOW lowest bytes."""
+    low = np.uint64(8 * LOW)
+    return [np.unique(s >> low << low) for s in shingle_sets(texts, words)]
+
+
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    """``(row, id, n, d1, d2)``: the size of every text's set of n-grams, and a digest of it."""
+    names = ["row", "id", "n", "d1", "d2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = _sets(batch.column(2), words)
+            digest = np.frombuffer(b"".join(hashlib.md5(s.tobytes()).digest() for s in sets), np.int64).reshape(-1, 2)
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names=names)
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, n long, d1 long, d2 long")
+
+
 def _sent(docs: DataFrame, words: int, bits: int, hot: np.ndarray) -> DataFrame:
-    """Rows of two kinds: packed n-grams of one bucket with their texts' rows, and a text's row with its id and number of n-grams."""
-    kind = docs.schema["id"].dataType
+    """Packed n-grams of one bucket with their texts' rows; ``hot`` tells those that are known to be frequent."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["bucket", "grams", "rows", "row", "n", "id"]
-
-    def out(ids: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
-        rows = len(next(iter(columns.values())))
-        kinds = dict(zip(names, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), ids), strict=True))
-        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(rows, k)) for c, k in kinds.items()], names=names)
 
-    def flush(ids: pa.DataType, grams: list[np.ndarray], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(grams: list[np.ndarray], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, row = np.concatenate(grams), np.concatenate(rows)
         known = np.isin(h, held.value)
         # What is frequent for sure is shared: it is dealt by its text and only carried along.
@@ -77,39 +92,32 @@ def _sent(docs: DataFrame, words: int, bits: int, hot: np.ndarray) -> DataFrame:
         for some in np.array_split(np.arange(len(cuts)), len(cuts) // 256 + 1):
             packed = lambda x, low=0: pa.array([_packed(x[a:b], low) for a, b in zip(cuts[some], ends[some], strict=True)], pa.binary())  # noqa: B023, E731
             at = cuts[some]
-            yield out(ids, bucket=pa.array(bucket[at].astype(np.int32)), grams=packed(h, LOW), rows=packed(row), n=pa.array(known[at].astype(np.int64)))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at].astype(np.int32)), "hot": pa.array(known[at]), "grams": packed(h, LOW), "rows": packed(row)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, grams, rows, size = None, [], [], 0
+        grams, rows, size = [], [], 0
         for batch in batches:
-            if not len(batch):
-                continue
-            row = batch.column(0).to_numpy()
-            sets = [np.unique(s >> np.uint64(8 * LOW) << np.uint64(8 * LOW)) for s in shingle_sets(batch.column(2), words)]
+            sets = _sets(batch.column(1), words)
             n = np.array([len(s) for s in sets], np.int64)
-            ids = batch.column(1).type
-            yield out(ids, bucket=pa.array((row & ((1 << bits) - 1)).astype(np.int32)), row=pa.array(row), n=pa.array(n), id=batch.column(1))
             grams += sets
-            rows.append(np.repeat(row, n))
+            rows.append(np.repeat(batch.column(0).to_numpy(), n))
             size += int(n.sum())
             if size > HELD:
-                yield from flush(ids, grams, rows)
+                yield from flush(grams, rows)
                 grams, rows, size = [], [], 0
         if size:
-            yield from flush(ids, grams, rows)
+            yield from flush(grams, rows)
 
-    fields = f"bucket int, grams binary, rows binary, row long, n long, id {kind.simpleString()}"
-    return docs.select("row", "id", "text").mapInArrow(run, fields)
+    return docs.select("row", "text").mapInArrow(run, "bucket int, hot boolean, grams binary, rows binary")
 
 
 def _matched(sent: DataFrame) -> DataFrame:
-    """``(row, h, df, n, id)``: every text with its number of n-grams (``h`` null), and a row per n-gram of a text that another text has too.
+    """``(row, h, df)``: a row per n-gram of a text that another text has too.
 
     ``df`` is the number of texts that have it, or EVERYWHERE if it is known to be frequent.
     """
-    names = ["row", "h", "df", "n", "id"]
 
-    def shared(grams: list[bytes], rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def shared(grams: list[bytes], rows: list[bytes]) -> Iterator[pa.RecordBatch]:
         if grams:
             h, row = _unpacked(grams, LOW), _unpacked(rows).view(np.int64)
             by = np.argsort(h, kind="stable")
@@ -117,35 +125,27 @@ def _matched(sent: DataFrame) -> DataFrame:
             edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
             df = np.repeat(np.diff(edge), np.diff(edge))
             keep = df > 1
-            yield row[keep], h[keep].view(np.int64), df[keep]
+            yield out(row[keep], h[keep], df[keep])
+
+    def out(row: np.ndarray, h: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"row": pa.array(row), "h": pa.array(h.view(np.int64)), "df": pa.array(df)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, rows, now, ids = [], [], None, None
+        grams, rows, now = [], [], None
         for batch in batches:
-            ids = batch.column(5).type
-            texts = batch.filter(batch.column(3).is_valid())
-            yield pa.RecordBatch.from_arrays([texts.column(3), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64()), texts.column(4), texts.column(5)], names=names)
-            found = []
-            rest = batch.filter(batch.column(3).is_null())
-            for bucket, known, g, r in zip(*(rest.column(i).to_pylist() for i in (0, 4, 1, 2)), strict=True):
-                if known:
+            for bucket, hot, g, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hot:
                     row = _unpacked([r]).view(np.int64)
-                    found.append((row, _unpacked([g], LOW).view(np.int64), np.full(len(row), EVERYWHERE)))
+                    yield out(row, _unpacked([g], LOW), np.full(len(row), EVERYWHERE))
                     continue
                 if bucket != now:
-                    found += shared(grams, rows)
+                    yield from shared(grams, rows)
                     grams, rows, now = [], [], bucket
                 grams.append(g)
                 rows.append(r)
-            yield from _rows(found, ids)
-        yield from _rows(list(shared(grams, rows)), ids)
-
-    def _rows(found: list, ids: pa.DataType) -> Iterator[pa.RecordBatch]:
-        for row, h, df in found:
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(h), pa.array(df), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), ids)], names=names)
+        yield from shared(grams, rows)
 
-    fields = f"row long, h long, df long, n long, id {sent.schema['id'].dataType.simpleString()}"
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, fields)
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "row long, h long, df long")
 
 
 def _alike(common: Column, a: Column, b: Column) -> Column:
@@ -209,28 +209,35 @@ def _fits(a: str, b: str) -> Column:
     return (F.least(f"{a}met", f"{b}met") >= need) & early(a) & early(b)
 
 
-def _labelled(near: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``near`` with each set's ``label``, and only n-grams that sets of several labels have; ``held`` counts their sets."""
+def _top() -> Column:
+    """Aggregate: the set of the most frequent n-grams."""
+    return F.max(F.struct("common", "node", "n", "met", "asked", "pos", "label"))
+
+
+def _labelled(near: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``near`` with each set's ``label``, and ``(h, held, hub)``: n-grams that sets of several labels have, how many have them, and their hub.
+
+    The hub of an n-gram is its set of the most frequent n-grams.
+    """
+    named = near.drop("label")
     if links is None:
-        named = near.withColumn("label", F.col("node"))
+        named = named.withColumn("label", F.col("node"))
     else:
         label = written(components(links).withColumnRenamed("root", "label"), "labels")
-        named = near.drop("label", "held").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = named.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = written(named, "labelled")
-    ends = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("h").alias("held"))
-    return named.join(written(ends.where("lo <> hi").select("h", "held"), "mixed"), "h")
+    ends = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("h").alias("held"), _top().alias("hub"))
+    return named, written(ends.where("lo <> hi").select("h", "held", "hub"), "mixed")
 
 
-def _hubs(named: DataFrame, tried: DataFrame | None) -> DataFrame:
+def _hubs(named: DataFrame, mixed: DataFrame, tried: DataFrame | None) -> DataFrame:
     """``(a, b)``: every set with the one hub of another label it shares most n-grams of its prefix with, unless it was ``tried``.
 
-    An n-gram's hub is its set of the most frequent n-grams; sets of the hub's own label have the next such set as theirs.
+    Sets of the hub's own label have the next such set of another one as theirs.
     """
-    top = F.max(F.struct("common", "node", "n", "met", "asked", "pos", "label"))
-    first = written(named.groupBy("h").agg(top.alias("hub")), "hubs")
-    second = written(named.join(first, "h").where("label <> hub.label").groupBy("h").agg(top.alias("rival")), "rivals")
+    rival = written(_others(named, mixed), "rivals")
     hub = F.when(F.col("label") != F.col("hub.label"), F.col("hub")).otherwise(F.col("rival"))
-    met = named.join(first, "h").join(second, "h").withColumn("hub", hub).where(_fits("", "hub."))
+    met = named.join(mixed.select("h", "hub"), "h").join(rival, "h").withColumn("hub", hub).where(_fits("", "hub."))
     stars = met.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("h").alias("shared"))
     stars = stars.select("node", "hub", "shared", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     if tried is not None:
@@ -238,6 +245,12 @@ def _hubs(named: DataFrame, tried: DataFrame | None) -> DataFrame:
     return stars.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
 
 
+def _others(named: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``(h, rival)``: of the sets that have not their hub's label, the one of the most frequent n-grams."""
+    own = mixed.select("h", F.col("hub.label").alias("hub_label"))
+    return named.join(own, "h").where("label <> hub_label").groupBy("h").agg(_top().alias("rival"))
+
+
 def _candidates(near: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: all pairs of different labels that share as many n-grams of their prefixes as the less demanding asks for.
 
@@ -266,47 +279,40 @@ def set_links(sets: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> Da
     named = written(prefixes(sets, longest), "prefixes")
     links = tried = None
     while True:
-        named = written(_labelled(named, links), "named")
-        pairs = written(_hubs(named, tried), "stars")
+        named, mixed = _labelled(named, links)
+        pairs = written(_hubs(named, mixed, tried), "stars")
         more, found = counted(_confirmed(pairs, sets), "links")
         links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
         if not found:
             break
-    rest = _candidates(named, block).join(tried, ["a", "b"], "left_anti")
+    rest = _candidates(named.join(mixed.select("h", "held"), "h"), block).join(tried, ["a", "b"], "left_anti")
     return links.union(_confirmed(written(rest, "pairs"), sets))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, longest: int = LONGEST) -> DataFrame:
     """``(id, n_shingles, component)`` for every row: the size of its set of n-grams and the smallest id it is linked to, over any number of links.
 
-    Texts are read once. Every n-gram meets its equals once, in buckets of bounded size, and a text of which less than
-    OVER / UNDER has any equal is done with: it can have no partner. Equal sets are one from there on. A text of fewer
+    Texts are read twice. Equal sets, told by 128 bits, are one after the first time. Then every n-gram meets its equals once, in buckets of bounded size, and a text of which less than
+    OVER / UNDER has any equal is done with: it can have no partner. A text of fewer
     words than ``words`` is one n-gram; null texts and texts without words have an empty set, linked with nothing. Rows that repeat an id are
-    linked each by its own text; null ids are the smallest only where a group has no other. Texts are told apart by 64 bits per n-gram.
+    linked each by its own text; null ids are the smallest only where a group has no other. N-grams are told apart by 56 bits.
     """
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.char_length(text_col)), F.lit(0)).alias("chars")).first()
     bits = max(4, (size["chars"] // BUCKET_CHARS).bit_length())
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = written(_described(own, words), "texts")
+    same = ["n", "d1", "d2"]
+    first = written(texts.where("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.count("row").alias("copies")), "distinct")
+    members = written(texts.join(first, same).select("row", "node", "copies", "n"), "members")
+    nodes = members.where("row = node").select("row", "copies", "n")
     marks = _matched(_sent(own, words, bits, _hot(own, size["rows"], words)))
-    each = marks.groupBy("row").agg(F.max("n").alias("n"), F.first("id", ignorenulls=True).alias("id"), F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "df"))).alias("grams"))
-    texts = written(each.withColumn("grams", F.when(_can(F.size("grams"), F.col("n")) & (F.col("n") > 0), F.sort_array("grams"))), "texts")
-    # Sets are equal if all their n-grams are; one that has some to itself is equal to none.
-    grams = F.transform("grams", lambda g: g["h"])
-    digest = [F.when(F.size("grams") < F.col("n"), F.col("row")).otherwise(F.lit(-1)).alias("alone"), *(F.xxhash64(F.lit(seed), grams).alias(f"d{seed}") for seed in (1, 2))]
-    sets = texts.where("grams is not null").select("row", "n", "grams", *digest)
-    same = ["n", "alone", "d1", "d2"]
-    first = written(sets.groupBy(*same).agg(F.min("row").alias("node"), F.count("row").alias("copies")), "distinct")
-    members = written(sets.select("row", *same).join(first, same).select("row", "node"), "members")
     # An n-gram that more texts have than there are copies of a set is in other sets too.
-    others = F.filter("grams", lambda g: g["df"] > F.col("copies"))
-    ranked = sets.select("row", "n", "grams").join(first.select(F.col("node").alias("row"), "copies"), "row")
-    ranked = ranked.select(F.col("row").alias("node"), "n", F.sort_array(F.transform(others, lambda g: F.struct(g["df"].alias("df"), g["h"].alias("h")))).alias("grams"))
-    ranked = written(ranked.where(_can(F.size("grams"), F.col("n"))), "ranked")
+    others = marks.join(nodes, "row").where("df > copies").groupBy(F.col("row").alias("node"), "n").agg(F.collect_list(F.struct("df", "h")).alias("grams"))
+    ranked = others.where(_can(F.size("grams"), F.col("n"))).withColumn("grams", F.sort_array("grams"))
+    ranked = written(ranked.select("node", "n", "grams"), "ranked")
     roots = components(set_links(ranked, longest))
-    rooted = written(
-        members.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
-        .join(texts.select("row", "id"), "row").select("row", "root", "id"), "rooted",
-    )
+    rooted = members.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted.join(texts.select("row", "id"), "row").select("row", "root", "id"), "rooted")
     lowest = written(rooted.groupBy("root").agg(F.min("id").alias("component")), "lowest")
     named = rooted.join(lowest, "root").select("row", "component", F.lit(True).alias("grouped"))
     return texts.join(named, "row", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("grouped"), F.col("component")).otherwise(F.col("id")).alias("component"))
