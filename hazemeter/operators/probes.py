@@ -9,7 +9,7 @@ from hazemeter.functions.timegrid import bucket_of, slice_start
 from hazemeter.operators.batches import SEQ_BLOCK, advancing
 from hazemeter.operators.scan import before, so_far, with_block_carry
 from hazemeter.params import DEFAULTS, Params
-from hazemeter.session import written
+from hazemeter.session import together, written
 
 KEY = ["city", "period"]
 
@@ -64,7 +64,6 @@ def active_probes(arrived: DataFrame, headers: DataFrame, params: Params = DEFAU
     batches in between are then generated (batch numbers are consecutive), and
     every generated row is a result.
     """
-    ahead = written(advancing(headers), "ahead")  # it and the spans feed several branches below
     carried = with_block_carry(
         arrived.select(*KEY, "seq", "max_ts"), KEY, bucket_of(F.col("seq"), SEQ_BLOCK),
         {"block_max": F.max("max_ts"), "block_first": F.min("seq")},
@@ -79,7 +78,8 @@ def active_probes(arrived: DataFrame, headers: DataFrame, params: Params = DEFAU
         F.coalesce(F.lead("seq").over(inside), F.col("next_first")).alias("next_seq"),
         (F.greatest("carry", F.max("max_ts").over(so_far(inside))) + params.active_ms).alias("t"),
     )
-    spans = written(spans, "spans")
+    # both feed several branches below
+    ahead, spans = together(lambda: written(advancing(headers), "ahead"), lambda: written(spans, "spans"))
     ends = _latest_batch_at(spans, ahead, params.step_ms)
     return (
         spans.join(ends, "t")

@@ -18,7 +18,7 @@ from hazemeter.operators.streaks import streak_at_watermark, streak_histogram
 from hazemeter.operators.windows import aqi5d, aqi24_all, aqi24_at_watermark, aqi24_snapshots
 from hazemeter.params import DEFAULTS, Params
 from hazemeter.schema import CURRENT
-from hazemeter.session import counted, written
+from hazemeter.session import counted, together, written
 
 
 @dataclass(frozen=True)
@@ -51,9 +51,10 @@ def timely(
     ``headers`` the batch watermarks are those of the readings given.
     """
     readings = valid_readings(readings)
-    cells = written(slice_cells(readings, params), "cells")
+    given = [] if headers is None else [lambda: written(headers, "headers")]
+    cells, *given = together(lambda: written(slice_cells(readings, params), "cells"), *given)
     arrived = written(arrivals_of_cells(cells), "arrivals")
-    every = flat_headers(arrived, "last_ts", "last_pos") if headers is None else written(headers, "headers")
+    every = given[0] if given else flat_headers(arrived, "last_ts", "last_pos")
     headers = watermark_guard(every, params)
     probes = written(active_probes(arrived, headers, params), "probes")
     late, n_late = counted(late_bounds(arrived, probes, params), "late")
@@ -122,7 +123,8 @@ def q2_results(base: Timely, values: tuple[DataFrame, DataFrame] | None = None)
 
 def both(base: Timely) -> tuple[DataFrame, DataFrame]:
     """Both questions, a result for every batch, from one table of snapshots and one of watermark values."""
-    values = (
-        written(aqi24_snapshots(base.slices, base.params), "snapshots"), written(base.at_watermark(), "at-watermark")
-    )
+    values = tuple(together(
+        lambda: written(aqi24_snapshots(base.slices, base.params), "snapshots"),
+        lambda: written(base.at_watermark(), "at-watermark"),
+    ))
     return q1_results(base, values), q2_results(base, values)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -91,6 +96,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return counted(df, name, **options)[0]
 
 
+def together(*jobs: Callable[[], T]) -> list[T]:
+    """Results of jobs that do not need each other, run side by side with the caller's local properties."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def counted(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, int]:
     """``written``, with the number of rows seen while writing."""
     spark = df.sparkSession
