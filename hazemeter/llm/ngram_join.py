@@ -30,6 +30,8 @@ HELD, SENT = 1 << 20, 1 << 11
 #: Texts looked at to find n-grams so frequent that they need no matching: those in one of FREQUENT texts, HOT at most.
 LOOKED_AT, FREQUENT, HOT = 4000, 128, 100_000
 EVERYWHERE = 1 << 40
+#: Sets are compared with hubs for another round if more than this share of the last one's were similar.
+WORTH = 0.1
 #: Sets with one n-gram that are paired in one piece of work.
 BLOCK = 1024
 
@@ -273,18 +275,20 @@ def _candidates(near: DataFrame, block: int = BLOCK) -> DataFrame:
 def set_links(sets: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
     """Links ``(a, b)`` between similar ones of the written ``sets(node, n, grams)`` that join all that are similar.
 
-    First sets are compared with hubs, one each, round by round while that joins any. Sets joined so far need not meet again, so many
+    First sets are compared with hubs, one each, round by round while more than WORTH of them are similar. Sets joined so far need not meet again, so many
     near copies of one text leave few pairs; all others that share enough of their prefixes are compared one by one.
     """
     named = written(prefixes(sets, longest), "prefixes")
     links = tried = None
     while True:
         named, mixed = _labelled(named, links)
-        pairs = written(_hubs(named, mixed, tried), "stars")
+        pairs, compared = counted(_hubs(named, mixed, tried), "stars")
         more, found = counted(_confirmed(pairs, sets), "links")
         links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
-        if not found:
+        if found <= WORTH * compared:
             break
+    if found:
+        named, mixed = _labelled(named, links)
     rest = _candidates(named.join(mixed.select("h", "held"), "h"), block).join(tried, ["a", "b"], "left_anti")
     return links.union(_confirmed(written(rest, "pairs"), sets))
 
