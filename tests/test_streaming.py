@@ -7,6 +7,7 @@ from hazemeter.params import HOUR, Params
 from hazemeter.plans import fixtures as fx
 from hazemeter.plans import standing as st
 from hazemeter.sources import tables as S
+from hazemeter.streaming import joins
 from hazemeter.streaming.job import answers, run_questions
 from tests.helpers import rows_of
 
@@ -91,3 +92,32 @@ def test_interval_join_of_two_streams(spark, tmp_path):
     assert rows_of(got.select(want.columns)) == rows_of(want)
     states = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
     assert len(states) >= 3
+
+
+def test_streamed_join_keeps_little_and_goes_on_after_an_end(spark, tmp_path):
+    """State lies in RocksDB, shrinks as the watermark passes, and is there again when the query starts anew."""
+    import random
+
+    rng = random.Random(9)
+    schema = "city string, ts_ms bigint, at timestamp"
+    root, sides = f"{tmp_path}/join", {"left": [], "right": []}
+    kept, before = [], spark.conf.get(joins.PROVIDER)
+    for i in range(4):
+        streams = []
+        for side in sides:
+            rows = [(rng.choice("ab"), 20_000 * i + t) for t in rng.sample(range(20_000), 300 if i < 2 else 20)]
+            sides[side] += rows
+            df = spark.createDataFrame(rows, "city string, ts_ms bigint").withColumn("at", F.timestamp_millis("ts_ms"))
+            df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{side}")
+            streams.append(spark.readStream.schema(schema).parquet(f"{tmp_path}/{side}"))
+        query = joins.run_interval_join(*streams, ["city"], -500, 2_000, root)
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0])
+    assert spark.conf.get(joins.PROVIDER) == before
+    left, right = (spark.createDataFrame(rows, "city string, ts_ms bigint") for rows in sides.values())
+    want = interval_join(left, right, ["city"], -500, 2_000)
+    got = spark.read.parquet(f"{root}/pairs").select("city", "ts_ms", "r_ts_ms")
+    assert want.count() > 100 and rows_of(got) == rows_of(want.select("city", "ts_ms", "r_ts_ms"))
+    assert any("rocksdb" in name for name in kept[0]["customMetrics"])
+    held = [k["numRowsTotal"] for k in kept]
+    assert max(held) < 300 and held[3] < held[1]
