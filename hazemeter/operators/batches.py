@@ -45,7 +45,7 @@ def without_repeats(batches: DataFrame, numbers: DataFrame | None = None, listed
     if numbers is None:
         numbers = batches.groupBy("seq_id").agg(F.count(F.lit(1)).alias("copies"))
     repeated = numbers.where("copies > 1").select("seq_id")
-    few = [r[0] for r in repeated.limit(listed + 1).collect()]
+    few = sorted(r[0] for r in repeated.limit(listed + 1).collect())
     if not few:
         return batches
     if len(few) <= listed:

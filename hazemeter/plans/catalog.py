@@ -543,7 +543,7 @@ def released_feeds(spark, sf_dir):
             arriving = spark.readStream.schema(both.schema).parquet(f"{root}/in")
             run_release(arriving, f"{root}/{together}", together=together).awaitTermination()
             if i != 1:
-                found = released_batches_of(spark, f"{root}/{together}")
+                found = released_batches_of(spark, f"{root}/{together}", both.schema)
                 out.append(written(found.drop("epoch").withColumns({"together": F.lit(together), "part": F.lit(i)}), "released"))
     return reduce(DataFrame.unionByName, out)
 

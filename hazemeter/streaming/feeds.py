@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hazemeter.operators.batches import feed_bounds
 from hazemeter.session import configure, folders, remove, temporary_tables, written
@@ -20,12 +21,13 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def release_epoch(arrived: DataFrame, epoch: int, root: str, feed: str, together: bool) -> None:
-    """Releases what a micro-batch makes releasable; repeating it changes nothing.
+    """Releases what a micro-batch makes releasable; repeating it changes nothing. A batch without feed or number is none.
 
     What comes too early is written once, beside the micro-batch it came with. Until it is released only feeds and numbers are
     looked at; a folder goes when nothing in it is waiting.
     """
     spark = configure(arrived.sparkSession)
+    arrived = arrived.where(F.col(feed).isNotNull() & F.col("seq_id").isNotNull())
     kind = arrived.schema[feed].dataType.simpleString()
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrived.schema)
     due_path, held_path = f"{root}/due", f"{root}/held"
@@ -72,6 +74,6 @@ def run_release(batches: DataFrame, root: str, feed: str = "feed", together: boo
     )
 
 
-def released(spark: SparkSession, root: str) -> DataFrame:
-    """What has been released so far, with the ``epoch`` that did."""
-    return spark.read.parquet(f"{root}/released")
+def released(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """What has been released so far of batches of a ``schema``, with the ``epoch`` that did."""
+    return spark.read.schema(StructType([*schema.fields, StructField("epoch", LongType())])).parquet(f"{root}/released")

@@ -37,6 +37,6 @@ def test_stream_releases_what_a_batch_job_would(spark, tmp_path):
             if together:
                 ends = {f: sum(r[0] == f for r in want) for f in {r[0] for r in so_far if r[0]}}
                 want = [r for r in want if r[1] < min(ends.values())]
-            got = feeds.released(spark, root).drop("epoch").where("feed is not null")
+            got = feeds.released(spark, root, all_df.schema).drop("epoch").where("feed is not null")
             assert rows_of(got) == want
-    assert feeds.released(spark, out[False]).where("feed = 'b'").agg(F.max("seq_id")).first()[0] == 3
+    assert feeds.released(spark, out[False], all_df.schema).where("feed = 'b'").agg(F.max("seq_id")).first()[0] == 3
