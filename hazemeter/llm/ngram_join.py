@@ -304,6 +304,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.char_length(text_col)), F.lit(0)).alias("chars")).first()
     bits = max(4, (size["chars"] // BUCKET_CHARS).bit_length())
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = written(own, "rows", compression="zstd")  # both passes must see the same row numbers
     texts = written(_described(own, words), "texts")
     same = ["n", "d1", "d2"]
     first = written(texts.where("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.count("row").alias("copies")), "distinct")
