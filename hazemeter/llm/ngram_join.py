@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hazemeter.llm.common import counted, mapped, written
 from hazemeter.llm.components import components
 from hazemeter.llm.shingles import shingle_sets
+from hazemeter.session import discard
 
 WORDS = 5
 #: Sets link if their Jaccard similarity is OVER / UNDER or more.
@@ -315,6 +316,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = marks.join(nodes, "row").where("df > copies").groupBy(F.col("row").alias("node"), "n").agg(F.collect_list(F.struct("df", "h")).alias("grams"))
     ranked = others.where(_can(F.size("grams"), F.col("n"))).withColumn("grams", F.sort_array("grams"))
     ranked = written(ranked.select("node", "n", "grams"), "ranked")
+    discard(own)  # the texts are not read again
     roots = components(set_links(ranked, longest))
     rooted = members.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted.join(texts.select("row", "id"), "row").select("row", "root", "id"), "rooted")
