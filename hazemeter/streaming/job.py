@@ -192,7 +192,7 @@ def _answer(
     write_epoch(kept.withColumn("day", _day("ts_ms")), stores.path("readings"), epoch, "day")
     mine = stores.read(spark, "readings").where(F.col("epoch") == epoch).drop("day", "epoch")
     write_epoch(
-        slice_sums(mine, params).withColumn("day", _day("slice_end")), stores.path("slices"), epoch, "day"
+        slice_sums(mine, params).drop("s1", "s2").withColumn("day", _day("slice_end")), stores.path("slices"), epoch, "day"
     )
 
     if min_wm is None:  # nothing is asked: every batch has its empty result, the cities what arrived
