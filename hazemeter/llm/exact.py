@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazemeter.llm.common import SPACES, written
@@ -16,16 +16,20 @@ def squeezed(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def _told(text_col: str) -> list[Column]:
+    """What tells a text: its length, and two hashes of it without white space."""
+    text = squeezed(F.col(text_col))
+    points = F.coalesce(F.char_length(text_col), F.lit(0)).alias("points")
+    return [points, F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("proof")]
+
+
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row, run, id, points, digest, proof)``: a row's number, its partition's run, and what identifies its text.
 
     ``proof`` is a second, independent hash: texts count as equal when both agree.
     """
-    text = squeezed(F.col(text_col))
     return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("run"), F.col(id_col).alias("id"),
-        F.coalesce(F.char_length(text_col), F.lit(0)).alias("points"),
-        F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text).alias("proof"),
+        F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("run"), F.col(id_col).alias("id"), *_told(text_col)
     )
 
 
@@ -66,9 +70,24 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    numbered = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("own")), "numbered")
-    stays = verdicts(
-        numbered.select(F.struct(F.col(f"doc.{id_col}").isNull().alias("none"), f"doc.{id_col}", "own").alias("id"), F.col(f"doc.{text_col}").alias("text")), "id", "text"
-    ).where("kept").select(F.col("id.own").alias("own"))
-    return numbered.join(stays, "own", "left_semi").select("doc.*")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    No copy of the texts is written: the row that stays is found again by its id, length and hashes. Only where several rows agree in
+    all of these are they numbered, and the first one stays.
+    """
+    rows = written(digest_rows(docs, id_col, text_col), "digests")
+    best = merged_runs(rows).select("digest", "proof", (-F.col("best.less")).alias("points"), F.col("best.id").alias("id"))
+    same = ["digest", "proof", "points"]
+
+    def agreeing(left: DataFrame, id: Column, right: DataFrame) -> DataFrame:
+        return left.join(right, [*(left[c] == right[c] for c in same), id.eqNullSafe(right["id"])], "left_semi")
+
+    stays = written(agreeing(rows, rows["id"], best).groupBy(*same, "id").agg(F.count(F.lit(1)).alias("rows")), "stays")
+    told = docs.select(F.struct("*").alias("doc"), *_told(text_col))
+    found = lambda some: agreeing(told, told[f"doc.{id_col}"], some)
+    several = stays.where("rows > 1")
+    if several.isEmpty():
+        return found(stays).select("doc.*")
+    first = Window.partitionBy(*same).orderBy("number")
+    numbered = found(several).withColumn("number", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(first))
+    return found(stays.where("rows = 1")).select("doc.*").unionByName(numbered.where("place = 1").select("doc.*"))
