@@ -283,7 +283,8 @@ def set_links(sets: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> Da
     links = tried = None
     while True:
         named, mixed = _labelled(named, links)
-        pairs, compared = counted(_hubs(named, mixed, tried), "stars")
+        pairs = written(_hubs(named, mixed, tried), "stars")
+        compared = pairs.count()
         more, found = counted(_confirmed(pairs, sets), "links")
         links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
         if found <= WORTH * compared:
