@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hazemeter.llm.common import counted, mapped, written
 from hazemeter.llm.components import components
+from hazemeter.llm.exact import squeezed
 from hazemeter.llm.shingles import shingle_sets
 from hazemeter.session import discard
 
@@ -273,14 +274,15 @@ def _candidates(near: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.where("shared >= asked").select("a", "b")
 
 
-def set_links(sets: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+def set_links(sets: DataFrame, longest: int = LONGEST, block: int = BLOCK, *, first: DataFrame | None = None) -> DataFrame:
     """Links ``(a, b)`` between similar ones of the written ``sets(node, n, grams)`` that join all that are similar.
 
-    First sets are compared with hubs, one each, round by round while more than WORTH of them are similar. Sets joined so far need not meet again, so many
+    Pairs of ``first(a, b)``, if there are any, are compared before all others. Then
+    sets are compared with hubs, one each, round by round while more than WORTH of them are similar. Sets joined so far need not meet again, so many
     near copies of one text leave few pairs; all others that share enough of their prefixes are compared one by one.
     """
     named = written(prefixes(sets, longest), "prefixes")
-    links = tried = None
+    links, tried = (None, None) if first is None else (written(_confirmed(first, sets), "links"), first)
     while True:
         named, mixed = _labelled(named, links)
         pairs = written(_hubs(named, mixed, tried), "stars")
@@ -295,13 +297,26 @@ def set_links(sets: DataFrame, longest: int = LONGEST, block: int = BLOCK) -> Da
     return links.union(_confirmed(written(rest, "pairs"), sets))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, longest: int = LONGEST) -> DataFrame:
+def _grouped(own: DataFrame, members: DataFrame, groups: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """Pairs ``(a, b)``: the set of each row, and that of the smallest row that ``groups`` puts together with it."""
+    found = groups(own.where(squeezed(F.col("text")) != ""), "row", "text").where("id <> component")
+    set_of = lambda row, x: members.select(F.col("row").alias(row), F.col("node").alias(x))
+    pairs = found.join(set_of("id", "a"), "id").join(set_of("component", "b"), "component").where("a <> b")
+    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "grouped")
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, longest: int = LONGEST,
+    groups: Callable[[DataFrame, str, str], DataFrame] | None = None,
+) -> DataFrame:
     """``(id, n_shingles, component)`` for every row: the size of its set of n-grams and the smallest id it is linked to, over any number of links.
 
     Texts are read twice. Equal sets, told by 128 bits, are one after the first time. Then every n-gram meets its equals once, in buckets of bounded size, and a text of which less than
     OVER / UNDER has any equal is done with: it can have no partner. A text of fewer
     words than ``words`` is one n-gram; null texts and texts without words have an empty set, linked with nothing. Rows that repeat an id are
     linked each by its own text; null ids are the smallest only where a group has no other. N-grams are told apart by 56 bits.
+
+    ``groups(texts, id, text)`` is another operator that gives ``(id, component)`` of the texts that have words. What it puts together is compared first.
     """
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.char_length(text_col)), F.lit(0)).alias("chars")).first()
     bits = max(4, (size["chars"] // BUCKET_CHARS).bit_length())
@@ -309,16 +324,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = written(own, "rows", compression="zstd")  # both passes must see the same row numbers
     texts = written(_described(own, words), "texts")
     same = ["n", "d1", "d2"]
-    first = written(texts.where("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.count("row").alias("copies")), "distinct")
-    members = written(texts.join(first, same).select("row", "node", "copies", "n"), "members")
+    distinct = written(texts.where("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.count("row").alias("copies")), "distinct")
+    members = written(texts.join(distinct, same).select("row", "node", "copies", "n"), "members")
     nodes = members.where("row = node").select("row", "copies", "n")
     marks = _matched(_sent(own, words, bits, _hot(own, size["rows"], words)))
     # An n-gram that more texts have than there are copies of a set is in other sets too.
     others = marks.join(nodes, "row").where("df > copies").groupBy(F.col("row").alias("node"), "n").agg(F.collect_list(F.struct("df", "h")).alias("grams"))
     ranked = others.where(_can(F.size("grams"), F.col("n"))).withColumn("grams", F.sort_array("grams"))
     ranked = written(ranked.select("node", "n", "grams"), "ranked")
+    first = {"first": _grouped(own, members, groups)} if groups else {}
     discard(own)  # the texts are not read again
-    roots = components(set_links(ranked, longest))
+    roots = components(set_links(ranked, longest, **first))
     rooted = members.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted.join(texts.select("row", "id"), "row").select("row", "root", "id"), "rooted")
     lowest = written(rooted.groupBy("root").agg(F.min("id").alias("component")), "lowest")
@@ -326,13 +342,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return texts.join(named, "row", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("grouped"), F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, groups: Callable[[DataFrame, str, str], DataFrame] | None = None
+) -> DataFrame:
     """The rows of ``docs`` without those linked, over any number of near copies, to one of a smaller id; null ids come last.
 
+    What ``groups`` puts together is compared first (see ``near_groups``).
+
     Of rows that repeat an id the texts decide. Rows that repeat both id and text, told by 128 bits, stay or go together.
     """
     key = F.struct(*(F.xxhash64(F.lit(seed), docs[id_col].cast("string"), F.lit("\0"), docs[text_col]).alias(f"k{seed}") for seed in (1, 2)))
     own = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), key.alias("key"))
-    groups = near_groups(docs.select(own.alias("id"), docs[text_col].alias("text")), "id", "text", words)
-    gone = groups.where("id <> component").select(F.col("id.key").alias("own_key")).distinct()
+    named = near_groups(docs.select(own.alias("id"), docs[text_col].alias("text")), "id", "text", words, groups=groups)
+    gone = named.where("id <> component").select(F.col("id.key").alias("own_key")).distinct()
     return docs.join(gone, key == gone["own_key"], "left_anti")
